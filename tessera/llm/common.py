@@ -229,19 +229,46 @@ def by_document(docs: np.ndarray, positions: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs[first], pa.int64()), "positions": pa.array([positions[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())], pa.binary())})
 
 
-def gathered(found: DataFrame) -> DataFrame:
-    """All packed positions of a document in one row.  The size of a row is bound by that of its document."""
-    return found.groupBy("doc_id").agg(F.collect_list("positions").alias("parts"))
+def merged(found: DataFrame) -> DataFrame:
+    """(doc_id, spans): the packed positions of each document as runs of consecutive ones.
 
+    The rows of a document are gathered in one place; their size is bound by that of the document.
+    """
 
-def parts_to_points(parts) -> np.ndarray:
-    """The sorted distinct positions of a list of packed arrays."""
-    return np.unique(np.frombuffer(b"".join(parts), np.uint32)).astype(np.int64) if parts else np.zeros(0, np.int64)
+    def run(batches):
+        for batch in batches:
+            spans = []
+            for parts in batch.column(1):
+                points = np.unique(np.frombuffer(b"".join(parts.as_py()), np.uint32)).astype(np.int64)
+                spans.append(np.stack(runs(points, 1), 1).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], ["doc_id", "spans"])
+
+    return found.groupBy("doc_id").agg(F.collect_list("positions").alias("parts")).mapInArrow(run, "doc_id long, spans binary")
+
+
+def read_spans(cell) -> np.ndarray:
+    """Rows (start, end) of a value of `spans`; none for null."""
+    return np.frombuffer(cell.as_py() or b"", np.uint32).astype(np.int64).reshape(-1, 2)
+
+
+def covered(spans: np.ndarray, width: int, size: int) -> list[tuple[int, int]]:
+    """What windows of `width` that start within spans cover of 0..size, as maximal runs."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans.tolist():
+        a, b = max(a, 0), min(b - 1 + width, size)
+        if a >= b:
+            continue
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def attach(docs: DataFrame, extra: DataFrame, bytes_per_row: int) -> DataFrame:
-    """docs with the columns of extra, by doc_id; documents without a match get nulls.
+def attach(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs with a column spans by doc_id, null where a document has none.
 
-    extra must be materialized and have one row for each doc_id.  It is broadcast only if its counted size allows it.
+    spans must be materialized with one row for each doc_id.  It is broadcast only if its measured size allows it.
     """
-    return docs.join(small(extra, bytes_per_row), "doc_id", "left")
+    rows, held = spans.agg(F.count("*"), F.sum(F.octet_length("spans"))).first()
+    return docs.join(F.broadcast(spans) if rows * 32 + (held or 0) <= BROADCAST_BYTES else spans, "doc_id", "left")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.minhash_dedup import near_duplicates
+from tessera.llm.substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +17,16 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4)
 
 
+def substring_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries():
-    return {"op3_minhash_near_dedup": minhash_near_dedup}
+    return {
+        "op3_minhash_near_dedup": minhash_near_dedup,
+        "op5_substring_dedup": substring_dedup_words,
+    }
 
 
 def oracle_sql():
