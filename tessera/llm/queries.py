@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.substring_dedup import substring_dedup
+from tessera.llm.suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,16 @@ def substring_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(_table(spark, sf_dir, "documents"), window=200)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries():
     return {
         "op3_minhash_near_dedup": minhash_near_dedup,
         "op5_substring_dedup": substring_dedup_words,
+        "op6_suffix_array_dedup": suffix_array_dedup,
     }
 
 
