@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
 from tessera.llm.minhash_dedup import near_duplicates
+from tessera.llm.packing import best_fit_pack, cut_documents
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_dedup import suffix_dedup
+from tessera.llm.token_output import digests, pack_token_ids
+
+CAPACITY = 4096
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the named public vocabulary file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +40,24 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_token_ids(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=CAPACITY)
+    schema = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, ids_crc32 long, position_ids_crc32 long"
+    return packed.mapInArrow(digests(), schema)
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = materialize(cut_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=CAPACITY))
+    return best_fit_pack(cut, CAPACITY)
+
+
 def queries():
     return {
         "op3_minhash_near_dedup": minhash_near_dedup,
         "op5_substring_dedup": substring_dedup_words,
         "op6_suffix_array_dedup": suffix_array_dedup,
+        "op9_token_id_output": token_id_output,
+        "op10_best_fit_packing": best_fit_packing,
     }
 
 
