@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.packing import best_fit_pack, cut_documents
+from tessera.llm.quality import quality_scores
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.token_output import digests, pack_token_ids
@@ -40,6 +41,10 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_token_ids(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=CAPACITY)
     schema = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, ids_crc32 long, position_ids_crc32 long"
@@ -56,6 +61,7 @@ def queries():
         "op3_minhash_near_dedup": minhash_near_dedup,
         "op5_substring_dedup": substring_dedup_words,
         "op6_suffix_array_dedup": suffix_array_dedup,
+        "op7_quality_rules": quality_rules,
         "op9_token_id_output": token_id_output,
         "op10_best_fit_packing": best_fit_packing,
     }
