@@ -9,6 +9,7 @@ from tessera.llm.common import materialize
 from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.packing import best_fit_pack, cut_documents
 from tessera.llm.quality import quality_scores
+from tessera.llm.secrets import BASE, find_secrets, spans_text
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.token_output import digests, pack_token_ids
@@ -41,6 +42,13 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind_order"] < len(BASE))
+    return found.select("doc_id", *(count(r.kind) for r in BASE), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -59,6 +67,7 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op3_minhash_near_dedup": minhash_near_dedup,
+        "op4_secret_scans": secret_scans,
         "op5_substring_dedup": substring_dedup_words,
         "op6_suffix_array_dedup": suffix_array_dedup,
         "op7_quality_rules": quality_rules,
