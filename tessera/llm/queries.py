@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
+from tessera.llm.decontamination import contaminated
 from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.packing import best_fit_pack, cut_documents
 from tessera.llm.quality import quality_scores
@@ -28,6 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4)
 
@@ -66,6 +71,7 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_benchmark_decontamination": benchmark_decontamination,
         "op3_minhash_near_dedup": minhash_near_dedup,
         "op4_secret_scans": secret_scans,
         "op5_substring_dedup": substring_dedup_words,
