@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 from tessera.llm.decontamination import contaminated
+from tessera.llm.line_dedup import line_dedup
 from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.packing import best_fit_pack, cut_documents
 from tessera.llm.quality import quality_scores
@@ -33,6 +34,11 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def line_dedup_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4)
 
@@ -72,6 +78,7 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_benchmark_decontamination": benchmark_decontamination,
+        "op2_line_dedup": line_dedup_patience,
         "op3_minhash_near_dedup": minhash_near_dedup,
         "op4_secret_scans": secret_scans,
         "op5_substring_dedup": substring_dedup_words,
