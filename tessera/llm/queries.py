@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.chat import perspective_turns
 from tessera.llm.common import materialize
 from tessera.llm.decontamination import contaminated
 from tessera.llm.line_dedup import line_dedup
@@ -18,6 +19,26 @@ from tessera.llm.token_output import digests, pack_token_ids
 
 CAPACITY = 4096
 
+CHAT_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
+         row_number() OVER (ORDER BY conv_id, turn, role, text) AS k FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
+named AS (
+  SELECT t.conv_id, perspective, turn, k, text,
+         CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
+         CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name
+  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+headed AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM named),
+rendered AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM headed),
+placed AS (
+  SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY k) AS BIGINT) AS "end" FROM rendered)
+SELECT conv_id, perspective, turn, role, name, segment, "end" - length(segment) AS start, "end",
+       CASE WHEN role = 'assistant' THEN "end" - length(segment) + length(head) END AS mask_start,
+       CASE WHEN role = 'assistant' THEN "end" END AS mask_end
+FROM placed
+"""
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the named public vocabulary file lies."""
@@ -64,6 +85,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspective_turns(_table(spark, sf_dir, "conversations"))
+
+
 def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_token_ids(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=CAPACITY)
     schema = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, ids_crc32 long, position_ids_crc32 long"
@@ -84,10 +109,11 @@ def queries():
         "op5_substring_dedup": substring_dedup_words,
         "op6_suffix_array_dedup": suffix_array_dedup,
         "op7_quality_rules": quality_rules,
+        "op8_chat_formatting": chat_formatting,
         "op9_token_id_output": token_id_output,
         "op10_best_fit_packing": best_fit_packing,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op8_chat_formatting": CHAT_SQL}
