@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 60_000
 BROADCAST_BYTES = 32 << 20
 
@@ -50,6 +50,12 @@ def small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> Da
     return F.broadcast(df) if df.count() * bytes_per_row <= limit else df
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not in the one column of ids, which is materialized here."""
+    gone = materialize(ids.toDF("__tessera_id").where("__tessera_id is not null").distinct())
+    return docs.join(small(gone, 24), F.col(f"`{id_col}`") == F.col("__tessera_id"), "left_anti")
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that the operators read, under fixed names, so that no other column can clash."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -172,14 +178,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def runs(points: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Union of [p, p + width) over sorted points, as starts and ends of its maximal runs."""
-    if not len(points):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = np.flatnonzero(np.diff(points) > width)
-    return points[np.r_[0, cut + 1]], points[np.r_[cut, len(points) - 1]] + width
-
-
 # ---------------------------------------------------------------------------------------------
 # packed exchange: many (hash, document, position) triples in few rows
 
@@ -189,20 +187,20 @@ PACKED = "bucket int, docs binary, counts binary, hashes binary, positions binar
 def bucket_count(docs: DataFrame) -> int:
     """Buckets of a packed exchange: follows the number of input splits, so a bucket stays in memory at any size."""
     spark = docs.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * docs.rdd.getNumPartitions())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
 
 def pack(buckets: int, hashes: np.ndarray, docs: np.ndarray, positions: np.ndarray, width=np.uint64) -> pa.RecordBatch:
     """One row for each bucket that the hashes fall in.
 
     docs must not decrease and positions must increase within a document.  The bucket comes from the hash
-    modulo buckets; `hashes` keeps its upper bits in the given width.
+    modulo buckets; `hashes` keeps its upper bits in the given width, or nothing if that is None.
     """
     which = (hashes % np.uint64(buckets)).astype(np.uint32 if buckets > 65535 else np.uint16)
     order = np.argsort(which, kind="stable")
     which, docs, positions = which[order], docs[order], positions[order].astype(np.uint32)
-    stored = hashes[order]
-    if width is not np.uint64:
+    stored = hashes[order] if width else np.zeros(0, np.uint64)
+    if width not in (None, np.uint64):
         stored = (stored >> np.uint64(64 - 8 * np.dtype(width).itemsize)).astype(width)
     cut = np.r_[0, np.flatnonzero(np.diff(which)) + 1, len(which)] if len(which) else np.zeros(1, np.int64)
     rows: list[list] = [[], [], [], [], []]
@@ -220,30 +218,30 @@ def unpack(table: pa.Table, width=np.uint64) -> tuple[np.ndarray, np.ndarray, np
     return joined["hashes"], np.repeat(joined["docs"], joined["counts"]), joined["positions"]
 
 
-def by_document(docs: np.ndarray, positions: np.ndarray) -> pa.Table:
-    """A row (doc_id, positions as packed uint32) for each document."""
+def by_document(buckets: int, docs: np.ndarray, positions: np.ndarray) -> pa.Table:
+    """Places packed again, now by document."""
     order = np.lexsort((positions, docs))
-    docs, positions = docs[order], positions[order].astype(np.uint32)
-    first = np.r_[0, np.flatnonzero(docs[1:] != docs[:-1]) + 1] if len(docs) else np.zeros(0, np.int64)
-    ends = np.r_[first[1:], len(docs)] if len(docs) else first
-    return pa.table({"doc_id": pa.array(docs[first], pa.int64()), "positions": pa.array([positions[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())], pa.binary())})
-
+    docs, positions = docs[order], positions[order]
+    return pa.Table.from_batches([pack(buckets, mix(docs.astype(np.uint64)), docs, positions, None)])
 
-def merged(found: DataFrame) -> DataFrame:
-    """(doc_id, spans): the packed positions of each document as runs of consecutive ones.
 
-    The rows of a document are gathered in one place; their size is bound by that of the document.
-    """
+def merged(found: DataFrame, reach: int = 1) -> DataFrame:
+    """(doc_id, spans): the places of each document, packed by document, as runs with steps of at most reach."""
 
-    def run(batches):
-        for batch in batches:
-            spans = []
-            for parts in batch.column(1):
-                points = np.unique(np.frombuffer(b"".join(parts.as_py()), np.uint32)).astype(np.int64)
-                spans.append(np.stack(runs(points, 1), 1).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], ["doc_id", "spans"])
+    def run(table: pa.Table) -> pa.Table:
+        _, docs, at = unpack(table)
+        order = np.lexsort((at, docs))
+        docs, at = docs[order], at[order].astype(np.int64)
+        if not len(docs):
+            return pa.table({"doc_id": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
+        fresh = docs[1:] != docs[:-1]
+        cut = np.flatnonzero(fresh | (np.diff(at) > reach))
+        spans = np.stack([at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + 1], 1).astype(np.uint32)
+        owner = docs[np.r_[0, cut + 1]]
+        first = np.r_[0, np.flatnonzero(owner[1:] != owner[:-1]) + 1]
+        return pa.table({"doc_id": pa.array(owner[first]), "spans": pa.array([spans[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)])], pa.binary())})
 
-    return found.groupBy("doc_id").agg(F.collect_list("positions").alias("parts")).mapInArrow(run, "doc_id long, spans binary")
+    return found.groupBy("bucket").applyInArrow(run, "doc_id long, spans binary")
 
 
 def read_spans(cell) -> np.ndarray:
@@ -265,10 +263,10 @@ def covered(spans: np.ndarray, width: int, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def attach(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with a column spans by doc_id, null where a document has none.
+def attach(docs: DataFrame, spans: DataFrame, key: str = "doc_id", column: str = "spans") -> DataFrame:
+    """docs with a column of spans by key, null where a document has none.
 
-    spans must be materialized with one row for each doc_id.  It is broadcast only if its measured size allows it.
+    spans must be materialized with one row for each key.  It is broadcast only if its measured size allows it.
     """
-    rows, held = spans.agg(F.count("*"), F.sum(F.octet_length("spans"))).first()
-    return docs.join(F.broadcast(spans) if rows * 32 + (held or 0) <= BROADCAST_BYTES else spans, "doc_id", "left")
+    rows, held = spans.agg(F.count("*"), F.sum(F.octet_length(column))).first()
+    return docs.join(F.broadcast(spans) if rows * 32 + (held or 0) <= BROADCAST_BYTES else spans, key, "left")

@@ -25,8 +25,6 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import PACKED, attach, bucket_count, by_document, chunks, covered, keyed, materialize, merged, pack, ragged, read_spans, unpack, window_hashes, word_hashes, words
 
-POSITIONS = "doc_id long, positions binary"
-
 
 def _documents(batch):
     """Chunks of a batch without the rows that have no doc_id: doc_ids, bytes, offsets, rows in the batch."""
@@ -59,7 +57,7 @@ def probes(block: int, buckets: int):
     return run
 
 
-def hits(block: int):
+def hits(block: int, buckets: int):
     """applyInArrow over a bucket: the places whose window equals an indexed block of another place."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -67,7 +65,7 @@ def hits(block: int):
         anchor = at % block == 0
         index = np.sort(hashes[anchor])
         found = np.searchsorted(index, hashes, "right") - np.searchsorted(index, hashes, "left") > anchor
-        return by_document(docs[found], at[found])
+        return by_document(buckets, docs[found], at[found])
 
     return run
 
@@ -91,15 +89,19 @@ def candidates(window: int, block: int, buckets: int):
     return run
 
 
-def later(table: pa.Table) -> pa.Table:
+def later(buckets: int):
     """applyInArrow over a bucket: the windows that have an equal one at an earlier place."""
-    hashes, docs, at = unpack(table)
-    order = np.lexsort((at, docs, hashes))
-    h, d, p = hashes[order], docs[order], at[order]
-    fresh = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-    again = (d != d[first]) | (p != p[first])
-    return by_document(d[again], p[again])
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, docs, at = unpack(table)
+        order = np.lexsort((at, docs, hashes))
+        h, d, p = hashes[order], docs[order], at[order]
+        fresh = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
+        again = (d != d[first]) | (p != p[first])
+        return by_document(buckets, d[again], p[again])
+
+    return run
 
 
 def remaining(window: int):
@@ -157,9 +159,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if block < 1:
         raise ValueError("window must be 2 words at least")
     buckets = bucket_count(docs)
-    hit = docs.mapInArrow(probes(block, buckets), PACKED).groupBy("bucket").applyInArrow(hits(block), POSITIONS)
-    hit = materialize(merged(hit))
+    hit = docs.mapInArrow(probes(block, buckets), PACKED).groupBy("bucket").applyInArrow(hits(block, buckets), PACKED)
+    hit = materialize(merged(hit, window - block + 1))
     around = attach(docs, hit).where("spans is not null").select("doc_id", "text", "spans")
-    again = around.mapInArrow(candidates(window, block, buckets), PACKED).groupBy("bucket").applyInArrow(later, POSITIONS)
-    again = materialize(merged(again))
+    again = around.mapInArrow(candidates(window, block, buckets), PACKED).groupBy("bucket").applyInArrow(later(buckets), PACKED)
+    again = materialize(merged(again, window))
     return attach(docs, again).select("doc_id", "text", "spans").mapInArrow(remaining(window), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")

@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import COEF, PACKED, attach, bucket_count, by_document, byte_prefix, chunks, covered, keyed, materialize, merged, mix, pack, powers, ragged, read_spans, unpack
 
-POSITIONS = "doc_id long, positions binary"
 CONTEXTS = "bucket int, anchor long, before int, text binary, docs binary, starts binary"
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 OUTSIDE = 256
@@ -96,18 +95,22 @@ def anchor_points(window: int, grain: int, buckets: int):
     return run
 
 
-def repeated(table: pa.Table) -> pa.Table:
+def repeated(buckets: int):
     """applyInArrow over a bucket: the anchors that occur more than once."""
-    hashes, docs, at = unpack(table)
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    same = h[1:] == h[:-1]
-    keep = order[np.r_[False, same] | np.r_[same, False]] if len(h) else order
-    return by_document(docs[keep], at[keep])
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, docs, at = unpack(table)
+        order = np.argsort(hashes, kind="stable")
+        h = hashes[order]
+        same = h[1:] == h[:-1]
+        keep = order[np.r_[False, same] | np.r_[same, False]] if len(h) else order
+        return by_document(buckets, docs[keep], at[keep])
+
+    return run
 
 
 def contexts(window: int, grain: int, buckets: int):
-    """mapInArrow over (doc_id, text, spans): the bytes around each repeated anchor that its windows can span.
+    """mapInArrow over (doc_id, text, spans): the bytes around each anchor in spans that its windows can span.
 
     Equal contexts of a chunk share a row, so periodic text and copies stay small.
     """
@@ -118,17 +121,15 @@ def contexts(window: int, grain: int, buckets: int):
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 ids = batch.column(0).slice(lo, hi - lo).to_numpy()
                 prefix, (_, down) = byte_prefix(data), powers(len(data))
-                at = [np.zeros(0, np.int64)]
-                row = [np.zeros(0, np.int64)]
+                hashes, at = anchors(data, offsets, window, grain)
+                row = np.searchsorted(offsets, at, "right") - 1
+                near = np.zeros(len(data) + 1, np.int32)
                 for k in range(hi - lo):
-                    pairs = read_spans(spans[lo + k])
-                    if len(pairs):
-                        places = ragged(pairs[:, 0], pairs[:, 1] - pairs[:, 0])
-                        places = places[places + grain <= offsets[k + 1] - offsets[k]]
-                        at.append(places + offsets[k])
-                        row.append(np.full(len(places), k))
-                at, row = np.concatenate(at), np.concatenate(row)
-                hashes = mix((prefix[at + grain] - prefix[at]) * down[at]) >> np.uint64(1)
+                    pairs = read_spans(spans[lo + k]) + offsets[k]
+                    near[pairs[:, 0]] += 1
+                    near[pairs[:, 1]] -= 1
+                use = np.cumsum(near)[at] > 0
+                hashes, at, row = hashes[use], at[use], row[use]
                 first = np.maximum(at - (window - grain), offsets[row])
                 last = np.minimum(at + window, offsets[row + 1])
                 look = (prefix[last] - prefix[first]) * down[first] + (at - first).astype(np.uint64) * COEF[0] + (last - first).astype(np.uint64) * COEF[1]
@@ -201,7 +202,7 @@ def repeated_starts(group: np.ndarray, text: list[bytes], before: np.ndarray, ma
                 yield column - reach, mask & inside
 
 
-def column_wise(window: int, grain: int):
+def column_wise(window: int, grain: int, buckets: int):
     """applyInArrow over a bucket of contexts: the starts of windows that occur again."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -228,7 +229,7 @@ def column_wise(window: int, grain: int):
             found_docs.append(place[hit, 1])
             found.append(anchor_at[hit] + shift)
         found_docs, found = np.concatenate(found_docs), np.concatenate(found)
-        return by_document(found_docs, found)
+        return by_document(buckets, found_docs, found)
 
     return run
 
@@ -268,9 +269,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if grain < 1:
         raise ValueError("window must be 2 bytes at least")
     buckets = bucket_count(docs)
-    twice = docs.mapInArrow(anchor_points(window, grain, buckets), PACKED).groupBy("bucket").applyInArrow(repeated, POSITIONS)
-    twice = materialize(merged(twice))
+    twice = docs.mapInArrow(anchor_points(window, grain, buckets), PACKED).groupBy("bucket").applyInArrow(repeated(buckets), PACKED)
+    twice = materialize(merged(twice, grain))
     around = attach(docs, twice).where("spans is not null").select("doc_id", "text", "spans")
-    again = around.mapInArrow(contexts(window, grain, buckets), CONTEXTS).groupBy("bucket").applyInArrow(column_wise(window, grain), POSITIONS)
-    again = materialize(merged(again))
+    again = around.mapInArrow(contexts(window, grain, buckets), CONTEXTS).groupBy("bucket").applyInArrow(column_wise(window, grain, buckets), PACKED)
+    again = materialize(merged(again, window))
     return attach(docs, again).select("doc_id", "text", "spans").mapInArrow(remaining(window), "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
