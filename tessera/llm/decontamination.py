@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, materialize, small
+from tessera.llm.common import keyed, materialize, small, without
 from tessera.llm.quality import let
 
 SHINGLE = 5
@@ -151,5 +151,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all their columns, that contain no benchmark item."""
-    found = materialize(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__tessera_id")).distinct())
-    return docs.join(small(found, 24), F.col(f"`{id_col}`") == F.col("__tessera_id"), "left_anti")
+    return without(docs, contaminated(docs, benchmark, id_col, text_col).select("doc_id"), id_col)

@@ -207,3 +207,42 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, n_lines, n_removed, kept_text) for every row of docs; kept_text is null where the text is and nothing goes."""
     docs = keyed(docs, id_col, text_col)
     return attach(docs, line_spans(docs)).select("doc_id", "text", "spans").mapInArrow(remaining(), "doc_id long, n_lines long, n_removed long, kept_text string")
+
+
+def _rewritten(text_at: int, spans_at: int, count_at: int | None):
+    """mapInArrow over whole rows: the text without the lines of its spans; rows left without a word by that go."""
+
+    def run(batches):
+        for batch in batches:
+            texts, keep, counts = [], [], []
+            old = batch.column(count_at).to_pylist() if count_at is not None else [None] * batch.num_rows
+            for text, cell, count in zip(batch.column(text_at).to_pylist(), batch.column(spans_at), old):
+                lost = read_spans(cell)
+                if text and len(lost):
+                    lines = text.split("\n")
+                    for a, b in reversed(covered(lost, 1, len(lines))):
+                        del lines[a:b]
+                    text = "\n".join(lines)
+                    keep.append(bool(text.strip(" \t\n\x0b\x0c\r")))
+                    count = len(text)
+                else:
+                    keep.append(True)
+                texts.append(text)
+                counts.append(count)
+            columns = [pa.array(texts, batch.schema.types[k]) if k == text_at else pa.array(counts, batch.schema.types[k]) if k == count_at else batch.column(k) for k in range(batch.num_columns) if k != spans_at]
+            yield pa.RecordBatch.from_arrays(columns, [n for k, n in enumerate(batch.schema.names) if k != spans_at]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """docs, all their columns, with the texts that line_dedup() leaves; count_col, where it exists, gets their length.
+
+    A document that loses all its words goes; one that had none stays.
+    """
+    spans = line_spans(keyed(docs, id_col, text_col))
+    joined = docs.withColumn("__tessera_id", F.col(f"`{id_col}`").cast("long"))
+    joined = attach(joined, spans.withColumnRenamed("doc_id", "__tessera_id").withColumnRenamed("spans", "__tessera_spans"), "__tessera_id", "__tessera_spans")
+    joined = joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__tessera_spans")
+    at = docs.columns.index
+    return joined.mapInArrow(_rewritten(at(text_col), len(docs.columns), at(count_col) if count_col in docs.columns else None), docs.schema)

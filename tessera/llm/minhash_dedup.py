@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import COEF, LOWER, chunks, keyed, materialize, mix, ragged, small, word_hashes, words
+from tessera.llm.common import COEF, LOWER, chunks, keyed, materialize, mix, ragged, small, without, word_hashes, words
 from tessera.llm.components import connected_components
 
 SAMPLES, ROWS = 128, 4
@@ -222,3 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(placed, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """The rows of docs, all their columns, but for all documents of a group except that of the smallest doc_id."""
+    return without(docs, near_duplicates(docs, id_col, text_col, size).where(~F.col("kept")).select("doc_id"), id_col)

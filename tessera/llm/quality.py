@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, materialize, small
+from tessera.llm.common import keyed, materialize, small, without
 
 BUCKETS = 1 << 18
 SMOOTHING = 32.0
@@ -115,3 +115,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, that the rules keep; a rejected row takes rows that repeat its doc_id along."""
+    return without(docs, quality_scores(docs, labels, id_col, text_col).where(~F.col("kept")).select("doc_id"), id_col)
