@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import age_months, age_years
+from tessera.functions.scalars import age_bracket, age_months, age_years
 from tessera.sources.cdm import Cdm
 
 #: inclusive brackets of the population table
@@ -182,8 +182,6 @@ def t1_age(cdm: Cdm, cohort: DataFrame) -> DataFrame:
 
 
 def t1_age_groups(cdm: Cdm, cohort: DataFrame) -> DataFrame:
-    from tessera.functions.scalars import age_bracket
-
     age = F.lit(int(cdm.as_of[:4])) - F.col("year_of_birth")
     rows = cdm.table("person").join(cohort, "person_id", "left_semi").select(age_bracket(age, AGE_GROUPS).alias("age_group"))
     return rows.groupBy("age_group").agg(F.count("*").alias("n_persons"))
@@ -195,7 +193,7 @@ def t1_categoricals(cdm: Cdm, cohort: DataFrame) -> DataFrame:
     sets = people.groupingSets([["gender_concept_id"], ["race_concept_id"], ["ethnicity_concept_id"]], "gender_concept_id", "race_concept_id", "ethnicity_concept_id").agg(F.count("*").alias("n_persons"), F.grouping_id().alias("g"))
     field = F.when(F.col("g") == 3, "gender").when(F.col("g") == 5, "race").otherwise("ethnicity")
     rows = sets.select(field.alias("field"), F.coalesce("gender_concept_id", "race_concept_id", "ethnicity_concept_id").alias("concept_id"), "n_persons")
-    return rows.join(_names(cdm), "concept_id", "left").select("field", F.coalesce("concept_name", F.lit("Unknown")).alias("label"), "n_persons")
+    return rows.join(_names(cdm), "concept_id", "left").groupBy("field", F.coalesce("concept_name", F.lit("Unknown")).alias("label")).agg(F.sum("n_persons").alias("n_persons"))
 
 
 def t1_prevalence(cdm: Cdm, cohort: DataFrame, n: int = 25) -> DataFrame:

@@ -101,7 +101,7 @@ for _kind, _op, _n in (("at_least", ">=", 3), ("exactly", "=", 2), ("at_most", "
     _cohort(f"cohort_{_kind}", {"inclusion": _all(brand(1, occurrence={"type": _kind, "count": _n}))}, f"SELECT person_id FROM {B1} x GROUP BY person_id HAVING count(*) {_op} {_n}")
 _cohort("cohort_windowed_freq", {"inclusion": _all(condition("error", occurrence={"type": "at_least", "count": 4, "within_days": 5}))}, f"SELECT DISTINCT person_id FROM (SELECT person_id, count(*) OVER (PARTITION BY person_id ORDER BY d RANGE BETWEEN CURRENT ROW AND INTERVAL 5 DAY FOLLOWING) AS n FROM {ERR} x) y WHERE n >= 4")
 _cohort("cohort_initial_event", {"initial_event_criterion_id": "signup", "inclusion": _all(condition("signup"), condition("error", temporal={"type": "within_days", "relative_to": "index", "days_before": 2, "days_after": 1}))}, f"WITH s AS (SELECT person_id, min(d) AS i FROM {SGN} x GROUP BY person_id), r AS (SELECT person_id, min(d) AS d FROM {ERR} y GROUP BY person_id) SELECT DISTINCT s.person_id FROM s JOIN r ON s.person_id = r.person_id WHERE r.d BETWEEN i - INTERVAL 2 DAY AND i + INTERVAL 1 DAY")
-_cdm("cohort_within_index", lambda cdm: co.CohortBuilder(cdm, {}).criterion(condition("error", temporal={"type": "within_days", "relative_to": "index", "days_after": 3})).select("person_id", "event_date"), f"WITH r AS (SELECT *, min(d) OVER (PARTITION BY person_id) AS i FROM {ERR} y) SELECT DISTINCT person_id, d AS event_date FROM r WHERE d <= i + INTERVAL 3 DAY")
+_cdm("cohort_within_index", lambda cdm: co.CohortBuilder(cdm, {}).criterion(condition("error", temporal={"type": "within_days", "relative_to": "index", "days_after": 3})).select("person_id", "event_date").distinct(), f"WITH r AS (SELECT *, min(d) OVER (PARTITION BY person_id) AS i FROM {ERR} y) SELECT DISTINCT person_id, d AS event_date FROM r WHERE d <= i + INTERVAL 3 DAY")
 ALLEN = {"before": "a.d < r.d", "after": "a.d > r.d", "starts_before": "a.d < r.d", "starts_after": "a.d > r.d", "ends_before": "a.e < r.e", "ends_after": "a.e > r.e", "overlaps": "a.d < r.e AND a.e > r.d", "contains": "a.d <= r.d AND a.e >= r.e", "during": "a.d >= r.d AND a.e <= r.e"}
 for _name, _test in ALLEN.items():
     _first, _second = ("error", "purchase") if _name == "contains" else ("purchase", "error")
@@ -247,7 +247,7 @@ def _risk(clean: int = 0) -> str:
     anti = f" AND NOT EXISTS (SELECT 1 FROM o x WHERE x.person_id = t.person_id AND x.d < t.d AND x.d >= t.d - INTERVAL {clean} DAY)" if clean else ""
     return f"""t AS (SELECT person_id, min(d) AS d FROM {B1} a GROUP BY person_id), o AS (SELECT person_id, min(d) AS d FROM {B2} b GROUP BY person_id),
  q AS (SELECT t.person_id, t.d AS a, least(observation_period_end_date, CAST(t.d + INTERVAL 365 DAY AS DATE)) AS z, o.d AS x, year_of_birth, concept_name AS gender_name FROM t JOIN observation_period p ON p.person_id = t.person_id AND t.d BETWEEN observation_period_start_date AND observation_period_end_date
-  JOIN person USING (person_id) JOIN concept ON concept_id = gender_concept_id LEFT JOIN o ON o.person_id = t.person_id WHERE t.d < observation_period_end_date{anti}),
+  JOIN person pe ON pe.person_id = t.person_id JOIN concept ON concept_id = gender_concept_id LEFT JOIN o ON o.person_id = t.person_id WHERE t.d < observation_period_end_date{anti}),
  rr AS (SELECT person_id, CASE WHEN x BETWEEN a AND z THEN 1 ELSE 0 END AS had_outcome, CAST((CASE WHEN x BETWEEN a AND z THEN x ELSE z END) - a AS DOUBLE) AS time_days, CAST(extract(year FROM a) - year_of_birth AS INT) AS age, gender_name, CAST(extract(year FROM a) AS INT) AS calendar_year FROM q),
  risk AS (SELECT * FROM rr WHERE time_days > 0)"""
 
@@ -277,8 +277,8 @@ _cdm("km_curve", lambda cdm: stats.kaplan_meier(_km(cdm)), f"{_km_sql('')} SELEC
 _cdm("km_strata", lambda cdm: stats.kaplan_meier(_km(cdm), ["gender"]), f"{_km_sql('gender, ')} SELECT * FROM km")
 _cdm("km_median", lambda cdm: stats.median_survival(stats.kaplan_meier(_km(cdm), ["gender"]), ["gender"]), f"{_km_sql('gender, ')} SELECT gender, min(CASE WHEN survival <= 0.5 THEN time END) AS median_time FROM km GROUP BY 1")
 _cdm("log_rank", lambda cdm: stats.log_rank(_km(cdm), "gender", ["FEMALE", "MALE"]).select("chi_square", "df"), f"""WITH {_risk()}, r AS (SELECT time_days AS t, had_outcome AS e, gender_name AS g FROM risk), ts AS (SELECT DISTINCT t FROM r WHERE e = 1),
- at AS (SELECT ts.t, count(*) AS n, sum(CASE WHEN r.t = ts.t THEN e ELSE 0 END) AS d, sum(CASE WHEN g = 'FEMALE' THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN r.t = ts.t AND g = 'FEMALE' THEN e ELSE 0 END) AS d1 FROM ts JOIN r ON r.t >= ts.t GROUP BY ts.t)
- SELECT round(power(sum(d1) - sum(n1 * d * 1.0::DOUBLE / n), 2) / sum(CASE WHEN n > 1 THEN n1 * (n - n1)::DOUBLE * d * (n - d) / (n::DOUBLE * n * (n - 1)) ELSE 0 END), 4) AS chi_square, 1 AS df FROM at""")
+ tt AS (SELECT ts.t, count(*) AS n, sum(CASE WHEN r.t = ts.t THEN e ELSE 0 END) AS d, sum(CASE WHEN g = 'FEMALE' THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN r.t = ts.t AND g = 'FEMALE' THEN e ELSE 0 END) AS d1 FROM ts JOIN r ON r.t >= ts.t GROUP BY ts.t)
+ SELECT round(power(sum(d1) - sum(n1 * d * 1.0::DOUBLE / n), 2) / sum(CASE WHEN n > 1 THEN n1 * (n - n1)::DOUBLE * d * (n - d) / (n::DOUBLE * n * (n - 1)) ELSE 0 END), 4) AS chi_square, 1 AS df FROM tt""")
 
 # ---------------------------------------------------------------------------------------------
 # vocabulary
