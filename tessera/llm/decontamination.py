@@ -27,7 +27,7 @@ from tessera.llm.quality import let
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 12
+RADIUS = 16
 BLOCKS = RADIUS + 1
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,9 +77,10 @@ def benchmark_items(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return materialize(items.select("item_id", "n", "size", "shingles", counted(F.col("shingles")).alias("weighted"), simhash(F.col("words")).alias("fingerprint")))
 
 
-def _needed(n: Column, size: int) -> Column:
-    """How many of the n - size + 1 shingles of a window must be from items."""
-    return F.greatest(F.lit(1), F.ceil((n - size + 1) * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9).cast("int"))
+def _needed(n: Column, total: Column, size: int) -> Column:
+    """How many shingles of a window, the whole of a document of fewer than n words, must be from items."""
+    both = (n - size + 1) + (F.least(n, total) - size + 1)
+    return F.greatest(F.lit(1), F.ceil(both * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).cast("int"))
 
 
 def _starts(places: Column, n: Column, needed: Column, total: Column, size: int) -> Column:
@@ -125,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     starts = F.array().cast("array<int>")
     for size in range(1, SHINGLE + 1):
         n = F.col("n")
-        starts = F.when(F.col("size") == size, _starts(F.col("places"), n, _needed(n, size), F.col("total"), size)).otherwise(starts)
+        starts = F.when(F.col("size") == size, _starts(F.col("places"), n, _needed(n, F.col("total"), size), F.col("total"), size)).otherwise(starts)
     at = places.select("doc_id", F.struct("n", "size", starts.alias("starts")).alias("x")).where(F.size("x.starts") > 0).groupBy("doc_id").agg(F.collect_list("x").alias("at"))
     at = materialize(at)
     here = docs.join(small(at, 256), "doc_id").select("doc_id", word_hashes(F.col("text")).alias("words"), F.explode("at").alias("x"))
