@@ -148,5 +148,5 @@ def test_line_dedup(spark):
     left = without_repeated_lines(df)
     assert left.columns == df.columns
     kept = {r.doc_id: (r.text, r.n_chars) for r in left.collect()}
-    assert kept[930001] == ("own first line of document 1 here", 33) and kept[900001] == (None, 7)
+    assert kept[930001] == ("own first line of document 1 here\n", 34) and kept[900001] == (None, 7)
     assert set(kept) == {i for i, (n, gone, t) in want.items() if not gone or t.strip(" \t\n\x0b\x0c\r")}
