@@ -36,6 +36,8 @@ from tessera.llm.common import COEF, PACKED, attach, bucket_count, by_document,
 CONTEXTS = "bucket int, anchor long, before int, text binary, docs binary, starts binary"
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 OUTSIDE = 256
+BLOCK = 4096
+FINER = 16
 
 
 def _sliding(values: np.ndarray, size: int, best) -> np.ndarray:
@@ -159,14 +161,17 @@ def repeated_starts(group: np.ndarray, text: list[bytes], before: np.ndarray, ma
     """
     n, reach = len(text), window - grain
     width = reach + window
-    columns = np.full((width, n), OUTSIDE, np.uint16)
     length = np.fromiter(map(len, text), np.int64, n)
-    raw = np.frombuffer(b"".join(text), np.uint8)
-    line = np.repeat(np.arange(n), length)
-    columns[ragged(reach - before, length), line] = raw
     with tempfile.TemporaryFile() as spool:
-        spool.write(columns.tobytes())
-        del columns, raw, line
+        columns = np.memmap(spool, np.uint16, "w+", shape=(width, n))
+        for a in range(0, n, BLOCK):
+            b = min(a + BLOCK, n)
+            block = np.full((b - a, width), OUTSIDE, np.uint16)
+            at = ragged(np.arange(b - a) * width + reach - before[a:b], length[a:b])
+            block.reshape(-1)[at] = np.frombuffer(b"".join(text[a:b]), np.uint8)
+            columns[:, a:b] = block.T
+        columns.flush()
+        del columns
         order = np.arange(n)
         common = np.zeros(n, np.int64)
         for column in range(width - 1, -1, -1):
@@ -272,6 +277,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     twice = docs.mapInArrow(anchor_points(window, grain, buckets), PACKED).groupBy("bucket").applyInArrow(repeated(buckets), PACKED)
     twice = materialize(merged(twice, grain))
     around = attach(docs, twice).where("spans is not null").select("doc_id", "text", "spans")
-    again = around.mapInArrow(contexts(window, grain, buckets), CONTEXTS).groupBy("bucket").applyInArrow(column_wise(window, grain, buckets), PACKED)
+    again = around.mapInArrow(contexts(window, grain, buckets * FINER), CONTEXTS).groupBy("bucket").applyInArrow(column_wise(window, grain, buckets), PACKED)
     again = materialize(merged(again, window))
     return attach(docs, again).select("doc_id", "text", "spans").mapInArrow(remaining(window), "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
