@@ -7,7 +7,8 @@
 3. Links are sought without listing all pairs of a bucket: in each round every bucket names one pivot for the members
    that are not yet in its component, the sketch discards hopeless pairs, and the full sets decide.
 4. What is left then, pairs of one bucket in different components, is joined without any cap, under the sketch and
-   the exact bound on set sizes, and verified on full sets.  So a pair of linked documents is missed only if all bands
+   two exact bounds, on set sizes and on the shingles that a document shares with other components at all, and under
+   sketches of more samples; then full sets decide.  So a pair of linked documents is missed only if all bands
    miss it (under 1e-7 at similarity 0.8) or the sketch is off by more than five standard deviations.
 
 Rows: null or empty texts have no shingles and link with nothing.  A text of fewer words than a shingle has its whole
@@ -18,6 +19,8 @@ kept and has no component.  Ties go to the smallest doc_id.  An empty table give
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +34,49 @@ SAMPLES, ROWS = 128, 4
 BANDS = SAMPLES // ROWS
 SKETCH_BITS = 512
 SKETCH_FLOOR = 0.56
-ROUNDS = 3
+FINE_SAMPLES, FINE_BITS, FINE_FLOOR = 512, 2048, 0.7
+ROUNDS = 2
 
 _rng = np.random.default_rng(77)
-_MUL = (_rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_ADD = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
-_SALT = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
+_MUL = (_rng.integers(1, 1 << 32, FINE_SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_ADD = _rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint64).astype(np.uint32)
+_SALT = _rng.integers(1, 1 << 63, FINE_SAMPLES, dtype=np.uint64)
 
 
-def popcount_bound(similarity: float) -> int:
+def popcount_bound(similarity: float, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
     """The XOR population count that two sketches of this similarity have on average."""
-    differing = 2 * SAMPLES * (1 - similarity)
-    return math.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differing))
+    differing = 2 * samples * (1 - similarity)
+    return math.ceil(bits / 2 * (1 - (1 - 2 / bits) ** differing))
+
+
+def minhashes(sets: np.ndarray, at: np.ndarray, samples: int):
+    """Each sample's least value of every set, and the sketch bit it toggles; at are the sets' first places."""
+    low = (mix(sets) >> np.uint64(32)).astype(np.uint32)
+    values = np.empty_like(low)
+    for i in range(samples):
+        np.multiply(low, _MUL[i], out=values)
+        values += _ADD[i]
+        sample = np.minimum.reduceat(values, at).astype(np.uint64)
+        yield i, sample, mix(sample ^ _SALT[i])
+
+
+def fine_sketches(size: int):
+    """A mapInArrow function from (rep, component, text) to (rep, fine): an odd sketch of more samples."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in chunks(batch.column(2)):
+                sets, doc = shingles(data, offsets, size)
+                rows, at = np.unique(doc, return_index=True)
+                bits = np.zeros((len(rows), FINE_BITS), bool)
+                if len(rows):
+                    for _, _, place in minhashes(sets, at, FINE_SAMPLES):
+                        bits[np.arange(len(rows)), (place % np.uint64(FINE_BITS)).astype(np.int64)] ^= True
+                flat = np.packbits(bits, axis=1).view(np.int64).ravel() if len(rows) else np.zeros(0, np.int64)
+                edges = np.arange(len(rows) + 1, dtype=np.int32) * (FINE_BITS // 64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + lo)), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], ["rep", "fine"])
+
+    return run
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +121,10 @@ def signatures(size: int):
                     at = np.r_[0, np.cumsum(count[some])[:-1]]
                     for k in range(2):
                         prints[k, some] = np.add.reduceat(mix(sets ^ _SALT[k]), at)
-                    low = (mix(sets) >> np.uint64(32)).astype(np.uint32)
-                    row, values = np.arange(len(some)), np.empty_like(low)
-                    for i in range(SAMPLES):
-                        np.multiply(low, _MUL[i], out=values)
-                        values += _ADD[i]
-                        sample = np.minimum.reduceat(values, at).astype(np.uint64)
+                    row = np.arange(len(some))
+                    for i, sample, place in minhashes(sets, at, SAMPLES):
                         bands[:, i // ROWS] += mix(sample + _SALT[i])
-                        bits[row, (mix(sample ^ _SALT[i]) % np.uint64(SKETCH_BITS)).astype(np.int64)] ^= True
+                        bits[row, (place % np.uint64(SKETCH_BITS)).astype(np.int64)] ^= True
                     bands = mix(bands ^ np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 sketch = np.packbits(bits, axis=1).view(np.int64) if len(some) else np.zeros((0, SKETCH_BITS // 64), np.int64)
                 here = np.zeros(n, np.int64)
@@ -154,9 +184,34 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
     return materialize(joined.mapInArrow(overlaps(size, num, den), "a long, b long"))
 
 
+def shingle_rows(size: int):
+    """A mapInArrow function from (rep, component, text) to a row for each distinct shingle."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in chunks(batch.column(2)):
+                sets, doc = shingles(data, offsets, size)
+                at = pa.array(doc + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sets.astype(np.int64))], ["rep", "component", "h"])
+
+    return run
+
+
+def foreign_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, foreign): how many shingles of a document some document of another component has; texts is (rep, component, text)."""
+    rows = texts.mapInArrow(shingle_rows(size), "rep long, component long, h long")
+    spread = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+    return rows.join(spread, "h", "left_semi").groupBy("rep").agg(F.count("*").alias("foreign"))
+
+
+def _differing(column: str, bits: int):
+    """The XOR population count of the sketches of rows x and y."""
+    return reduce(add, (F.bit_count(F.col(f"x.{column}")[i].bitwiseXOR(F.col(f"y.{column}")[i])) for i in range(bits // 64)))
+
+
 def _close(one: str, two: str, num: int, den: int):
     """Whether two rows with set sizes and sketches may be linked: exact bound on the sizes, then the sketches."""
-    apart = sum((F.bit_count(F.col(f"{one}.sketch")[i].bitwiseXOR(F.col(f"{two}.sketch")[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(f"{one}.sketch")[0].bitwiseXOR(F.col(f"{two}.sketch")[0])))
+    apart = _differing("sketch", SKETCH_BITS)
     sizes = F.least(f"{one}.n_shingles", f"{two}.n_shingles") * den >= F.greatest(f"{one}.n_shingles", f"{two}.n_shingles") * num
     return apart, sizes & (apart <= popcount_bound(SKETCH_FLOOR))
 
@@ -176,9 +231,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = materialize(known.select("doc_id", "p", "q", "n_shingles").join(classes, ["p", "q", "n_shingles"]).select("doc_id", "rep").distinct())
     reps = materialize(known.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch"))
 
-    places = reps.select("rep", F.explode("bands").alias("key"))
+    places = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = places.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("key", "pivot")
-    members = materialize(places.join(shared, "key").select("key", "rep", "pivot"))
+    members = materialize(places.join(shared, "key").select("key", "band", "rep", "pivot"))
     sketches = materialize(reps.select("rep", "n_shingles", "sketch").join(members.select("rep").distinct(), "rep", "left_semi"))
 
     def closest(candidates: DataFrame) -> DataFrame:
@@ -202,13 +257,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = connected_components(links)
 
     # the rest, exactly: pairs of one bucket in different components
-    placed = members.select("key", "rep").join(labels, members.rep == labels.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(labels, members.rep == labels.id, "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
     most = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("x.component").alias("main"))
-    mixed = materialize(placed.join(most, "key").join(sketches, "rep").select("key", "rep", "component", "main", "n_shingles", "sketch"))
+    mixed = materialize(placed.join(most, "key").join(sketches, "rep").select("key", "band", "rep", "component", "main", "n_shingles", "sketch"))
     _, near = _close("x", "y", num, den)
-    x, y = mixed.where("component <> main").alias("x"), mixed.alias("y")
-    different = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-    left = x.join(y, different & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & near
+    # a bucket's main component is only compared with the others, not with itself; first who has a partner at all
+    others = mixed.where("component <> main").alias("x").join(mixed.alias("y"), apart, "left_semi")
+    others = materialize(others)
+    rest = materialize(mixed.where("component = main").alias("x").join(others.alias("y"), apart, "left_semi"))
+    alive = materialize(others.unionByName(rest).select("rep", "component").distinct())
+    texts = materialize(docs.join(small(alive, 32), docs.doc_id == alive.rep).dropDuplicates(["doc_id"]).select("rep", "component", "text"))
+    more = foreign_shingles(texts, size).join(texts.mapInArrow(fine_sketches(size), "rep long, fine array<long>"), "rep").join(reps.select("rep", "bands"), "rep")
+    more = materialize(more)
+    one, two = (df.drop("sketch").join(more, "rep") for df in (others, others.unionByName(rest)))
+    # |intersection| <= least(foreign): too few shingles that other components have rule a link out
+    sizes = F.least("x.n_shingles", "y.n_shingles") * den >= F.greatest("x.n_shingles", "y.n_shingles") * num
+    enough = (num + den) * F.least("x.foreign", "y.foreign") >= num * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))
+    close = _differing("fine", FINE_BITS) <= popcount_bound(FINE_FLOOR, FINE_SAMPLES, FINE_BITS)
+    met = reduce(or_, ((F.col("x.band") > i) & (F.col("x.bands")[i] == F.col("y.bands")[i]) for i in range(BANDS)))  # in an earlier bucket
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    left = one.alias("x").join(two.alias("y"), same & sizes & enough & once & close & ~met).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     new = verified(materialize(left), docs, size, num, den)
     if new.limit(1).count():
         links = materialize(links.unionByName(new))
