@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 _TAIL = ".,;:!?"
 _ASCII_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,80 +49,73 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.cores: dict[str, tuple[int, ...]] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin = [0]
-        self.begin_at = np.zeros(1, np.int64)
+        """Forget all words.  A word is two segments of `flat`: its letters, and the marks at its end or nothing (segment 0)."""
+        self.words: dict[str, int] = {}
+        self.segments: dict[str, int] = {"": 0}
+        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.parts = np.zeros((0, 2), np.int32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_word:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.array([x for ids in found for x in ids], np.uint32), np.array([len(x) for x in found], np.int64)
-        if len(self.codes) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS:
             self._clear()
         split = [_words(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         flat = list(chain.from_iterable(split))
-        codes = list(map(self.codes.get, flat))
+        codes = list(map(self.words.get, flat))
         if None in codes:
             self._learn(list(dict.fromkeys(w for w, c in zip(flat, codes) if c is None)))
-            codes = list(map(self.codes.get, flat))
-        codes = np.array(codes, np.int64)
-        if len(self.begin) != len(self.begin_at):
-            self.begin_at = np.array(self.begin)
-        begin = self.begin_at
-        lengths = begin[codes + 1] - begin[codes]
+            codes = list(map(self.words.get, flat))
+        segment = self.parts[np.array(codes, np.int64)].ravel()
+        begin = self.begin[segment]
+        lengths = self.begin[segment + 1] - begin
         ends = np.cumsum(lengths)
-        ids = self.flat[np.arange(int(lengths.sum())) + np.repeat(begin[codes] - (ends - lengths), lengths)]
-        upto = np.r_[0, ends][np.cumsum(counts)]
+        ids = self.flat[np.arange(int(lengths.sum())) + np.repeat(begin - (ends - lengths), lengths)]
+        upto = np.r_[0, ends][2 * np.cumsum(counts)]
         return ids, np.diff(np.r_[0, upto])
 
     def _encode_alone(self, pieces: list[str]) -> None:
-        """Learn the ids of single words; words of letters are one piece each, so many go in one text and are cut at word ends."""
+        """Learn segments; words of letters are one piece each, so many go in one text and are cut at word ends."""
         letters = [x for x in pieces if x.isalpha()] if self.word_end is not None else []
-        groups = [letters[i : i + 64] for i in range(0, len(letters), 64)]
         rest = [x for x in pieces if not x.isalpha()] if self.word_end is not None else pieces
+        groups = [letters[i : i + 64] for i in range(0, len(letters), 64)]
+        known: list[str] = []
+        ids: list[np.ndarray] = [self.flat]
+        sizes: list[np.ndarray] = [np.diff(self.begin)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, np.int64)
-            ends = np.flatnonzero(self.word_end[ids]) + 1
+            own = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.word_end[own]) + 1
             if len(ends) != len(group):
                 rest += group
                 continue
-            ids, at = ids.tolist(), 0
-            for x, end in zip(group, ends.tolist()):
-                self.cores[x] = tuple(ids[at:end])
-                at = end
+            known += group
+            ids.append(own)
+            sizes.append(np.diff(ends, prepend=0))
         for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.cores[x] = tuple(e.ids)
+            known.append(x)
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(e.ids)]))
+        self.segments.update(zip(known, range(len(self.segments), len(self.segments) + len(known))))
+        self.flat = np.concatenate(ids)
+        self.begin = np.r_[0, np.cumsum(np.concatenate(sizes))]
 
     def _learn(self, new: list[str]) -> None:
-        parts, unseen = [], {}
+        cores, tails = [], []
         for w in new:
             core = w.rstrip(_TAIL)
-            tail = w[len(core) :]
-            if not core.isalpha():
-                core, tail = w, ""
-            elif self.lower and core.isascii():
-                core = core.lower()
-            parts.append((core, tail))
-            for x in (core, tail):
-                if x and x not in self.cores:
-                    unseen[x] = None
-        if unseen:
-            self._encode_alone(list(unseen))
-        cores, codes, begin = self.cores, self.codes, self.begin
-        added: list[int] = []
-        at = begin[-1]
-        for w, (core, tail) in zip(new, parts):
-            codes[w] = len(begin) - 1
-            ids = cores[core] + cores[tail] if core and tail else cores[core or tail]
-            added.extend(ids)
-            at += len(ids)
-            begin.append(at)
-        if at > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(at, len(self.flat)), np.uint32)])
-        self.flat[at - len(added) : at] = added
+            if core.isalpha():
+                tails.append(w[len(core) :])
+                cores.append(core.lower() if self.lower and core.isascii() else core)
+            else:
+                cores.append(w)
+                tails.append("")
+        if unseen := [x for x in dict.fromkeys(chain(cores, tails)) if x not in self.segments]:
+            self._encode_alone(unseen)
+        at = self.segments.__getitem__
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.parts = np.concatenate([self.parts, np.stack([np.fromiter(map(at, cores), np.int32, len(new)), np.fromiter(map(at, tails), np.int32, len(new))], 1)])
 
 
 @functools.lru_cache(maxsize=2)
