@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment.
 
-1. Lines of at least MIN_WORDS words are anchors.  An anchor line is shared if several documents have it, rare if at
-   most RARE of them do.  A document is paired with the first document (smallest doc_id) that has one of its rare lines;
-   a document with shared lines but no rare ones is paired through its rarest.  So a line that very many documents
-   share costs one pair for each of them, never all pairs, and no document with a shared line is left out.
+1. Lines of at least MIN_WORDS words are anchors.  An anchor line is shared if several documents have it.  A document is
+   paired with the first document (smallest doc_id) of each of its shared lines, however many documents have the line.
+   So a line that very many documents share costs at most one pair for each of them, never all pairs, and no shared line
+   is left out.
 2. Each pair is aligned by patience diff: lines that occur once in both are matched along the longest increasing
    subsequence, the stretches between are aligned likewise, and matches are extended over equal neighbours.
 3. From the later document of the pair every aligned block with an anchor line is deleted.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import attach, byte_prefix, chunks, covered, keyed, materialize, mix, powers, read_spans, words
 
 MIN_WORDS = 5
+#: Documents of a rare line; pairs don't depend on it, tests describe lines by it.
 RARE = 64
 LINES = "doc_id long, n_lines int, hashes binary, anchors binary"
 
@@ -190,12 +191,9 @@ def line_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the lines to delete from each document that loses any; docs are (doc_id, text); materialized."""
     hashed = materialize(docs.where("doc_id is not null").mapInArrow(line_hashes(), LINES))
     places = hashed.select("doc_id", "n_lines", "hashes", "anchors").mapInArrow(anchor_lines(), "line long, doc_id long")
-    owners = places.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.max("doc_id").alias("last")).where("first <> last")
+    owners = places.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
     # every document's own line with the first document that has it; owners has one row for a line, however hot
-    shared = materialize(places.join(owners.select("line", "first", "n"), "line").where("doc_id <> first").select("doc_id", "first", "n", "line"))
-    rare = shared.where(F.col("n") <= RARE).select("doc_id", "first")
-    rarest = shared.groupBy("doc_id").agg(F.min(F.struct("n", "first")).alias("x")).select("doc_id", F.col("x.first").alias("first"))
-    pairs = materialize(rare.unionByName(rarest).distinct())
+    pairs = materialize(places.join(owners.select("line", "first"), "line").where("doc_id <> first").select("doc_id", "first").distinct())
     own = hashed.select("doc_id", "hashes", "anchors")
     earlier = hashed.select(F.col("doc_id").alias("first"), F.col("hashes").alias("other")).dropDuplicates(["first"])
     aligned = pairs.join(own, "doc_id").join(earlier, "first").select("doc_id", "hashes", "anchors", "other")

@@ -150,3 +150,19 @@ def test_line_dedup(spark):
     kept = {r.doc_id: (r.text, r.n_chars) for r in left.collect()}
     assert kept[930001] == ("own first line of document 1 here\n", 34) and kept[900001] == (None, 7)
     assert set(kept) == {i for i, (n, gone, t) in want.items() if not gone or t.strip(" \t\n\x0b\x0c\r")}
+
+
+def test_lines_of_very_many_documents(spark):
+    """Each repeated line goes, also where many documents have it and the document's rare line leads to one without it."""
+    hot = ["the first line that very many documents have", "the second line that very many documents have"]
+    rare = [f"the rare line number {k} of two documents" for k in range(RARE + 6)]
+    rows = [(1, hot[0]), (2, hot[1])] + [(100 + k, x) for k, x in enumerate(rare)]
+    rows += [(1000 + k, "\n".join([hot[0], f"own words of the document numbered {k}", x, hot[1], "short end"])) for k, x in enumerate(rare)]
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want, seen = {}, set()
+    for i, text in rows:
+        lines = text.split("\n")
+        kept = [x for x in lines if x not in seen or len(x.split()) < MIN_WORDS]
+        seen.update(lines)
+        want[i] = (len(lines) - len(kept), "\n".join(kept))
+    assert got == want and want[1001] == (3, "own words of the document numbered 1\nshort end")
