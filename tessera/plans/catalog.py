@@ -299,7 +299,7 @@ _raw("codebook_labels", lambda spark, d: vocabulary.codebook_labels(_read(spark,
 _UN = "(SELECT drug_source_value AS source_value, min(drug_source_name) AS source_name, count(*) AS n_records, count(DISTINCT person_id) AS n_persons FROM drug_exposure WHERE drug_concept_id = 0 GROUP BY 1)"
 _YES = "action IN ('approved', 'modified')"
 _cdm("list_unmapped", lambda cdm: mapping.list_unmapped(cdm, "Drug"), f"SELECT * FROM {_UN} x")
-_terms = lambda cdm: cdm.table("concept").where("domain_id = 'Drug' and concept_id % 7 = 3").select(F.col("concept_code").alias("source_value"), F.upper("concept_name").alias("source_name"))
+_terms = lambda cdm: cdm.table("concept").where("domain_id = 'Drug'").select(F.col("concept_code").alias("source_value"), F.upper("concept_name").alias("source_name"))
 _TERMS = "(SELECT concept_code AS source_value, upper(concept_name) AS source_name FROM concept WHERE domain_id = 'Drug' AND concept_id % 7 = 3)"
 _OK = "standard_concept = 'S' AND invalid_reason IS NULL AND domain_id = 'Drug'"
 _EXACT = f"SELECT source_value, concept_id, concept_name, 'exact' AS strategy, 95 AS confidence FROM {_TERMS} t JOIN concept ON concept_code = source_value WHERE {_OK}"

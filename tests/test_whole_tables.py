@@ -2,13 +2,16 @@
 
 import pytest
 
+from tessera.operators import mapping
 from tessera.plans import catalog
-from tessera.sources.cdm import ONE_IN_FIFTY, star_cdm
+from tessera.sources.cdm import ONE_IN_FIFTY, Cdm, star_cdm
 from tests.oracle import SMALL, connect, same
 
 SQL = catalog.oracle_sql()
 DECISIONS = ("mapping_consensus", "mapping_pending", "mapping_warnings", "mapping_redundant", "mapping_apply_overlay", "bulk_decisions", "strategy_stats", "mapping_kpis")
 
+SUGGESTIONS = ("suggest_exact", "suggest_maps_to", "suggest_ingredient", "suggest_merged")
+
 
 def test_every_line_is_a_decision(spark):
     assert star_cdm(spark, SMALL).table("decision").count() == spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
@@ -17,3 +20,18 @@ def test_every_line_is_a_decision(spark):
 @pytest.mark.parametrize("name", DECISIONS)
 def test_query_takes_all_decisions(spark, name):
     same(catalog.queries()[name](spark, SMALL), connect(), SQL[name].replace(ONE_IN_FIFTY, ""))
+
+
+@pytest.mark.parametrize("name", SUGGESTIONS)
+def test_query_suggests_for_all_terms(spark, name):
+    same(catalog.queries()[name](spark, SMALL), connect(), SQL[name].replace(" AND concept_id % 7 = 3", ""))
+
+
+def test_ingredient_of_terms_with_several_names(spark):
+    """Terms that share an ingredient and brand get the same concepts; those with two names the best of both."""
+    concepts = [(k, name, "c", "Drug", "S", None) for k, name in enumerate(["red bolt", "red bolt b", "blue bolt", "small bolt", "nut"])]
+    cdm = Cdm({"concept": spark.createDataFrame(concepts, "concept_id int, concept_name string, concept_code string, domain_id string, standard_concept string, invalid_reason string")})
+    terms = spark.createDataFrame([("t1", "RED BOLT 5 MG (B)"), ("t2", "RED BOLT 5 MG (B)"), ("t3", "BLUE BOLT"), ("t3", "RED BOLT"), ("nut", None)], "source_value string, source_name string")
+    got = {(r.source_value, r.concept_id, r.confidence) for r in mapping.suggest_ingredient(cdm, terms, "Drug", 2).collect()}
+    red = {(0, 90), (1, 83)}
+    assert got == {("t1", *x) for x in red} | {("t2", *x) for x in red} | {("t3", 2, 85), ("t3", 0, 85), ("nut", 4, 85)}
