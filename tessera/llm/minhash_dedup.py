@@ -138,50 +138,32 @@ def signatures(size: int):
     return run
 
 
-def overlaps(size: int, num: int, den: int):
-    """A mapInArrow function that keeps the pairs (a, b, text_a, text_b) whose full sets are similar enough."""
+def shingle_sets(size: int):
+    """A mapInArrow function from (rep, text) to (rep, shingles): the full set of each document, in order."""
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = np.zeros(len(a), bool)
-            both = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(np.arange(2 * len(a)).reshape(2, -1).T.ravel()))
-            even = 0
-            for lo, hi, data, offsets in _even(chunks(both)):
+            for lo, hi, data, offsets in chunks(batch.column(1)):
                 sets, doc = shingles(data, offsets, size)
-                count = np.bincount(doc, minlength=hi - lo)
-                pair = np.sort(((doc >> 1).astype(np.uint64) << np.uint64(48)) | sets)
-                shared = np.bincount((pair[1:][pair[1:] == pair[:-1]] >> np.uint64(48)).astype(np.int64), minlength=(hi - lo) // 2)
-                union = count[0::2] + count[1::2] - shared
-                keep[even : even + len(union)] = (den * shared >= num * union) & (union > 0)
-                even += len(union)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+                edges = np.zeros(hi - lo + 1, np.int32)
+                np.cumsum(np.bincount(doc, minlength=hi - lo), out=edges[1:])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edges), pa.array(sets.astype(np.int64)))], ["rep", "shingles"])
 
     return run
 
 
-def _even(parts):
-    """Chunks that hold whole pairs of neighbours: an odd chunk takes the next one too."""
-    held = None
-    for lo, hi, data, offsets in parts:
-        if held:
-            lo, data, offsets = held[0], np.concatenate([held[2], data]), np.r_[held[3], held[3][-1] + offsets[1:]]
-            held = None
-        if (hi - lo) % 2:
-            held = lo, hi, data, offsets
-        else:
-            yield lo, hi, data, offsets
-
-
 def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) that are linked by their full sets; pairs must be materialized."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = docs.join(small(ids, 24), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = materialize(texts)
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return materialize(joined.mapInArrow(overlaps(size, num, den), "a long, b long"))
+    """Those of pairs (a, b) that are linked by their full sets; pairs must be materialized.
+
+    A document's set is made once, however many pairs it is in; the joins hold a row's two sets at a time.
+    """
+    ids = materialize(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct())
+    texts = docs.join(small(ids, 24), docs.doc_id == ids.rep, "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(texts.select("doc_id", "text").mapInArrow(shingle_sets(size), "rep long, shingles array<long>"))
+    one, two = sets.toDF("a", "own"), sets.toDF("b", "other")
+    shared = F.size(F.array_intersect("own", "other"))
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", shared.alias("n"), (F.size("own") + F.size("other")).alias("total"))
+    return materialize(joined.where((den + num) * F.col("n") >= num * F.col("total")).select("a", "b"))
 
 
 def shingle_rows(size: int):
