@@ -4,8 +4,8 @@ Only how many pieces there are of each length matters for a plan, and lengths ar
 pieces are counted by length, the plan is made from these at most `capacity` counts on the driver, and the pieces are
 then given places by their number within their length.
 
-The plan takes lengths from the longest down.  The gap that a piece leaves is looked up among the single lengths, the
-sums of two and the sums of three lengths that are still available; a combination that fills it exactly is used as
+The plan takes lengths from the longest down.  The gap that a piece leaves is looked up in a hash of the single lengths,
+the sums of two and the sums of three lengths that are still available; a combination that fills it exactly is used as
 often as its counts allow.  Only when no gap can be filled exactly do the pieces left go best-fit: into the open gap
 they leave least of.
 
@@ -23,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, materialize
-from tessera.llm.tokens import encoder
+from tessera.llm.common import keyed, materialize, ragged
+from tessera.llm.tokens import encoder, slices
 
-SLICE_ROWS = 256
-SALTS = 64
+SALTS, SALT_ROWS = 64, 100_000
 
 
 def pieces(path: str, end_id: int, capacity: int, with_ids: bool):
@@ -36,22 +35,27 @@ def pieces(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches):
         coder = encoder(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids, counts = coder.encode(texts)
-                out: list[list] = [[], [], [], [], [], []]
-                at = 0
-                for doc, n in zip(part.column(0).to_pylist(), counts.tolist()):
-                    own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
-                    at += n
-                    for k, start in enumerate(range(0, n + 1, capacity)):
-                        raw = own[start : start + capacity].tobytes()
-                        for column, value in zip(out, (doc, k, start, len(raw) // 4, zlib.crc32(raw), raw)):
-                            column.append(value)
-                columns = [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays(columns[: 5 + with_ids], names[: 5 + with_ids])
+            for lo, hi in slices(batch.column(1)):
+                ids, counts = coder.encode(batch.column(1).slice(lo, hi - lo))
+                marked = np.full(len(ids) + len(counts), end_id, "<u4")
+                own = np.ones(len(marked), bool)
+                own[np.cumsum(counts + 1) - 1] = False
+                marked[own] = ids
+                cuts = counts // capacity + 1
+                row = np.repeat(np.arange(hi - lo), cuts)
+                number = ragged(np.zeros(hi - lo, np.int64), cuts)
+                start = number * capacity
+                length = np.minimum(counts[row] + 1 - start, capacity)
+                edges = np.zeros(len(row) + 1, np.int64)
+                np.cumsum(4 * length, out=edges[1:])  # the pieces stand in marked one after another
+                raw, at = memoryview(marked).cast("B"), edges.tolist()
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
+                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(marked)]))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -62,30 +66,53 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacit
     return keyed(docs, id_col, text_col).mapInArrow(pieces(tokenizer_path, end_id, capacity, with_ids), schema)
 
 
-def _complement(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths, the longest possible first, that sum to gap."""
+class Sums:
+    """Hash index: sum -> the single lengths, pairs and triples of available lengths that make it, longest first.
 
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        hi = min(most, total - 1)
-        lo = (total + 1) // 2
-        if hi < lo:
+    An entry is made when its sum is first asked for.  Counts only fall, so what has run out is dropped from an entry
+    for good; what is short only because the asking piece uses it too is passed over.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def _enough(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def _pair(self, total: int, most: int, *used: int) -> tuple[int, int] | None:
+        if total not in self.pairs:
+            longer = np.arange(-(-total // 2), min(total, len(self.left)))
+            self.pairs[total] = longer[(self.left[longer] > 0) & (self.left[total - longer] > 0)].tolist()
+        entry = self.pairs[total]
+        for k in range(len(entry) - 1, -1, -1):
+            a = entry[k]
+            if not self._enough(a, total - a):
+                del entry[k]
+            elif a <= most and self._enough(*used, a, total - a):
+                return a, total - a
+        return None
+
+    def find(self, gap: int, used: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that sum to gap, available beside one piece of length used."""
+        if gap < 1:
             return None
-        a = np.arange(hi, lo - 1, -1)
-        ok = (left[a] > 0) & (left[total - a] > 0) & ((2 * a != total) | (left[a] > 1))
-        return (int(a[k]), total - int(a[k])) if ok[k := int(ok.argmax())] else None
-
-    if gap < len(left) and left[gap] > 0:
-        return (gap,)
-    if two := pair(gap, gap):
-        return two
-    for a in range(min(gap - 2, len(left) - 1), (gap + 2) // 3 - 1, -1):
-        if left[a] > 0:
-            left[a] -= 1
-            two = pair(gap - a, a)
-            left[a] += 1
-            if two:
+        if self._enough(used, gap):
+            return (gap,)
+        if two := self._pair(gap, gap, used):
+            return two
+        if gap not in self.triples:
+            longest = np.arange(-(-gap // 3), min(gap - 1, len(self.left)))
+            self.triples[gap] = longest[self.left[longest] > 0].tolist()
+        entry = self.triples[gap]
+        for k in range(len(entry) - 1, -1, -1):
+            a = entry[k]
+            if not self.left[a]:
+                del entry[k]
+            elif two := self._pair(gap - a, a, used, a):
                 return (a, *two)
-    return None
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -98,15 +125,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     for length, n in counts.items():
         left[length] = n
     out: list[tuple[tuple[int, ...], int]] = []
+    sums = Sums(left)
     for length in range(capacity, 0, -1):
         while left[length] > 0:
             if length == capacity:
                 out.append(((length,), int(left[length])))
                 left[length] = 0
                 break
-            left[length] -= 1
-            fill = _complement(left, capacity - length)
-            left[length] += 1
+            fill = sums.find(capacity - length, length)
             if fill is None:
                 break
             whole = (length, *fill)
@@ -178,9 +204,10 @@ def best_fit_pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
     """The pieces of cut_documents() with sequence_id and offset; a sequence is gapless from offset 0.
 
     cut should be materialized.  Pieces are numbered within (length, salt), the salts of a length one after another,
-    so that a length which many pieces have is not numbered in one task.
+    so that a length which many pieces have is not numbered in one task; salts follow the number of pieces.
     """
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    salts = max(SALTS, cut.count() // SALT_ROWS)
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counted = materialize(counted)
     totals = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}

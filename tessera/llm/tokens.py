@@ -1,7 +1,8 @@
-"""Token ids of documents with a public tokenizer, through a cache of words.
+"""Token ids of documents with a public tokenizer, through the distinct words of a slice of text.
 
 For a tokenizer whose pre-tokenizer never lets a piece span white space, the ids of a text are those of its white-space
-separated words in a row, so each word is encoded once for a worker.
+separated words in a row.  Arrow finds the distinct words of a slice, and only those are looked at in Python; what was
+encoded before is kept in a cache of bounded size.
 """
 
 from __future__ import annotations
@@ -9,25 +10,40 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHE_WORDS = 1_000_000
+from tessera.llm.common import LOWER, SPACE, ragged, string_buffers, word_hashes, words
+
+#: Segments of words that a worker keeps, with about 60 bytes for each.
+CACHE_SEGMENTS = 1_000_000
+#: Bytes of text whose words are made distinct at once; a longer document is a slice of its own.
+SLICE_BYTES = 8 << 20
 _TAIL = ".,;:!?"
-_ASCII_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _words(text: str) -> list[str]:
-    """Words between white space; the separators 1C-1F, white space for str.split(), are not for tokenizers."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return _ASCII_WORD.findall(text)
-    return text.split()
+def slices(column):
+    """(first row, row after the last) of consecutive rows with about SLICE_BYTES of text."""
+    _, offsets = string_buffers(column)
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = min(max(int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1, lo + 1), n)
+        yield lo, hi
+        lo = hi
+
+
+def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """An Arrow column of strings of the given sizes, one after another in data."""
+    edges = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=edges[1:])
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 class WordEncoder:
-    """encode(texts) -> (ids of all texts in a row, number of ids of each text)."""
+    """encode(column of texts) -> (ids of all texts in a row, number of ids of each text)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,7 +54,13 @@ class WordEncoder:
         steps = (spec.get("normalizer") or {}).get("normalizers") or []
         # words may be encoded alone only if white space separates pieces and is dropped, and nothing is added to a text
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        self.by_word = bool(any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} for s in steps) and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])))
+        self.by_word = bool(
+            any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} for s in steps)
+            and split.get("type") == "Split"
+            and split.get("behavior") == "Removed"
+            and split.get("invert")
+            and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
+        )
         self.lower = any(s.get("type") == "Lowercase" for s in steps)
         self.tokenizer = Tokenizer.from_file(path)
         suffix, self.word_end = spec["model"].get("end_of_word_suffix"), None
@@ -49,76 +71,101 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        """Forget all words.  A word is two segments of `flat`: its letters, and the marks at its end or nothing (segment 0)."""
-        self.words: dict[str, int] = {}
-        self.segments: dict[str, int] = {"": 0}
-        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(2, np.int64)
-        self.parts = np.zeros((0, 2), np.int32)
+        """Forget all segments.  A word is two of them: its letters, and the marks at its end or nothing."""
+        self.segments = pa.array([], pa.large_string())
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the segments, by hash
+        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_word:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.array([x for ids in found for x in ids], np.uint32), np.array([len(x) for x in found], np.int64)
-        if len(self.words) > CACHE_WORDS:
-            self._clear()
-        split = [_words(t) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        flat = list(chain.from_iterable(split))
-        codes = list(map(self.words.get, flat))
-        if None in codes:
-            self._learn(list(dict.fromkeys(w for w, c in zip(flat, codes) if c is None)))
-            codes = list(map(self.words.get, flat))
-        segment = self.parts[np.array(codes, np.int64)].ravel()
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        data, offsets = string_buffers(column)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        starts, ends, first = words(data, offsets)
+        spelled = _strings(data[~SPACE[data]], ends - starts).dictionary_encode()
+        segment = self._segments(spelled.dictionary)
         begin = self.begin[segment]
         lengths = self.begin[segment + 1] - begin
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.arange(int(lengths.sum())) + np.repeat(begin - (ends - lengths), lengths)]
-        upto = np.r_[0, ends][2 * np.cumsum(counts)]
-        return ids, np.diff(np.r_[0, upto])
-
-    def _encode_alone(self, pieces: list[str]) -> None:
-        """Learn segments; words of letters are one piece each, so many go in one text and are cut at word ends."""
-        letters = [x for x in pieces if x.isalpha()] if self.word_end is not None else []
-        rest = [x for x in pieces if not x.isalpha()] if self.word_end is not None else pieces
-        groups = [letters[i : i + 64] for i in range(0, len(letters), 64)]
-        known: list[str] = []
-        ids: list[np.ndarray] = [self.flat]
-        sizes: list[np.ndarray] = [np.diff(self.begin)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            own = np.array(e.ids, np.uint32)
-            ends = np.flatnonzero(self.word_end[own]) + 1
-            if len(ends) != len(group):
-                rest += group
+        # what the distinct words are in ids, one after another, then each word of the text by its number
+        total = lengths.sum(axis=1)
+        own = self.flat[ragged(begin.ravel(), lengths.ravel())]
+        which = spelled.indices.to_numpy()
+        sizes = total[which]
+        ids = own[ragged((np.cumsum(total) - total)[which], sizes)]
+        upto = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=upto[1:])
+        return ids, np.diff(upto[first])
+
+    def _segments(self, distinct: pa.Array) -> np.ndarray:
+        """The two segments of each of some distinct words, learned where they are new."""
+        if len(self.segments) > CACHE_SEGMENTS:
+            self._clear()
+        data, offsets = string_buffers(distinct)
+        sizes = np.diff(offsets)
+        core = pc.utf8_rtrim(distinct, characters=_TAIL)
+        letters = pc.match_substring_regex(core, r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        held = np.where(letters, pc.binary_length(core).to_numpy(), sizes)
+        spelled = data[ragged(offsets[:-1], held)]
+        if self.lower:
+            spelled = np.where(np.repeat(letters, held), LOWER[spelled], spelled)
+        cores, tails = _strings(spelled, held), _strings(data[ragged(offsets[:-1] + held, sizes - held)], sizes - held)
+        both = pa.concat_arrays([cores, tails]).dictionary_encode()
+        return self._numbers(both.dictionary)[both.indices.to_numpy()].reshape(2, -1).T
+
+    def _numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The number of each of some distinct segments: found by hash, held against the text, learned where new."""
+        data, offsets = string_buffers(distinct)
+        hashes = word_hashes(data, offsets[:-1], offsets[1:])
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            likely = np.flatnonzero(self.hashes[at] == hashes)
+            number = self.numbers[at[likely]]
+            equal = pc.equal(distinct.take(pa.array(likely)), self.segments.take(pa.array(number))).to_numpy(zero_copy_only=False)
+            out[likely[equal]] = number[equal]
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            out[new] = np.arange(len(new)) + len(self.segments)
+            unseen = distinct.take(pa.array(new))
+            self._learn(unseen.to_pylist())
+            self.segments = pa.concat_arrays([self.segments, unseen])
+            both, number = np.concatenate([self.hashes, hashes[new]]), np.concatenate([self.numbers, out[new]])
+            order = np.argsort(both, kind="stable")
+            self.hashes, self.numbers = both[order], number[order]
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Add the ids of segments; words of letters are one piece each, so many go in one text and are cut at word ends."""
+        group = 256 if self.word_end is not None else 1
+        letters = [k for k, x in enumerate(pieces) if group > 1 and x.isalpha()]
+        groups = [letters[i : i + group] for i in range(0, len(letters), group)]
+        rest = [k for k, x in enumerate(pieces) if group == 1 or not x.isalpha()]
+        places: list[int] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for own, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(map(pieces.__getitem__, g)) for g in groups], add_special_tokens=False)):
+            found = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.word_end[found]) + 1
+            if len(ends) != len(own):
+                rest += own
                 continue
-            known += group
-            ids.append(own)
+            places += own
+            ids.append(found)
             sizes.append(np.diff(ends, prepend=0))
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known.append(x)
-            ids.append(np.array(e.ids, np.uint32))
-            sizes.append(np.array([len(e.ids)]))
-        self.segments.update(zip(known, range(len(self.segments), len(self.segments) + len(known))))
-        self.flat = np.concatenate(ids)
-        self.begin = np.r_[0, np.cumsum(np.concatenate(sizes))]
-
-    def _learn(self, new: list[str]) -> None:
-        cores, tails = [], []
-        for w in new:
-            core = w.rstrip(_TAIL)
-            if core.isalpha():
-                tails.append(w[len(core) :])
-                cores.append(core.lower() if self.lower and core.isascii() else core)
-            else:
-                cores.append(w)
-                tails.append("")
-        if unseen := [x for x in dict.fromkeys(chain(cores, tails)) if x not in self.segments]:
-            self._encode_alone(unseen)
-        at = self.segments.__getitem__
-        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-        self.parts = np.concatenate([self.parts, np.stack([np.fromiter(map(at, cores), np.int32, len(new)), np.fromiter(map(at, tails), np.int32, len(new))], 1)])
-
-
-@functools.lru_cache(maxsize=2)
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)]
+        places += rest
+        ids.append(np.fromiter(chain.from_iterable(alone), np.uint32))
+        sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+        flat, lengths = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
+        order = np.argsort(places)  # into the order of pieces
+        flat = flat[ragged((np.cumsum(lengths) - lengths)[order], lengths[order])]
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths[order])])
+        self.flat = np.concatenate([self.flat, flat])
+
+
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
     """The encoder of a worker; it and its cache outlive a task."""
     return WordEncoder(path)
