@@ -15,7 +15,7 @@ from tessera.llm.quality import quality_scores
 from tessera.llm.secrets import BASE, find_secrets, spans_text
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_dedup import suffix_dedup
-from tessera.llm.token_output import digests, pack_token_ids
+from tessera.llm.token_output import pack_token_ids
 
 CAPACITY = 4096
 
@@ -90,9 +90,7 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_token_ids(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=CAPACITY)
-    schema = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, ids_crc32 long, position_ids_crc32 long"
-    return packed.mapInArrow(digests(), schema)
+    return pack_token_ids(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=CAPACITY, digest=True)
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.packing import cut_documents
+from tessera.llm.common import keyed
+from tessera.llm.packing import pieces
 
 BLOCK_TOKENS = 4 << 20
-PACKED_ROWS = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, ids binary, position_ids binary"
+ROWS_OUT = 64
+PACKED_ROWS = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>"
 
 
 class RoomTree:
@@ -72,64 +74,73 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return sequences
 
 
-def _block(rows: list[tuple], capacity: int, pad_id: int, first: int) -> pa.RecordBatch:
+def _rows(rows: list[tuple], capacity: int, pad_id: int, first: int):
+    """The packed sequences of some pieces: sequence_id, n_tokens, doc_ids, pieces, cu_seqlens, ids, position_ids."""
     rows.sort(key=lambda r: (-len(r[2]), r[0] is None, r[0] or 0, r[1]))
-    out: list[list] = [[], [], [], [], [], [], []]
     for n, members in enumerate(best_fit_decreasing([len(r[2]) // 4 for r in rows], capacity)):
         own = [rows[k] for k in members]
         sizes = [len(r[2]) // 4 for r in own]
-        edges = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        edges = np.zeros(len(own) + 1, np.int32)
+        np.cumsum(sizes, out=edges[1:])
         total = int(edges[-1])
         matrix_row = np.full(capacity, pad_id, "<u4")
         matrix_row[:total] = np.frombuffer(b"".join(r[2] for r in own), "<u4")
         positions = np.zeros(capacity, "<u4")
         positions[:total] = np.arange(total) - np.repeat(edges[:-1], sizes)
-        for column, value in zip(out, (first + n, total, [r[0] for r in own], [r[1] for r in own], edges, matrix_row.tobytes(), positions.tobytes())):
-            column.append(value)
-    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], ["sequence_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "ids", "position_ids"])
+        yield first + n, total, [r[0] for r in own], [r[1] for r in own], edges, matrix_row.tobytes(), positions.tobytes()
 
 
-def pack_blocks(capacity: int, pad_id: int):
-    """mapInArrow over (doc_id, piece, ids): packed rows."""
+def _batch(rows: list[tuple], digest: bool) -> pa.RecordBatch:
+    last = [(pa.int64(), "ids_crc32"), (pa.int64(), "position_ids_crc32")] if digest else [(pa.binary(), "ids"), (pa.binary(), "position_ids")]
+    fields = [(pa.int64(), "sequence_id"), (pa.int32(), "n_tokens"), (pa.list_(pa.int64()), "doc_ids"), (pa.list_(pa.int32()), "pieces"), (pa.list_(pa.int32()), "cu_seqlens"), *last]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (kind, _) in zip(zip(*rows), fields)], [name for _, name in fields])
 
-    def run(batches):
-        base, made, rows, held = TaskContext.get().partitionId() << 36, 0, [], 0
-        for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+
+def packed_rows(path: str, end_id: int, capacity: int, pad_id: int, digest: bool):
+    """mapInArrow over (doc_id, text): packed sequences; with digest, the checksums of the two matrix rows in their place.
+
+    Documents are cut and packed in one worker, so that no id travels to another, and rows go out a few at a time.
+    """
+    cut = pieces(path, end_id, capacity, True)
+
+    def blocks(batches):
+        rows, held = [], 0
+        for batch in cut(batches):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "ids"))):
                 rows.append(row)
                 held += len(row[2]) // 4
                 if held >= BLOCK_TOKENS:
-                    packed = _block(rows, capacity, pad_id, base + made)
-                    made, rows, held = made + packed.num_rows, [], 0
-                    yield packed
+                    yield rows
+                    rows, held = [], 0
         if rows:
-            yield _block(rows, capacity, pad_id, base + made)
+            yield rows
+
+    def run(batches):
+        first, ready = TaskContext.get().partitionId() << 36, []
+        for block in blocks(batches):
+            for row in _rows(block, capacity, pad_id, first):
+                first = row[0] + 1
+                ready.append((*row[:5], zlib.crc32(row[5]), zlib.crc32(row[6])) if digest else row)
+                if len(ready) == (ROWS_OUT * 64 if digest else ROWS_OUT):
+                    yield _batch(ready, digest)
+                    ready = []
+        if ready:
+            yield _batch(ready, digest)
 
     return run
 
 
-def pack_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """A row for each packed sequence of `capacity` ids.
 
     ids is a row of the id matrix (little-endian unsigned 32-bit, padded with pad_id); cu_seqlens are the cumulative
     lengths of its segments from 0; position_ids start from 0 again in each segment; doc_ids and pieces name them.
+    digest gives the checksums ids_crc32 and position_ids_crc32 in place of the two matrix rows.
     """
-    cut = cut_documents(docs, tokenizer_path, end_id, capacity, id_col, text_col, with_ids=True)
-    return cut.select("doc_id", "piece", "ids").mapInArrow(pack_blocks(capacity, pad_id), PACKED_ROWS)
+    schema = PACKED_ROWS + (", ids_crc32 long, position_ids_crc32 long" if digest else ", ids binary, position_ids binary")
+    return keyed(docs, id_col, text_col).mapInArrow(packed_rows(tokenizer_path, end_id, capacity, pad_id, digest), schema)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
     """Write packed rows as Parquet: fixed-width matrix rows, so a reader can memory-map a column into a matrix."""
     packed.write.parquet(path)
-
-
-def digests():
-    """mapInArrow over packed rows: checksums in place of the matrices."""
-
-    def run(batches):
-        for batch in batches:
-            crc = lambda c: pa.array([zlib.crc32(x) for x in batch.column(c).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), crc(5), crc(6)], ["sequence_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "ids_crc32", "position_ids_crc32"])
-
-    return run
