@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,14 +26,30 @@ def age_bracket(age: Column, groups: list[tuple[int, int, str]]) -> Column:
 
 
 def csv_guard(value: Column) -> Column:
-    """A value that no spreadsheet takes for a formula: a leading = + - @ or control character gets an apostrophe before it."""
-    stripped = F.trim(value)
-    return F.when(F.substring(stripped, 1, 1).isin("=", "+", "-", "@", "\t", "\r"), F.concat(F.lit("'"), value)).otherwise(value)
+    """A value without white space around it that no spreadsheet takes for a formula; null is empty.
+
+    What then begins with = + - @ gets an apostrophe before it.
+    """
+    stripped = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.when(F.substring(stripped, 1, 1).isin("=", "+", "-", "@"), F.concat(F.lit("'"), stripped)).otherwise(stripped)
+
+
+def _without_marks(char: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)).lower()
+
+
+#: Letters of the Latin, Greek and Cyrillic blocks that are one other letter without their marks, by Unicode's own decomposition.
+_PLAIN = {c: _without_marks(c) for c in map(chr, [*range(0xAA, 0x530), *range(0x1E00, 0x2000)]) if not unicodedata.combining(c) and len(_without_marks(c)) == 1 and _without_marks(c) != c}
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+_JOINED = {c: _without_marks(c) for c in map(chr, range(0xFB00, 0xFB07))}
 
 
 def folded(value: Column) -> Column:
-    """Lower case without the accents of Western European letters; a fixed table keeps it in the JVM."""
-    return F.translate(F.lower(value), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case without accents: composed letters become plain ones, combining marks go, ligatures are spelled out."""
+    out = F.translate(F.lower(value), "".join(_PLAIN) + _MARKS, "".join(_PLAIN.values()))
+    for joined, plain in _JOINED.items():
+        out = F.replace(out, F.lit(joined), F.lit(plain))
+    return out
 
 
 # fixed values: units and galenic forms that labels carry besides molecule and brand

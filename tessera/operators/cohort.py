@@ -199,13 +199,44 @@ def attrition(cdm: Cdm, criteria: dict) -> DataFrame:
     inclusion, exclusion = criteria.get("inclusion") or {}, criteria.get("exclusion") or {}
     demographics = criteria.get("demographics")
     label = lambda c: str(c.get("id") or c.get("domain"))
-    steps = [("all persons", {})]
-    for k, c in enumerate(inclusion.get("criteria", [])):
-        steps.append((f"+ {label(c)}", {"inclusion": {"operator": inclusion.get("operator", "AND"), "criteria": inclusion["criteria"][: k + 1]}, "demographics": demographics}))
-    for k, c in enumerate(exclusion.get("criteria", [])):
-        steps.append((f"- {label(c)}", {"inclusion": inclusion, "demographics": demographics, "exclusion": exclusion | {"criteria": exclusion["criteria"][: k + 1]}}))
-    rows = [cohort_count(cdm, c).select(F.lit(n).alias("step"), F.lit(text).alias("label"), "n_persons") for n, (text, c) in enumerate(steps)]
-    return reduce(DataFrame.unionByName, rows)
+    keep, drop = inclusion.get("criteria", []), exclusion.get("criteria", [])
+    if inclusion.get("groups") or exclusion.get("groups") or inclusion.get("sameVisit") or ((demographics or {}).get("age") or {}).get("at") == "index":
+        steps = [("all persons", {})]
+        for k, c in enumerate(keep):
+            steps.append((f"+ {label(c)}", {"inclusion": inclusion | {"criteria": keep[: k + 1], "groups": []}, "demographics": demographics}))
+        for k, c in enumerate(drop):
+            steps.append((f"- {label(c)}", {"inclusion": inclusion, "demographics": demographics, "exclusion": exclusion | {"criteria": drop[: k + 1]}}))
+        rows = [cohort_count(cdm, c).select(F.lit(n).alias("step"), F.lit(text).alias("label"), "n_persons") for n, (text, c) in enumerate(steps)]
+        return reduce(DataFrame.unionByName, rows)
+
+    # a person meets each criterion or not: every criterion is looked up once, and the steps are counts over the flags
+    builder = CohortBuilder(cdm, criteria)
+    order = sorted(range(len(keep)), key=lambda k: keep[k].get("id") != builder.initial) if builder.initial else range(len(keep))
+    found = [("all", cdm.table("person").select("person_id"))]
+    found += [(f"in{k}", builder.criterion(keep[k], False).select("person_id")) for k in order]
+    found += [("who", builder.demographics(demographics))] if demographics else []
+    found += [(f"out{k}", builder.criterion(c, False).select("person_id")) for k, c in enumerate(drop)]
+    flagged = reduce(DataFrame.unionByName, [df.select("person_id", F.lit(name).alias("flag")) for name, df in found])
+    people = flagged.groupBy("person_id").agg(*(F.max((F.col("flag") == name).cast("int")).cast("boolean").alias(name) for name, _ in found))
+
+    def met(group: dict, some: list[dict], kind: str):
+        """Neighbours linked by OR, all runs of them together; None without criteria."""
+        default, runs, linked = group.get("operator", "AND"), [], False
+        for k, c in enumerate(some):
+            flag = F.col(f"{kind}{k}")
+            runs = [*runs[:-1], runs[-1] | flag] if linked else [*runs, flag]
+            linked = (c.get("operatorWithNext") or default) == "OR"
+        return reduce(lambda x, y: x & y, runs) if runs else None
+
+    who = F.col("who") if demographics else F.lit(True)
+    steps = [("all persons", F.col("all"))]
+    steps += [(f"+ {label(c)}", met(inclusion, keep[: k + 1], "in") & who) for k, c in enumerate(keep)]
+    base = met(inclusion, keep, "in")
+    base = (F.col("all") if base is None else base) & who
+    steps += [(f"- {label(c)}", base & ~met(exclusion, drop[: k + 1], "out")) for k, c in enumerate(drop)]
+    counts = people.agg(*(F.count(F.when(rule, 1)).alias(f"n{n}") for n, (_, rule) in enumerate(steps)))
+    table = F.array(*(F.struct(F.lit(n).alias("step"), F.lit(text).alias("label"), F.col(f"n{n}").alias("n_persons")) for n, (text, _) in enumerate(steps)))
+    return counts.select(F.explode(table).alias("__row")).select("__row.*")
 
 
 def dated_cohort(cdm: Cdm, criteria: dict, domain: str, start_from: str = "any_domain_event") -> DataFrame:

@@ -44,7 +44,9 @@ def birth_years(cdm: Cdm) -> DataFrame:
 def person_periods(cdm: Cdm) -> DataFrame:
     """Each person's first start and last end of observation, with birth date and sex."""
     span = cdm.table("observation_period").groupBy("person_id").agg(F.min("observation_period_start_date").alias("start"), F.max("observation_period_end_date").alias("end"))
-    birth = F.make_date("year_of_birth", F.coalesce("month_of_birth", F.lit(7)), F.least(F.coalesce("day_of_birth", F.lit(1)), F.lit(28)))
+    # unknown (null or 0) is July and the 1st; a day that the month doesn't have is its last
+    month = F.make_date("year_of_birth", F.coalesce(F.nullif("month_of_birth", F.lit(0)), F.lit(7)), F.lit(1))
+    birth = F.date_add(month, F.least(F.coalesce(F.nullif("day_of_birth", F.lit(0)), F.lit(1)), F.dayofmonth(F.last_day(month))) - 1)
     names = _names(cdm).select(F.col("concept_id").alias("gender_concept_id"), F.col("concept_name").alias("gender"))
     people = cdm.table("person").join(names, "gender_concept_id", "left").select("person_id", birth.alias("birth"), F.coalesce("gender", F.lit("UNKNOWN")).alias("gender"))
     return span.join(people, "person_id")
@@ -155,9 +157,13 @@ def conformity(cdm: Cdm) -> DataFrame:
         counted(several, "several_observation_periods", F.col("k") > 1, warn),
         counted(cdm.table("observation_period"), "future_observation", F.col("observation_period_end_date") > today, warn),
     ]
-    for d in cdm.domains():
-        rows = cdm.events(d)
-        parts += [rated(rows, f"{d}_unmapped", F.col("concept_id").isNull() | (F.col("concept_id") == 0), 5, 20), counted(rows, f"{d}_future", F.col("event_date") > today, count)]
+    for d in cdm.domains():  # one pass over a domain gives both of its checks
+        unmapped, future = F.col("concept_id").isNull() | (F.col("concept_id") == 0), F.col("event_date") > today
+        sums = cdm.events(d).agg(F.count(F.when(unmapped, 1)).alias("u"), F.count(F.when(future, 1)).alias("f"), F.count("*").alias("n"))
+        pct = F.when(F.col("n") > 0, 100.0 * F.col("u") / F.col("n")).otherwise(F.lit(0.0))
+        row = lambda name, n, pct, status: F.struct(F.lit(name).alias("check_name"), F.col(n).alias("n_violations"), pct.alias("pct"), status.alias("status"))
+        both = F.array(row(f"{d}_unmapped", "u", F.round(pct, 4), grade(pct, 5, 20)), row(f"{d}_future", "f", F.lit(None).cast("double"), count(F.col("f"))))
+        parts.append(sums.select(F.explode(both).alias("__row")).select("__row.*"))
     visits = cdm.table("visit_occurrence").select("visit_occurrence_id", F.lit(1).alias("seen")).distinct()
     drugs = cdm.events("Drug").join(visits, "visit_occurrence_id", "left")
     parts.append(counted(drugs, "Drug_orphan_visits", F.col("visit_occurrence_id").isNotNull() & F.col("seen").isNull(), count))

@@ -46,11 +46,10 @@ def incidence(rows: DataFrame, strata: list[str] | None = None, age_groups: list
     """Counts, person-years, rate per person-year, proportion and interval, overall and for each value of each stratum."""
     if age_groups:
         rows = rows.withColumn("age_group", age_bracket(F.col("age"), age_groups))
-    parts = [rows.select(F.lit("overall").alias("stratum"), F.lit("all").alias("value"), "had_outcome", "time_days")]
-    parts += [rows.select(F.lit(s).alias("stratum"), F.col(s).cast("string").alias("value"), "had_outcome", "time_days") for s in strata or []]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    # the rows are computed once; each counts overall and in one group of each stratum
+    place = lambda stratum, value: F.struct(F.lit(stratum).alias("stratum"), value.cast("string").alias("value"))
+    places = F.array(place("overall", F.lit("all")), *(place(s, F.col(s)) for s in strata or []))
+    every = rows.select(F.explode(places).alias("__row"), "had_outcome", "time_days").select("__row.*", "had_outcome", "time_days")
     n, d, years = F.count("*"), F.sum("had_outcome"), F.sum("time_days") / 365.25
     out = every.groupBy("stratum", "value").agg(n.alias("target_count"), d.alias("outcome_count"), years.alias("person_years"))
     rate, half = F.col("outcome_count") / F.col("person_years"), z * F.sqrt(F.col("outcome_count").cast("double")) / F.col("person_years")
@@ -71,12 +70,15 @@ def kaplan_meier(rows: DataFrame, by: list[str] | None = None, z: float = 1.96)
     table = risk_table(rows, by)
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("time")
     d, n = F.col("events"), F.col("at_risk")
-    curve = table.where("events > 0").withColumn("empty", F.max((d == n).cast("int")).over(w)).withColumn("logs", F.sum(F.when(d < n, F.log(1 - d / n)).otherwise(F.lit(0.0))).over(w)).withColumn("green", F.sum(F.when(n > d, d / (n * (n - d))).otherwise(F.lit(0.0))).over(w))
+    curve = table.withColumn("turn", F.row_number().over(w)).withColumn("empty", F.max(((d == n) & (d > 0)).cast("int")).over(w)).withColumn("logs", F.sum(F.when(d < n, F.log(1 - d / n)).otherwise(F.lit(0.0))).over(w)).withColumn("green", F.sum(F.when(n > d, d / (n * (n - d))).otherwise(F.lit(0.0))).over(w))
     s = F.when(F.col("empty") == 1, F.lit(0.0)).otherwise(F.exp("logs"))
     half = z * s * F.sqrt("green")
-    curve = curve.select(*by, F.col("time").cast("double").alias("time"), F.round(s, 6).alias("survival"), F.round(F.greatest(F.lit(0.0), s - half), 6).alias("ci_lower"), F.round(F.least(F.lit(1.0), s + half), 6).alias("ci_upper"), "at_risk", "events", "censored")
-    zero = rows.groupBy(*by).agg(F.count("*").alias("at_risk")).select(*by, F.lit(0.0).alias("time"), F.lit(1.0).alias("survival"), F.lit(1.0).alias("ci_lower"), F.lit(1.0).alias("ci_upper"), "at_risk", F.lit(0).cast("long").alias("events"), F.lit(0).cast("long").alias("censored"))
-    return zero.unionByName(curve)
+    own = F.struct(F.col("time").cast("double").alias("time"), F.round(s, 6).alias("survival"), F.round(F.greatest(F.lit(0.0), s - half), 6).alias("ci_lower"), F.round(F.least(F.lit(1.0), s + half), 6).alias("ci_upper"), "at_risk", "events", "censored")
+    one, none = F.lit(1.0), F.lit(0).cast("long")
+    zero = F.struct(F.lit(0.0).alias("time"), one.alias("survival"), one.alias("ci_lower"), one.alias("ci_upper"), F.col("at_risk"), none.alias("events"), none.alias("censored"))
+    # the row at time 0 stands beside the first time, at which all are at risk; only times with events are on the curve
+    rows = F.array_compact(F.array(F.when(F.col("turn") == 1, zero), F.when(F.col("events") > 0, own)))
+    return curve.select(*by, F.explode(rows).alias("__row")).select(*by, "__row.*")
 
 
 def median_survival(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -85,13 +87,15 @@ def median_survival(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def log_rank(rows: DataFrame, group: str, groups: list[str]) -> DataFrame:
     """(chi_square, p_value, df): the sum of (O - E)^2 / V over all of groups but the last one, as listed."""
-    times = rows.where("event = 1").select("time").distinct()
-    grid = times.select(F.explode(F.array(*(F.lit(g) for g in groups))).alias(group), "time", F.lit(0).alias("d"), F.lit(0).alias("n"))
-    own = rows.where(F.col(group).isin(groups)).select(group, "time", F.col("event").alias("d"), F.lit(1).alias("n"))
-    at = own.unionByName(grid).groupBy(group, "time").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    at = at.withColumn("risk", F.sum("n").over(Window.partitionBy(group).orderBy(F.desc("time"))))
-    every = Window.partitionBy("time")
-    at = at.join(times, "time", "left_semi").withColumn("all_d", F.sum("d").over(every)).withColumn("all_n", F.sum("risk").over(every))
+    count = lambda g, what: F.count(F.when(F.col(group).eqNullSafe(F.lit(g)) & what, 1))
+    hit, any_ = F.col("event") == 1, F.lit(True)
+    each = F.array(*(F.struct(F.lit(g).alias(group), count(g, hit).alias("d"), count(g, any_).alias("n")) for g in groups))
+    every = rows.where(F.col(group).isin(groups)).groupBy("time").agg(each.alias("x"))
+    # one row for each distinct time, so the windows run over few rows
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("time"))
+    risk = F.array(*(F.sum(F.col("x")[k]["n"]).over(down) for k in range(len(groups))))
+    every = every.withColumn("risks", risk).withColumn("all_d", F.aggregate("x", F.lit(0).cast("long"), lambda acc, y: acc + y["d"])).withColumn("all_n", F.aggregate("risks", F.lit(0).cast("long"), lambda acc, y: acc + y))
+    at = every.where("all_d > 0").select("all_d", "all_n", F.explode(F.arrays_zip("x", "risks")).alias("y")).select("all_d", "all_n", f"y.x.{group}", "y.x.d", F.col("y.risks").alias("risk"))
     n, all_n, all_d = F.col("risk"), F.col("all_n").cast("double"), F.col("all_d")
     e = n * all_d / all_n
     v = F.when(all_n > 1, n * (all_n - n) * all_d * (all_n - all_d) / (all_n * all_n * (all_n - 1))).otherwise(F.lit(0.0))
@@ -99,3 +103,26 @@ def log_rank(rows: DataFrame, group: str, groups: list[str]) -> DataFrame:
     terms = sums.where(F.col(group) != groups[-1]).agg(F.coalesce(F.sum(F.when(F.col("v") > 0, F.pow(F.col("o") - F.col("e"), 2) / F.col("v"))), F.lit(0.0)).alias("x"))
     df = len(groups) - 1
     return terms.select(F.round("x", 4).alias("chi_square"), F.round(chi2_tail(F.col("x"), df), 6).alias("p_value"), F.lit(df).alias("df"))
+
+
+#: Days of a time unit.
+UNIT_DAYS = {"days": 1.0, "months": 30.44, "years": 365.25}
+
+
+def survival_rows(cdm: Cdm, target: DataFrame, outcome: DataFrame, tar_end: int | None = None, unit: str = "days") -> DataFrame:
+    """(person_id, time, event, gender, age_group) from the first target entry on; time is in the unit.
+
+    Only the first outcome counts: one before entry, or after the time at risk, leaves the person censored with all of
+    the time.  People without time are left out.
+    """
+    entry = target.groupBy("person_id").agg(F.min("cohort_start_date").alias("entry"))
+    first = outcome.groupBy("person_id").agg(F.min("cohort_start_date").alias("outcome_date"))
+    last = F.col("observation_period_end_date")
+    end = last if tar_end is None else F.least(last, F.date_add("entry", tar_end))
+    rows = entry.join(cdm.table("observation_period"), "person_id").where(F.col("entry").between(F.col("observation_period_start_date"), last)).withColumn("end", end)
+    gender = cdm.table("concept").select(F.col("concept_id").alias("gender_concept_id"), F.col("concept_name").alias("gender"))
+    rows = rows.join(cdm.table("person"), "person_id").join(gender, "gender_concept_id", "left").join(first, "person_id", "left")
+    hit = F.coalesce(F.col("outcome_date").between(F.col("entry"), F.col("end")), F.lit(False))
+    days = F.datediff(F.when(hit, F.col("outcome_date")).otherwise(F.col("end")), F.col("entry"))
+    groups = age_bracket(F.year("entry") - F.col("year_of_birth"), [(-200, 17, "0-17"), (18, 39, "18-39"), (40, 64, "40-64"), (65, 400, "65+")])
+    return rows.where(days > 0).select("person_id", (days / F.lit(UNIT_DAYS[unit])).alias("time"), hit.cast("int").alias("event"), F.coalesce("gender", F.lit("Unknown")).alias("gender"), groups.alias("age_group"))

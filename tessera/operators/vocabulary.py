@@ -17,16 +17,15 @@ def _events(cdm: Cdm) -> DataFrame:
 
 
 def concept_search(cdm: Cdm, text: str, domain: str | None = None, vocabulary: str | None = None, standard_only: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Concepts whose name holds every word of text, accents and case aside; digits search the id and the code.
+    """Valid concepts whose name or code holds text, accents and case aside; digits search the id.
 
     Standard concepts first, then short names, then by name.
     """
-    rows = cdm.table("concept")
+    rows = cdm.table("concept").where("invalid_reason is null")
     if text.isdigit():
-        rows = rows.where((F.col("concept_id") == int(text)) | (F.col("concept_code") == text))
+        rows = rows.where(F.col("concept_id") == int(text))
     else:
-        for word in text.split():
-            rows = rows.where(folded(F.col("concept_name")).contains(folded(F.lit(word))))
+        rows = rows.where(folded(F.col("concept_name")).contains(folded(F.lit(text))) | folded(F.col("concept_code")).contains(folded(F.lit(text))))
     for column, wanted in (("domain_id", domain), ("vocabulary_id", vocabulary)):
         if wanted:
             rows = rows.where(F.col(column) == wanted)

@@ -283,14 +283,14 @@ _cdm("log_rank", lambda cdm: stats.log_rank(_km(cdm), "gender", ["FEMALE", "MALE
 # ---------------------------------------------------------------------------------------------
 # vocabulary
 
-_cdm("concept_search", lambda cdm: vocabulary.concept_search(cdm, "red wid", domain="Drug", limit=20).select("concept_id", "concept_name", "standard_concept"), "SELECT concept_id, concept_name, standard_concept FROM concept WHERE lower(concept_name) LIKE '%red%' AND lower(concept_name) LIKE '%wid%' AND domain_id = 'Drug' ORDER BY CASE WHEN standard_concept = 'S' THEN 0 ELSE 1 END, length(concept_name), concept_name, concept_id LIMIT 20")
+_cdm("concept_search", lambda cdm: vocabulary.concept_search(cdm, "red wid", domain="Drug", limit=20).select("concept_id", "concept_name", "standard_concept"), "SELECT concept_id, concept_name, standard_concept FROM concept WHERE (lower(concept_name) LIKE '%red wid%' OR lower(concept_code) LIKE '%red wid%') AND domain_id = 'Drug' AND invalid_reason IS NULL ORDER BY CASE WHEN standard_concept = 'S' THEN 0 ELSE 1 END, length(concept_name), concept_name, concept_id LIMIT 20")
 _cdm("hierarchy", lambda cdm: vocabulary.concept_hierarchy(cdm, 500003), "SELECT 'descendant' AS direction, c.concept_id, concept_name, levels FROM (SELECT descendant_concept_id AS concept_id, min_levels_of_separation AS levels FROM concept_ancestor WHERE ancestor_concept_id = 500003 AND descendant_concept_id <> 500003 ORDER BY 2, 1 LIMIT 200) x JOIN concept c ON c.concept_id = x.concept_id")
 _cdm("concept_counts", lambda cdm: vocabulary.concept_counts(cdm, [2001, 3001, 9001, 1000003]), f"SELECT concept_id, sum(r)::BIGINT AS n_records, sum(p)::BIGINT AS n_persons FROM (SELECT domain, concept_id, count(*) AS r, count(DISTINCT person_id) AS p FROM ({EVENTS_SQL}) x WHERE concept_id IN (2001, 3001, 9001, 1000003) GROUP BY 1, 2) y GROUP BY 1")
 _cdm("concept_facets", lambda cdm: vocabulary.facets(cdm, "vocabulary_id"), "SELECT vocabulary_id, count(*) AS n_concepts FROM concept GROUP BY 1")
 _cdm("concept_set_resolve", lambda cdm: vocabulary.concept_set(cdm, [{"concept_id": 500001}, {"concept_id": 600001, "is_excluded": True}]), "SELECT CAST(500001 AS BIGINT) AS concept_id UNION SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id = 500001 EXCEPT SELECT descendant_concept_id FROM concept_ancestor WHERE ancestor_concept_id = 600001")
 _cdm("source_value_cache", vocabulary.source_values, "SELECT x.*, concept_name, vocabulary_id, standard_concept FROM (SELECT domain, source_value, source_name, source_atc, concept_id, count(*) AS n_records, count(DISTINCT person_id) AS n_persons FROM (SELECT 'Drug' AS domain, person_id, drug_concept_id AS concept_id, drug_source_value AS source_value, drug_source_name AS source_name, drug_source_atc AS source_atc FROM drug_exposure UNION ALL SELECT 'Condition', person_id, condition_concept_id, condition_source_value, NULL, NULL FROM condition_occurrence UNION ALL SELECT 'Measurement', person_id, measurement_concept_id, measurement_source_value, NULL, NULL FROM measurement UNION ALL SELECT 'Visit', person_id, visit_concept_id, visit_source_value, NULL, NULL FROM visit_occurrence) q GROUP BY ALL) x LEFT JOIN concept c ON c.concept_id = x.concept_id")
 _cdm("source_value_search", lambda cdm: vocabulary.source_value_search(cdm, "gear", 20), f"SELECT domain, source_value, count(*) AS n_records, count(DISTINCT person_id) AS n_persons FROM ({EVENTS_SQL}) x WHERE lower(source_value) LIKE '%gear%' GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20")
-_cdm("global_search", lambda cdm: vocabulary.global_search(cdm, "gear"), f"SELECT * FROM (SELECT 'concept' AS kind, CAST(concept_id AS VARCHAR) AS key, concept_name AS label FROM concept WHERE lower(concept_name) LIKE '%gear%' ORDER BY CASE WHEN standard_concept = 'S' THEN 0 ELSE 1 END, length(concept_name), concept_name, concept_id LIMIT 10) a UNION ALL SELECT 'source value', source_value, domain FROM (SELECT domain, source_value, count(*) AS n FROM ({EVENTS_SQL}) x WHERE lower(source_value) LIKE '%gear%' GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10) b")
+_cdm("global_search", lambda cdm: vocabulary.global_search(cdm, "gear"), f"SELECT * FROM (SELECT 'concept' AS kind, CAST(concept_id AS VARCHAR) AS key, concept_name AS label FROM concept WHERE (lower(concept_name) LIKE '%gear%' OR lower(concept_code) LIKE '%gear%') AND invalid_reason IS NULL ORDER BY CASE WHEN standard_concept = 'S' THEN 0 ELSE 1 END, length(concept_name), concept_name, concept_id LIMIT 10) a UNION ALL SELECT 'source value', source_value, domain FROM (SELECT domain, source_value, count(*) AS n FROM ({EVENTS_SQL}) x WHERE lower(source_value) LIKE '%gear%' GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10) b")
 _raw("codebook_labels", lambda spark, d: vocabulary.codebook_labels(_read(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("code"), F.when(F.col("p_size") > 5, F.col("p_name")).otherwise("").alias("description"))), "WITH c AS (SELECT p_brand AS name, p_type AS code, CASE WHEN p_size > 5 THEN p_name ELSE '' END AS description FROM part), s AS (SELECT name, count(*) AS n FROM c GROUP BY 1) SELECT code, description AS label FROM (SELECT code, description, row_number() OVER (PARTITION BY code ORDER BY n DESC, c.name, description) AS k FROM c JOIN s ON c.name = s.name WHERE trim(description) <> '') x WHERE k = 1")
 
 # ---------------------------------------------------------------------------------------------

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import lineage, pathways, stats
+from tessera.operators import lineage, pathways, quality, stats
 from tessera.sources import files
+from tessera.sources.cdm import Cdm
 
 
 def day(text):
@@ -48,11 +49,34 @@ def test_age_months(spark, a, b, months):
     assert one(spark, scalars.age_months(F.col("a"), F.col("b")), a=day(a), b=day(b)) == months
 
 
-@pytest.mark.parametrize("text, out", [("=1+1", "'=1+1"), (" =1+1", "' =1+1"), ("-x", "'-x"), ("x", "x"), ("", "")])
+@pytest.mark.parametrize("text, out", [("=1+1", "'=1+1"), (" =1+1", "'=1+1"), ("-x", "'-x"), ("x", "x"), ("", ""), ("\tcmd", "cmd"), ("hello  ", "hello"), ("@a", "'@a")])
 def test_csv_guard(spark, text, out):
     assert one(spark, scalars.csv_guard(F.col("t")), t=text) == out
 
 
+def test_csv_guard_of_null_and_numbers(spark):
+    assert one(spark, scalars.csv_guard(F.col("t").cast("string")), t=None) == ""
+    assert one(spark, scalars.csv_guard(F.col("t")), t=-5) == "'-5"
+
+
+def test_birth_dates(spark):
+    """Months and days that are unknown or that the calendar doesn't have."""
+    people = [(1, 2000, 1, 31, 1), (2, 2000, 0, 0, 1), (3, 2000, None, None, 1), (4, 2001, 2, 30, 1), (5, 2000, 2, 29, 1)]
+    cdm = Cdm(
+        {
+            "person": spark.createDataFrame(people, "person_id long, year_of_birth int, month_of_birth int, day_of_birth int, gender_concept_id int"),
+            "observation_period": spark.createDataFrame([(k, day("2020-01-01"), day("2021-01-01")) for k in range(1, 6)], "person_id long, observation_period_start_date date, observation_period_end_date date"),
+            "concept": spark.createDataFrame([], "concept_id int, concept_name string"),
+        }
+    )
+    got = {r.person_id: str(r.birth) for r in quality.person_periods(cdm).collect()}
+    assert got == {1: "2000-01-31", 2: "2000-07-01", 3: "2000-07-01", 4: "2001-02-28", 5: "2000-02-29"}
+
+
+def test_folding_beyond_the_west(spark):
+    assert one(spark, scalars.folded(F.col("t")), t="Škoda źle č ﬁn e\u0301") == "skoda zle c fin e"
+
+
 def test_folding_and_labels(spark):
     assert one(spark, scalars.folded(F.col("t")), t="Méta ÇÀ") == "meta ca"
     assert one(spark, scalars.clean_drug_label(F.col("t")), t="METFORMINE 500 MG CPR (GLUCOPHAGE)") == "metformine glucophage"
