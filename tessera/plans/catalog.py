@@ -300,7 +300,7 @@ _UN = "(SELECT drug_source_value AS source_value, min(drug_source_name) AS sourc
 _YES = "action IN ('approved', 'modified')"
 _cdm("list_unmapped", lambda cdm: mapping.list_unmapped(cdm, "Drug"), f"SELECT * FROM {_UN} x")
 _terms = lambda cdm: cdm.table("concept").where("domain_id = 'Drug'").select(F.col("concept_code").alias("source_value"), F.upper("concept_name").alias("source_name"))
-_TERMS = "(SELECT concept_code AS source_value, upper(concept_name) AS source_name FROM concept WHERE domain_id = 'Drug' AND concept_id % 7 = 3)"
+_TERMS = "(SELECT concept_code AS source_value, upper(concept_name) AS source_name FROM concept WHERE domain_id = 'Drug')"
 _OK = "standard_concept = 'S' AND invalid_reason IS NULL AND domain_id = 'Drug'"
 _EXACT = f"SELECT source_value, concept_id, concept_name, 'exact' AS strategy, 95 AS confidence FROM {_TERMS} t JOIN concept ON concept_code = source_value WHERE {_OK}"
 _REL = f"SELECT DISTINCT source_value, c2.concept_id, c2.concept_name, 'relationship' AS strategy, 85 AS confidence FROM {_TERMS} t JOIN concept c1 ON c1.concept_code = source_value JOIN concept_relationship ON concept_id_1 = c1.concept_id JOIN (SELECT * FROM concept WHERE {_OK}) c2 ON c2.concept_id = concept_id_2"
