@@ -340,8 +340,11 @@ _raw("sessions", lambda spark, d: sessions(_read(spark, d, "events"), "30 minute
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tessera.plans import extended  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -113,6 +113,7 @@ TABLE_SQL = {
         UNION ALL SELECT 600000 + CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'PROMO' THEN 4 WHEN 'SMALL' THEN 5 ELSE 6 END, 1000000 + p_partkey, 1 FROM part
         UNION ALL SELECT 1000000 + p_partkey, 1000000 + p_partkey, 0 FROM part""",
     "concept_relationship": """SELECT 1000000 + p_partkey AS concept_id_1, 1000001 + p_partkey AS concept_id_2, 'Maps to' AS relationship_id FROM part WHERE p_partkey % 5 = 0""",
+    "concept_synonym": """SELECT 1000000 + p_partkey AS concept_id, p_type || ' ' || p_name AS concept_synonym_name FROM part""",
     "decision": """SELECT l_orderkey * 10 + l_linenumber AS decision_id, p_name AS source_value, CASE WHEN l_linenumber % 4 = 0 THEN 'rejected' WHEN l_linenumber % 4 = 1 THEN 'modified' ELSE 'approved' END AS action,
         1000000 + l_suppkey AS target_concept_id, CAST(l_quantity AS INT) % 5 AS user_id, CAST(l_shipdate AS DATE) AS created_on, CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS synced,
         CASE l_linenumber % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'ingredient' ELSE 'sapbert' END AS suggestion_source, l_discount * 1000 AS confidence
