@@ -6,6 +6,7 @@ documents; a chunk holds about CHUNK_BYTES of text (more only if one document al
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,6 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def shared_path(spark: SparkSession) -> str | None:
+    """The shared folder as a path that Python can open; None where it isn't one."""
+    folder = shared_dir(spark)
+    return re.sub("^file:/*", "/", folder) if re.match("/|file:", folder) else None
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -160,15 +167,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
-def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of hashes[i : i + size] for every i that has so many left."""
+def window_hashes(hashes: np.ndarray, size: int, turn: int = 0) -> np.ndarray:
+    """Hash of hashes[i : i + size] for every i that has so many left; another one for each turn."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out += hashes[k : k + n] * COEF[k]
-    return mix(out + np.uint64(size))
+        out += hashes[k : k + n] * COEF[(k + 29 * turn) % len(COEF)]
+    return mix(out + np.uint64(size + (turn << 20)))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -190,11 +197,12 @@ def bucket_count(docs: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
 
-def pack(buckets: int, hashes: np.ndarray, docs: np.ndarray, positions: np.ndarray, width=np.uint64) -> pa.RecordBatch:
+def pack(buckets: int, hashes: np.ndarray, docs: np.ndarray, positions: np.ndarray, width=np.uint64, second: np.ndarray | None = None) -> pa.RecordBatch:
     """One row for each bucket that the hashes fall in.
 
     docs must not decrease and positions must increase within a document.  The bucket comes from the hash
-    modulo buckets; `hashes` keeps its upper bits in the given width, or nothing if that is None.
+    modulo buckets; `hashes` keeps its upper bits in the given width, or nothing if that is None.  With a second hash
+    it keeps both, one beside the other.
     """
     which = (hashes % np.uint64(buckets)).astype(np.uint32 if buckets > 65535 else np.uint16)
     order = np.argsort(which, kind="stable")
@@ -202,6 +210,8 @@ def pack(buckets: int, hashes: np.ndarray, docs: np.ndarray, positions: np.ndarr
     stored = hashes[order] if width else np.zeros(0, np.uint64)
     if width not in (None, np.uint64):
         stored = (stored >> np.uint64(64 - 8 * np.dtype(width).itemsize)).astype(width)
+    if second is not None:
+        stored = np.stack([stored, second[order]], 1)
     cut = np.r_[0, np.flatnonzero(np.diff(which)) + 1, len(which)] if len(which) else np.zeros(1, np.int64)
     rows: list[list] = [[], [], [], [], []]
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -218,11 +228,14 @@ def unpack(table: pa.Table, width=np.uint64) -> tuple[np.ndarray, np.ndarray, np
     return joined["hashes"], np.repeat(joined["docs"], joined["counts"]), joined["positions"]
 
 
-def by_document(buckets: int, docs: np.ndarray, positions: np.ndarray) -> pa.Table:
-    """Places packed again, now by document."""
+def by_document(buckets: int, docs: np.ndarray, positions: np.ndarray, base: int = 0) -> pa.Table:
+    """Places packed again, now by document; the buckets are numbered from base."""
     order = np.lexsort((positions, docs))
     docs, positions = docs[order], positions[order]
-    return pa.Table.from_batches([pack(buckets, mix(docs.astype(np.uint64)), docs, positions, None)])
+    packed = pack(buckets, mix(docs.astype(np.uint64)), docs, positions, None)
+    if base:
+        packed = packed.set_column(0, "bucket", pc.add(packed.column(0), pa.scalar(base, pa.int32())))
+    return pa.Table.from_batches([packed])
 
 
 def merged(found: DataFrame, reach: int = 1) -> DataFrame:
@@ -244,6 +257,20 @@ def merged(found: DataFrame, reach: int = 1) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(run, "doc_id long, spans binary")
 
 
+def joined_spans():
+    """mapInArrow over (doc_id, parts): the spans of all parts of a document, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for parts in batch.column(1).to_pylist():
+                pairs = np.frombuffer(b"".join(parts), np.uint32).reshape(-1, 2)
+                out.append(pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "spans"])
+
+    return run
+
+
 def read_spans(cell) -> np.ndarray:
     """Rows (start, end) of a value of `spans`; none for null."""
     return np.frombuffer(cell.as_py() or b"", np.uint32).astype(np.int64).reshape(-1, 2)
@@ -263,6 +290,21 @@ def covered(spans: np.ndarray, width: int, size: int) -> list[tuple[int, int]]:
     return out
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """left joined with right, which has one row for each key; left is materialized and may have hot keys.
+
+    Keys with more than 1 / share of left's rows, so fewer than share of them, are dealt over as many salts as their
+    part of the rows asks for; right's rows of these keys are repeated for each salt.
+    """
+    total = left.count()
+    hot = left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") * share > F.lit(total))
+    hot = F.broadcast(materialize(hot.select(key, F.ceil(F.col("__n") * share / F.lit(max(total, 1))).cast("int").alias("__salts"))))
+    salts = F.coalesce("__salts", F.lit(1))
+    one = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("__salts")
+    two = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return one.join(two, [key, "__salt"]).drop("__salt")
+
+
 def attach(docs: DataFrame, spans: DataFrame, key: str = "doc_id", column: str = "spans") -> DataFrame:
     """docs with a column of spans by key, null where a document has none.
 

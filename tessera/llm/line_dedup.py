@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import attach, byte_prefix, chunks, covered, keyed, materialize, mix, powers, read_spans, words
+from tessera.llm.common import attach, byte_prefix, chunks, covered, joined_spans, keyed, materialize, mix, powers, read_spans, spread_join, words
 
 MIN_WORDS = 5
 #: Documents of a rare line; pairs don't depend on it, tests describe lines by it.
@@ -154,20 +154,6 @@ def deletions():
     return run
 
 
-def _joined_spans():
-    """mapInArrow over (doc_id, parts): the spans of all pairs of a document, sorted."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for parts in batch.column(1).to_pylist():
-                pairs = np.frombuffer(b"".join(parts), np.uint32).reshape(-1, 2)
-                out.append(pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "spans"])
-
-    return run
-
-
 def remaining():
     """mapInArrow over (doc_id, text, spans): each text without the lines of its spans."""
 
@@ -190,15 +176,15 @@ def remaining():
 def line_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the lines to delete from each document that loses any; docs are (doc_id, text); materialized."""
     hashed = materialize(docs.where("doc_id is not null").mapInArrow(line_hashes(), LINES))
-    places = hashed.select("doc_id", "n_lines", "hashes", "anchors").mapInArrow(anchor_lines(), "line long, doc_id long")
+    places = materialize(hashed.select("doc_id", "n_lines", "hashes", "anchors").mapInArrow(anchor_lines(), "line long, doc_id long"))
     owners = places.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-    # every document's own line with the first document that has it; owners has one row for a line, however hot
-    pairs = materialize(places.join(owners.select("line", "first"), "line").where("doc_id <> first").select("doc_id", "first").distinct())
+    # every document's own line with the first document that has it; a line of very many documents is dealt over tasks
+    pairs = materialize(spread_join(places, owners.select("line", "first"), "line").where("doc_id <> first").select("doc_id", "first").distinct())
     own = hashed.select("doc_id", "hashes", "anchors")
     earlier = hashed.select(F.col("doc_id").alias("first"), F.col("hashes").alias("other")).dropDuplicates(["first"])
-    aligned = pairs.join(own, "doc_id").join(earlier, "first").select("doc_id", "hashes", "anchors", "other")
+    aligned = spread_join(pairs, earlier, "first").join(own, "doc_id").select("doc_id", "hashes", "anchors", "other")
     found = aligned.mapInArrow(deletions(), "doc_id long, spans binary")
-    return materialize(found.groupBy("doc_id").agg(F.collect_list("spans").alias("parts")).mapInArrow(_joined_spans(), "doc_id long, spans binary"))
+    return materialize(found.groupBy("doc_id").agg(F.collect_list("spans").alias("parts")).mapInArrow(joined_spans(), "doc_id long, spans binary"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
