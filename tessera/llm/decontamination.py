@@ -4,8 +4,9 @@ Every benchmark item is compared with the item-sized windows of every document.
 
 1. A join on shingle hashes marks the shingles of a document that items have.  A window that is similar enough to an item of n words holds at least 2 s / (1 + s) of its shingles from items of that
    size (s the similarity), so only the starts of such windows go on; no window that could pass is left out.
-2. Each such window gets a 64-bit SimHash of its words.  The fingerprint is cut into RADIUS + 1 blocks: fingerprints
-   within RADIUS bits agree in one block at least, so a join on (size, block number, block) finds all of them.
+2. Each such window gets a 64-bit SimHash of its words.  Fingerprints are cut into BLOCKS blocks, so two within RADIUS
+   bits are within RADIUS // BLOCKS bits in one block at least.  An item is indexed under all blocks so near to its own;
+   a join on (size, block number, block) finds every window within RADIUS of it.
 3. Candidates are verified by the exact similarity of their weighted shingle sets, a shingle's weight being how often it
    occurs: the sum of the least weights over the sum of the largest.
 
@@ -19,6 +20,8 @@ item the most similar is reported, then the first.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +30,7 @@ from tessera.llm.quality import let
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 16
-BLOCKS = RADIUS + 1
+RADIUS, BLOCKS = 16, 6
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,11 +61,21 @@ def simhash(words: Column) -> Column:
     return out
 
 
+def _edges() -> list[tuple[int, int]]:
+    return [(64 * k // BLOCKS, 64 * (k + 1) // BLOCKS) for k in range(BLOCKS)]
+
+
 def blocks(fingerprint: Column) -> Column:
     """The BLOCKS pieces of a fingerprint, with their numbers."""
-    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
     piece = lambda a, b: F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-    return F.array(*(F.struct(F.lit(k).alias("number"), piece(a, b).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:]))))
+    return F.array(*(F.struct(F.lit(k).alias("number"), piece(a, b).alias("bits")) for k, (a, b) in enumerate(_edges())))
+
+
+def near_blocks(fingerprint: Column) -> Column:
+    """Every block within RADIUS // BLOCKS bits of a piece of a fingerprint, with the number of the piece."""
+    flips = lambda width: [sum(1 << x for x in some) for n in range(RADIUS // BLOCKS + 1) for some in combinations(range(width), n)]
+    near = lambda k, masks: F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(F.lit(k).alias("number"), F.get(blocks(fingerprint), F.lit(k))["bits"].bitwiseXOR(m.cast("long")).alias("bits")))
+    return F.concat(*(near(k, flips(b - a)) for k, (a, b) in enumerate(_edges())))
 
 
 def benchmark_items(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -137,8 +149,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     here = here.withColumn("shingles", shingles)
     windows = materialize(here.select("doc_id", "n", "start", counted(F.col("shingles")).alias("weighted"), simhash(F.col("words")).alias("fingerprint")))
 
-    split = lambda df, *own: df.select(*own, "n", "fingerprint", F.explode(blocks(F.col("fingerprint"))).alias("b")).select(*own, "n", "fingerprint", "b.number", "b.bits")
-    w, i = split(windows, "doc_id", "start").alias("w"), split(items, "item_id").alias("i")
+    split = lambda df, own, how: df.select(*own, "n", "fingerprint", F.explode(how(F.col("fingerprint"))).alias("b")).select(*own, "n", "fingerprint", "b.number", "b.bits")
+    w, i = split(windows, ["doc_id", "start"], blocks).alias("w"), split(items, ["item_id"], near_blocks).alias("i")
     near = F.bit_count(F.col("w.fingerprint").bitwiseXOR(F.col("i.fingerprint"))) <= RADIUS
     pairs = w.join(i, (F.col("w.n") == F.col("i.n")) & (F.col("w.number") == F.col("i.number")) & (F.col("w.bits") == F.col("i.bits")) & near).select("doc_id", "start", F.col("w.n").alias("n"), "item_id").distinct()
     pairs = materialize(pairs)
