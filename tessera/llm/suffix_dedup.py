@@ -6,17 +6,23 @@ the construction runs on aligned pieces instead, and only where text can repeat:
 
 1. Every window of `window` bytes names an anchor: the `window // 2`-byte string in it with the least hash.  Equal
    windows name equal anchors at equal offsets.  Anchors, one or two in fifty bytes, meet by hash in a packed exchange;
-   those that occur once are dropped.
-2. Each anchor left gives a context: the bytes that the windows naming it can span.  Contexts of one anchor are
-   aligned at it, so equal windows start in the same column.
-3. A task spools the contexts column by column to a sequential scratch file and reads it from the last column to the
-   first.  Each round puts one symbol before every context's suffix: a stable partition by symbol within the anchor
-   updates the order (the last-to-first step of the Burrows-Wheeler transform, limited to suffixes of equal length),
-   and range minima update the common prefixes of neighbours.  A suffix with a neighbour's common prefix of `window` or
-   more starts a repeated window.
+   those that occur once are dropped.  What a chunk of text repeats itself is known there; it sends one place of each
+   anchor, however many it has.
+2. Each anchor left gives a context: the bytes of the windows that name it.  Contexts of one anchor are
+   aligned at it, so equal windows start in the same column.  They reach a task sorted by anchor and as a stream.
+3. The contexts are the documents of the construction.  Round by round, from the last column to the first, one symbol
+   goes before every context's suffix.  The Burrows-Wheeler transform of the order so far (the symbol before each
+   suffix) is read, a stable partition by it is the next order, range minima give the next common prefixes of
+   neighbours; the transform and the common prefixes are appended to sequential files and read back in the next round.
+   A suffix whose common prefix with a neighbour is `window` or more starts a repeated window.
 4. The bytes under repeated windows are removed; all occurrences, the first too.
 
-Equal contexts of an anchor are inserted once, with a count, so copies cost no rounds.
+Suffixes of one round are equally long, as equal windows start in one column; no order over all lengths is needed.
+Equal contexts of an anchor are inserted once, so copies cost no rounds.  Files stay in memory up to SPOOL_BYTES, then
+go to the shared folder; only about fifty bytes for each distinct context of an anchor are held besides.
+
+Two different anchors or contexts count as equal only if two 64-bit hashes of them are: for a billion of them a chance
+of 1e-20.  Windows are told apart by their bytes.
 
 Rows: null and empty texts have no bytes.  Rows that repeat a doc_id are taken as the same document, so what stands at
 the same place in both is one occurrence.  A row without doc_id is returned whole.  An empty table gives an empty
@@ -26,18 +32,24 @@ result.  Columns other than the two named are not read.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessera.llm.common import COEF, PACKED, attach, bucket_count, by_document, byte_prefix, chunks, covered, keyed, materialize, merged, mix, pack, powers, ragged, read_spans, unpack
+from tessera.llm.common import COEF, PACKED, bucket_count, by_document, byte_prefix, chunks, covered, joined_spans, keyed, materialize, merged, mix, pack, powers, ragged, read_spans, shared_path, string_buffers, unpack
 
-CONTEXTS = "bucket int, anchor long, before int, text binary, docs binary, starts binary"
+CONTEXTS = "anchor long, key long, before int, text binary, docs binary, at binary"
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 OUTSIDE = 256
 BLOCK = 4096
-FINER = 16
+#: Contexts of whole anchors that go through the rounds together; more only if one anchor has more.
+TOGETHER = 32_768
+SPOOL_BYTES = 32 << 20
+#: Contexts that a task remembers as sent; beyond it, it forgets them and sends texts again.
+SENT = 1_000_000
 
 
 def _sliding(values: np.ndarray, size: int, best) -> np.ndarray:
@@ -62,26 +74,65 @@ def _crossing(offsets: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(edges)[:n] > 0
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, window: int, grain: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the anchors that the windows of each document name."""
+def _least(data: np.ndarray, offsets: np.ndarray, window: int, grain: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the `grain` bytes from each place on, and the least one in each window; 0 for windows over an edge."""
     n = len(data)
     if n < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     prefix, (_, down) = byte_prefix(data), powers(n)
     hashes = mix((prefix[grain:] - prefix[:-grain]) * down[: n - grain + 1])
     hashes >>= np.uint64(1)
     hashes[_crossing(offsets, n, grain)[: len(hashes)]] = NEVER
-    span = window - grain + 1
-    least = _sliding(hashes, span, np.minimum)
+    least = _sliding(hashes, window - grain + 1, np.minimum)
     least[_crossing(offsets, n, window)[: len(least)]] = 0
+    return hashes, least
+
+
+def _named(hashes: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
+    """Places of the anchors: those that some window names."""
+    if not len(least):
+        return np.zeros(0, np.int64)
     padded = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
     named = _sliding(padded, span, np.maximum)[: len(hashes)]
-    at = np.flatnonzero((named == hashes) & (hashes != NEVER))
+    return np.flatnonzero((named == hashes) & (hashes != NEVER))
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, window: int, grain: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the anchors that the windows of each document name."""
+    hashes, least = _least(data, offsets, window, grain)
+    at = _named(hashes, least, window - grain + 1)
     return hashes[at], at
 
 
+def anchored(data: np.ndarray, offsets: np.ndarray, window: int, grain: int) -> tuple[np.ndarray, ...]:
+    """Hashes and places of the anchors with the first and last start of the windows that name each."""
+    span = window - grain + 1
+    hashes, least = _least(data, offsets, window, grain)
+    at = _named(hashes, least, span)
+    own = hashes[at]
+    lo, hi = np.full(len(at), len(data)), np.full(len(at), -1)
+    begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])) if len(least) else np.zeros(0, np.int64)
+    end = np.concatenate([begin[1:], [len(least)]])[: len(begin)] - 1
+    some = np.flatnonzero(least[begin] > 0)
+    begin, end, value = begin[some], end[some], least[begin[some]]
+    k = np.searchsorted(at, begin)
+    while len(k):  # the anchors that windows begin..end can name, one after another
+        near = np.flatnonzero((k < len(at)) & (at[np.minimum(k, len(at) - 1)] < end + span))
+        begin, end, value, k = begin[near], end[near], value[near], k[near]
+        hit = own[k] == value
+        one = k[hit]
+        np.minimum.at(lo, one, np.maximum(begin[hit], at[one] - span + 1))
+        np.maximum.at(hi, one, np.minimum(end[hit], at[one]))
+        k = k + 1
+    return own, at, lo, hi
+
+
 def anchor_points(window: int, grain: int, buckets: int):
-    """mapInArrow over (doc_id, text): the anchors, packed by hash."""
+    """mapInArrow over (doc_id, text): the anchors, packed by hash.
+
+    Of an anchor with several places in a chunk only the first goes to its bucket; its places go by document, in
+    buckets of their own (numbered from `buckets` on), as they are known to repeat.
+    """
 
     def run(batches):
         for batch in batches:
@@ -92,7 +143,14 @@ def anchor_points(window: int, grain: int, buckets: int):
                 hashes, at = anchors(data, offsets, window, grain)
                 row = np.searchsorted(offsets, at, "right") - 1
                 use = known[row]
-                yield pack(buckets, hashes[use], ids[row[use]], (at - offsets[row])[use])
+                hashes, docs, at = hashes[use], ids[row[use]], (at - offsets[row])[use]
+                _, one, which, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                first = np.zeros(len(hashes), bool)
+                first[one] = True
+                yield pack(buckets, hashes[first], docs[first], at[first])
+                several = times[which] > 1
+                if several.any():
+                    yield from by_document(buckets, docs[several], at[several], buckets).to_batches()
 
     return run
 
@@ -101,92 +159,140 @@ def repeated(buckets: int):
     """applyInArrow over a bucket: the anchors that occur more than once."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.num_rows and table.column("bucket")[0].as_py() >= buckets:
+            return table
         hashes, docs, at = unpack(table)
         order = np.argsort(hashes, kind="stable")
         h = hashes[order]
         same = h[1:] == h[:-1]
-        keep = order[np.r_[False, same] | np.r_[same, False]] if len(h) else order
-        return by_document(buckets, docs[keep], at[keep])
+        keep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(h) else order
+        return by_document(buckets, docs[keep], at[keep], buckets)
 
     return run
 
 
-def contexts(window: int, grain: int, buckets: int):
-    """mapInArrow over (doc_id, text, spans): the bytes around each anchor in spans that its windows can span.
+def contexts(window: int, grain: int):
+    """mapInArrow over (doc_id, text, spans): the bytes of the windows that name each anchor in spans.
 
-    Equal contexts of a chunk share a row, so periodic text and copies stay small.
+    Equal contexts of a chunk share a row, with all their places, so periodic text and copies stay small.  A task sends
+    the text of a context once; further rows of it have places only.
     """
 
     def run(batches):
+        sent, sent_anchor = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for batch in batches:
             spans = batch.column(2)
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 ids = batch.column(0).slice(lo, hi - lo).to_numpy()
                 prefix, (_, down) = byte_prefix(data), powers(len(data))
-                hashes, at = anchors(data, offsets, window, grain)
-                row = np.searchsorted(offsets, at, "right") - 1
+                hashes, at, first, last = anchored(data, offsets, window, grain)
                 near = np.zeros(len(data) + 1, np.int32)
                 for k in range(hi - lo):
                     pairs = read_spans(spans[lo + k]) + offsets[k]
                     near[pairs[:, 0]] += 1
                     near[pairs[:, 1]] -= 1
                 use = np.cumsum(near)[at] > 0
-                hashes, at, row = hashes[use], at[use], row[use]
-                first = np.maximum(at - (window - grain), offsets[row])
-                last = np.minimum(at + window, offsets[row + 1])
+                hashes, at, first, last = hashes[use], at[use], first[use], last[use] + window
+                row = np.searchsorted(offsets, at, "right") - 1
                 look = (prefix[last] - prefix[first]) * down[first] + (at - first).astype(np.uint64) * COEF[0] + (last - first).astype(np.uint64) * COEF[1]
-                _, one, which = np.unique(mix(look + hashes), return_index=True, return_inverse=True)
-                order = np.argsort(which, kind="stable")
-                cut = np.r_[0, np.cumsum(np.bincount(which, minlength=len(one)))].tolist()
-                docs, starts, raw = ids[row][order], (first - offsets[row])[order], data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((hashes[one] % np.uint64(buckets)).astype(np.int32)),
-                        pa.array(hashes[one].astype(np.int64)),
-                        pa.array((at - first)[one].astype(np.int32)),
-                        pa.array([raw[a:b] for a, b in zip(first[one].tolist(), last[one].tolist())], pa.binary()),
-                        pa.array([docs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                        pa.array([starts[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                    ],
-                    ["bucket", "anchor", "before", "text", "docs", "starts"],
-                )
+                key = mix(look + hashes)
+                order = np.lexsort((at, key))
+                fresh = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(order) else order
+                one = order[fresh]
+                held = last[one] - first[one]
+                if len(sent):
+                    place = np.minimum(np.searchsorted(sent, key[one]), len(sent) - 1)
+                    held = np.where((sent[place] == key[one]) & (sent_anchor[place] == hashes[one]), 0, held)
+                new = one[held > 0]
+                if len(sent) + len(new) > SENT:
+                    sent, sent_anchor = sent[:0], sent_anchor[:0]
+                sent, sent_anchor = np.concatenate([sent, key[new]]), np.concatenate([sent_anchor, hashes[new]])
+                by_key = np.argsort(sent, kind="stable")
+                sent, sent_anchor = sent[by_key], sent_anchor[by_key]
+                edges = np.concatenate([fresh, [len(order)]]).astype(np.int64)
+                out = [hashes[one].astype(np.int64), key[one].astype(np.int64), (at - first)[one].astype(np.int32)]
+                parts = [data[ragged(first[one], held)], ids[row[order]].astype(np.int64), (at - offsets[row])[order].astype(np.int32)]
+                columns = [pa.array(x) for x in out]
+                for part, size in zip(parts, (None, 8, 4)):
+                    cuts = np.concatenate([[0], np.cumsum(held)]) if size is None else edges * size
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(part))]))
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "before", "text", "docs", "at"])
 
     return run
 
 
-def repeated_starts(group: np.ndarray, text: list[bytes], before: np.ndarray, many: np.ndarray, window: int, grain: int):
-    """For contexts ordered by group: yields (column offset from the anchor, mask of contexts whose window there repeats).
-
-    many marks contexts that stand for several occurrences; all their windows repeat.
-    """
-    n, reach = len(text), window - grain
-    width = reach + window
-    length = np.fromiter(map(len, text), np.int64, n)
-    with tempfile.TemporaryFile() as spool:
-        columns = np.memmap(spool, np.uint16, "w+", shape=(width, n))
-        for a in range(0, n, BLOCK):
-            b = min(a + BLOCK, n)
-            block = np.full((b - a, width), OUTSIDE, np.uint16)
-            at = ragged(np.arange(b - a) * width + reach - before[a:b], length[a:b])
-            block.reshape(-1)[at] = np.frombuffer(b"".join(text[a:b]), np.uint8)
-            columns[:, a:b] = block.T
-        columns.flush()
-        del columns
+class Collection:
+    """The documents of a construction: contexts of whole anchors, added in the order of anchor and key."""
+
+    def __init__(self, window: int, grain: int, folder: str | None):
+        self.window, self.reach, self.width = window, window - grain, 2 * window - grain
+        spool = lambda: tempfile.SpooledTemporaryFile(SPOOL_BYTES if folder else 0, dir=folder)
+        self.columns, self.places, self.transform, self.prefixes = spool(), spool(), spool(), spool()
+        self.blocks: list[int] = []
+        self.last: tuple[int, int] | None = None
+        self.anchor, self.before, self.length = (np.zeros(0, kind) for kind in (np.int64, np.int16, np.int16))
+        self.first_place = np.zeros((0, 2), np.int64)
+        self.several = np.zeros(0, bool)
+
+    def add(self, anchor, key, before, text, docs, at) -> None:
+        """Rows of contexts(): a column each, text, docs and at as Arrow columns; of equal ones the first has the text."""
+        fresh = np.concatenate([[(int(anchor[0]), int(key[0])) != self.last], (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])])
+        self.last = int(anchor[-1]), int(key[-1])
+        which = np.cumsum(fresh) - 1 + len(self.anchor)
+        owners, (raw_docs, edges), (raw_at, _) = which, string_buffers(docs), string_buffers(at)
+        times = np.diff(edges) // 8
+        doc = np.frombuffer(raw_docs.tobytes(), np.int64)[edges[0] // 8 : edges[-1] // 8]
+        place = np.frombuffer(raw_at.tobytes(), np.int32)[edges[0] // 8 : edges[-1] // 8]
+        owner = np.repeat(owners, times)
+        new = np.flatnonzero(fresh)
+        first = (np.cumsum(times) - times)[new]
+        self.first_place = np.concatenate([self.first_place, np.stack([doc[first], place[first].astype(np.int64)], 1)])
+        self.several = np.concatenate([self.several, np.zeros(len(new), bool)])
+        self.several[owner[(self.first_place[owner, 0] != doc) | (self.first_place[owner, 1] != place)]] = True
+        self.places.write(np.stack([owner.astype(np.int64), doc, place.astype(np.int64)], 1).tobytes())
+        data, cuts = string_buffers(text)
+        self.anchor = np.concatenate([self.anchor, anchor[new]])
+        self.before = np.concatenate([self.before, before[new].astype(np.int16)])
+        self.length = np.concatenate([self.length, np.diff(cuts)[new].astype(np.int16)])
+        for a in range(0, len(new), BLOCK):
+            some = new[a : a + BLOCK]
+            block = np.full((len(some), self.width), OUTSIDE, np.uint16)
+            size = cuts[some + 1] - cuts[some]
+            block.reshape(-1)[ragged(np.arange(len(some)) * self.width + self.reach - before[some], size)] = data[ragged(cuts[some], size)]
+            self.columns.write(np.ascontiguousarray(block.T))
+            self.blocks.append(len(some))
+
+    def _column(self, column: int) -> np.ndarray:
+        """The symbols of a column, by context."""
+        out, begin = [], 0
+        for size in self.blocks:
+            self.columns.seek(2 * (begin * self.width + column * size))
+            out.append(np.frombuffer(self.columns.read(2 * size), np.uint16))
+            begin += size
+        return np.concatenate(out)
+
+    def rounds(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Insert column after column; yields (start of windows from the anchor, contexts whose window there repeats)."""
+        n = len(self.anchor)
+        group = np.zeros(n, np.int64)
+        group[1:] = 512 * np.cumsum(self.anchor[1:] != self.anchor[:-1])  # of a rank: a partition keeps to its anchor
         order = np.arange(n)
-        common = np.zeros(n, np.int64)
-        for column in range(width - 1, -1, -1):
-            spool.seek(column * n * 2)
-            symbol = np.frombuffer(spool.read(n * 2), np.uint16)
-            key = group[order] * 512 + symbol[order]
+        self.transform.write(self._column(self.width - 1))
+        self.prefixes.write(np.zeros(n, np.uint16))
+        for column in range(self.width - 1, -1, -1):
+            done = self.width - 1 - column
+            self.transform.seek(2 * n * done)
+            key = group + np.frombuffer(self.transform.read(2 * n), np.uint16)
+            self.prefixes.seek(2 * n * done)
+            common = np.frombuffer(self.prefixes.read(2 * n), np.uint16)
             if (key[1:] < key[:-1]).any():
                 step = np.argsort(key, kind="stable")
-                key = key[step]
+                key, order = key[step], order[step]
                 p, q = step[:-1] + 1, step[1:]
-                order = order[step]
             else:
                 p = q = np.arange(1, n)
             joined = np.flatnonzero(key[1:] == key[:-1])
-            fresh = np.zeros(n, np.int64)
+            fresh = np.zeros(n, np.uint16)
             if len(joined):
                 lo, hi = p[joined], q[joined]
                 low = common[hi]
@@ -195,46 +301,72 @@ def repeated_starts(group: np.ndarray, text: list[bytes], before: np.ndarray, ma
                     bounds = np.empty(2 * len(far), np.int64)
                     bounds[0::2], bounds[1::2] = lo[far], hi[far] + 1
                     low = low.copy()
-                    low[far] = np.minimum.reduceat(np.append(common, 0), bounds)[0::2]
+                    low[far] = np.minimum.reduceat(np.append(common, np.uint16(0)), bounds)[0::2]
                 fresh[joined + 1] = low + 1
-            common = fresh
-            if column <= reach:
-                either = common >= window
+            if column:
+                self.transform.seek(0, 2)
+                self.transform.write(self._column(column - 1)[order])
+            self.prefixes.seek(0, 2)
+            self.prefixes.write(fresh)
+            if column <= self.reach:
+                either = fresh >= self.window
                 either[:-1] |= either[1:]
-                mask = many.copy()
+                mask = self.several.copy()
                 mask[order[either]] = True
-                inside = (before >= reach - column) & (length - before >= window - reach + column)
-                yield column - reach, mask & inside
-
-
-def column_wise(window: int, grain: int, buckets: int):
-    """applyInArrow over a bucket of contexts: the starts of windows that occur again."""
+                yield column - self.reach, mask & (self.before >= self.reach - column) & (self.length - self.before >= self.window - self.reach + column)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        """(doc_id, spans): the starts of repeated windows as runs, for each place of each context."""
+        n = len(self.anchor)
+        hits, shifts = [], []
+        for shift, mask in self.rounds():
+            shifts.append(shift)
+            hits.append(np.packbits(mask))
+        hits = np.stack(hits[::-1])  # by rising shift
+        least = shifts[-1]
+        self.places.seek(0)
+        while raw := self.places.read(24 * BLOCK * 8):
+            owner, doc, place = np.frombuffer(raw, np.int64).reshape(-1, 3).T
+            some, owner = np.unique(owner, return_inverse=True)
+            bits = (hits[:, some >> 3] >> (7 - (some & 7)).astype(np.uint8)) & 1
+            edge = np.diff(np.pad(bits.astype(np.int8), ((1, 1), (0, 0))), axis=0).T
+            (one, begin), (_, end) = np.nonzero(edge > 0), np.nonzero(edge < 0)
+            count = np.bincount(one, minlength=len(some))
+            runs = ragged((np.cumsum(count) - count)[owner], count[owner])
+            base, docs = np.repeat(place, count[owner]) + least, np.repeat(doc, count[owner])
+            spans = np.stack([base + begin[runs], base + end[runs]], 1).astype(np.uint32)
+            order = np.lexsort((spans[:, 0], docs))
+            docs, spans = docs[order], spans[order]
+            cut = np.flatnonzero(np.diff(docs)) + 1
+            if len(docs):
+                edges = np.concatenate([[0], cut, [len(docs)]])
+                binary = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((8 * edges).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(spans))])
+                yield pa.RecordBatch.from_arrays([pa.array(docs[edges[:-1]]), binary], ["doc_id", "spans"])
+        for file in (self.columns, self.places, self.transform, self.prefixes):
+            file.close()
+
+
+def column_wise(window: int, grain: int, folder: str | None):
+    """mapInArrow over contexts sorted by anchor and key: (doc_id, spans) of the windows that occur again."""
 
-    def run(table: pa.Table) -> pa.Table:
-        anchor, before = table.column("anchor").to_pylist(), table.column("before").to_pylist()
-        text, docs, start = (table.column(c).to_pylist() for c in ("text", "docs", "starts"))
-        numbers: dict = {}
-        which = np.fromiter((numbers.setdefault(k, len(numbers)) for k in zip(anchor, before, text)), np.int64, len(text))
-        sizes = np.fromiter((len(x) // 8 for x in docs), np.int64, len(docs))
-        place = np.stack([np.repeat(which, sizes), np.frombuffer(b"".join(docs), np.int64), np.frombuffer(b"".join(start), np.int64)], 1)
-        place = place[np.lexsort((place[:, 2], place[:, 1], place[:, 0]))]
-        place = place[np.r_[True, (place[1:] != place[:-1]).any(1)]] if len(place) else place
-        many = np.bincount(place[:, 0], minlength=len(numbers)) > 1
-        keys = list(numbers)
-        _, group = np.unique(np.fromiter((k[0] for k in keys), np.int64, len(keys)), return_inverse=True)
-        order = np.argsort(group, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        before = np.fromiter((keys[k][1] for k in order), np.int64, len(keys))
-        found_docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        own = rank[place[:, 0]]
-        anchor_at = place[:, 2] + before[own]
-        for shift, mask in repeated_starts(group[order], [keys[k][2] for k in order], before, many[order], window, grain):
-            hit = mask[own]
-            found_docs.append(place[hit, 1])
-            found.append(anchor_at[hit] + shift)
-        found_docs, found = np.concatenate(found_docs), np.concatenate(found)
-        return by_document(buckets, found_docs, found)
+    def run(batches):
+        held = None
+        for batch in batches:
+            anchor, key, before = (batch.column(k).to_numpy() for k in range(3))
+            ends = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+            a = 0
+            while a < len(anchor):
+                if held and len(held.anchor) >= TOGETHER and held.anchor[-1] != anchor[a]:
+                    yield from held.found()
+                    held = None
+                held = held or Collection(window, grain, folder)
+                # up to the anchor with which the collection is full, or all that is left
+                k = int(np.searchsorted(ends, a + max(1, TOGETHER - len(held.anchor))))
+                b = int(ends[k]) if k < len(ends) else len(anchor)
+                held.add(anchor[a:b], key[a:b], before[a:b], *(batch.column(c).slice(a, b - a) for c in (3, 4, 5)))
+                a = b
+        if held:
+            yield from held.found()
 
     return run
 
@@ -276,7 +408,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = bucket_count(docs)
     twice = docs.mapInArrow(anchor_points(window, grain, buckets), PACKED).groupBy("bucket").applyInArrow(repeated(buckets), PACKED)
     twice = materialize(merged(twice, grain))
-    around = attach(docs, twice).where("spans is not null").select("doc_id", "text", "spans")
-    again = around.mapInArrow(contexts(window, grain, buckets * FINER), CONTEXTS).groupBy("bucket").applyInArrow(column_wise(window, grain, buckets), PACKED)
-    again = materialize(merged(again, window))
-    return attach(docs, again).select("doc_id", "text", "spans").mapInArrow(remaining(window), "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
+    # spans grow with the text, so they are never broadcast: the plan is the same at every size
+    around = docs.join(twice.hint("merge"), "doc_id").select("doc_id", "text", "spans").mapInArrow(contexts(window, grain), CONTEXTS)
+    again = around.repartition("anchor").sortWithinPartitions("anchor", "key", F.octet_length("text").desc()).mapInArrow(column_wise(window, grain, shared_path(docs.sparkSession)), "doc_id long, spans binary")
+    again = materialize(again.groupBy("doc_id").agg(F.collect_list("spans").alias("parts")).mapInArrow(joined_spans(), "doc_id long, spans binary"))
+    return docs.join(again.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(remaining(window), "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
