@@ -41,3 +41,140 @@ def upstream(edges: DataFrame, depth: int = 12) -> DataFrame:
 
 def layer_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("layer").agg(F.count("*").alias("n_tables"))
+
+
+# fixed values: headings of the documents that are no descriptions
+HEADINGS = ("Destination Indexes", "Source", "SQL", "Transformations")
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _untagged(text: Column) -> Column:
+    return _stripped(F.regexp_replace(text, "<[^>]+>", ""))
+
+
+def _filled(text: Column) -> Column:
+    return F.when(F.length(text) > 0, text)
+
+
+def _named(table: Column, file: Column) -> Column:
+    """The table of "class 'x' extends 'y'": x in the schema that the file's name begins with; other names as they are."""
+    pattern = r"(?U)^class\s+'(\w+)'\s+extends\s+'\w+'"
+    name = F.regexp_extract(table, pattern, 1)
+    schema = F.when(F.coalesce(file, F.lit("")).contains("."), F.concat(F.split(file, r"\.")[0], F.lit("."))).otherwise("")
+    return F.when(table.rlike(pattern), F.concat(schema, name)).otherwise(table)
+
+
+def _source_of(file: Column, target: Column) -> Column:
+    """The source table by the name of a file "schema.N_source_to_target.java"; the target if the name says nothing."""
+    parts = F.split(F.replace(file, F.lit(".java"), F.lit("")), r"\.")
+    name = F.get(parts, F.lit(1))
+    source = F.regexp_replace(F.split(name, "_to_")[0], r"^_?\d+_", "")
+    return F.when(F.coalesce(name, F.lit("")).contains("_to_"), F.concat(parts[0], F.lit("."), source)).otherwise(target)
+
+
+def blocks(pages: DataFrame, key: str, html: str, skip: tuple[str, ...] = ("structure",)) -> DataFrame:
+    """The transformations of documents, a row each, in their order (section_no, block_no).
+
+    A document has sections (h1 "1/9) Repertoire 'name'") of blocks (h2 "1/9) Fichier 'name'").  Of each block: file,
+    description, source_table, dest_table, columns (source, destination, type, comment), sql, transformation_code,
+    where_filter and source_primary_key, null where it has none.  Documents without sections, and null ones, give no rows.
+    """
+    text = F.regexp_replace(F.col(html), r"<!-- saved from url=\([^)]*\)[^ ]* -->", "")
+    text = F.regexp_replace(text, r"(?U)\s+data-[\w-]+=\"[^\"]*\"", "")
+    heading = r"(?U)<h1[^>]*>\s*\d+/\d+\)\s+Repertoire\s+'(\w+)'\s*</h1>"
+    sections = pages.select(key, F.posexplode(F.split(text, rf"(?={heading})")).alias("section_no", "section"))
+    sections = sections.withColumn("repertoire", F.regexp_extract("section", f"^{heading}", 1)).where((F.col("repertoire") != "") & ~F.col("repertoire").isin(*skip))
+    rows = sections.select(key, "section_no", "repertoire", F.posexplode(F.split("section", r"(?=<h2[^>]*>\d+/\d+\))")).alias("block_no", "b")).where(F.col("b").rlike(r"^\s*<h2"))
+    part = lambda pattern, group=1: F.regexp_extract("b", pattern, group)
+    head = r"(?s)<th><em>Source</em><br\s*/?>(.*?)</th>\s*<th><em>Destination</em><br\s*/?>(.*?)</th>"
+    # in steps, so that no expression is evaluated again for each that names it
+    rows = rows.withColumns({
+        "file": _filled(part(r"<h2[^>]*>\s*\d+/\d+\)\s+Fichier\s+'([^']+)'\s*</h2>")),
+        "about": _untagged(part(r"<h4>((?:(?!</h4>).)+)</h4>")),
+        "there": F.col("b").rlike(head),
+        "s": _untagged(part(head)),
+        "t": _untagged(part(head, 2)),
+    })
+    rows = rows.withColumn("s", F.when(F.col("s").isin("class Parent", ""), _source_of(F.col("file"), F.col("t"))).otherwise(F.col("s")))
+    row = r"(?s)<tr>\s*<td>(.*?)</td>\s*<td>(.*?)</td>\s*<td>(.*?)</td>\s*</tr>"
+    typed = r"(?U)^(\S+)\s*\((\w[\w\s,]*)\)"
+
+    def column(tr: Column) -> Column:
+        cell = [_untagged(F.regexp_extract(tr, row, k)) for k in (1, 2, 3)]
+        has = cell[1].rlike(typed)
+        return F.struct(
+            cell[0].alias("source"),
+            F.when(has, F.regexp_extract(cell[1], typed, 1)).otherwise(cell[1]).alias("destination"),
+            F.when(has, F.trim(F.regexp_extract(cell[1], typed, 2))).alias("type"),
+            _filled(cell[2]).alias("comment"),
+        )
+
+    pre = lambda title: _filled(F.regexp_replace(_stripped(part(rf"(?s)<h4>{title}</h4>\s*<pre>(.*?)</pre>")), "<[^>]+>", ""))
+    key_of = r"<h5>Clé primaire:\s*'([^']*)'</h5>"
+    return rows.select(
+        key, "section_no", "block_no", "repertoire", "file",
+        F.when(~F.col("about").isin("", *HEADINGS), F.col("about")).alias("description"),
+        F.when(F.col("there"), _named(F.col("s"), F.col("file"))).alias("source_table"),
+        F.when(F.col("there"), _named(F.col("t"), F.col("file"))).alias("dest_table"),
+        F.transform(F.regexp_extract_all("b", F.lit(row), F.lit(0)), column).alias("columns"),
+        pre("SQL").alias("sql"), pre("Transformations").alias("transformation_code"), pre("Clause WHERE").alias("where_filter"),
+        F.when(F.col("b").rlike(key_of), part(key_of)).alias("source_primary_key"),
+    )
+
+
+def _by_prefix(table: Column, values: dict[str, str], otherwise: Column) -> Column:
+    """The value of the first key that the table's schema begins with."""
+    schema = F.when(table.contains("."), F.split(table, r"\.")[0])
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for prefix, value in values.items():
+        out = out.when(schema.startswith(prefix), F.lit(value))
+    return out.otherwise(otherwise)
+
+
+def graph_nodes(found: DataFrame, key: str, layers: dict[str, str], systems: list[str], inherits: dict[str, str] | None = None) -> DataFrame:
+    """(key, table, layer, system) of each table in the blocks of a document, as its first mention has it.
+
+    A source is placed by its schema; a destination is in the layer of its section, which is its system too.  The base tables
+    that inherits names for tables are nodes with them, placed by their schema.
+    """
+    found = found.withColumn("layer", F.coalesce(*[F.when(F.col("repertoire") == k, F.lit(v)) for k, v in layers.items()], F.lit("unknown")))
+    section = F.col("layer")
+    as_source = F.struct(F.col("source_table").alias("table"), _by_prefix(F.col("source_table"), layers, section).alias("layer"), _by_prefix(F.col("source_table"), {s: s for s in systems}, F.lit("unknown")).alias("system"))
+    as_target = F.struct(F.col("dest_table").alias("table"), section.alias("layer"), F.col("repertoire").alias("system"))
+    rows = found.select(key, "section_no", "block_no", F.posexplode(F.array(as_source, as_target)).alias("side", "t")).where("t.table <> ''")
+    nodes = rows.groupBy(key, F.col("t.table").alias("table")).agg(F.min_by("t", F.struct("section_no", "block_no", "side")).alias("t")).select(key, "table", "t.layer", "t.system")
+    for child, base in (inherits or {}).items():
+        b = F.lit(base)
+        more = nodes.where(F.col("table") == child).select(key, b.alias("table"), _by_prefix(b, layers, F.lit("unknown")).alias("layer"), F.split(b, r"\.")[0].alias("system"))
+        nodes = nodes.unionByName(more.join(nodes.select(key, "table"), [key, "table"], "left_anti"))
+    return nodes
+
+
+def graph_edges(found: DataFrame, nodes: DataFrame, key: str, inherits: dict[str, str] | None = None) -> DataFrame:
+    """(key, source, target, file, description, n_columns): a block between two tables, and each class with its base.
+
+    inherits names the base table of a table; such an edge is added where the table is a node and no block has it.
+    """
+    edges = found.where("source_table <> dest_table and source_table <> '' and dest_table <> ''").select(key, F.col("source_table").alias("source"), F.col("dest_table").alias("target"), "file", "description", F.size("columns").alias("n_columns"))
+    for child, base in (inherits or {}).items():
+        more = nodes.where(F.col("table") == child).select(key, F.lit(child).alias("source"), F.lit(base).alias("target")).join(edges.select(key, "source", "target"), [key, "source", "target"], "left_anti")
+        edges = edges.unionByName(more.withColumn("n_columns", F.lit(0)), allowMissingColumns=True)
+    return edges
+
+
+def repaired(nodes: DataFrame, edges: DataFrame, key: str, final: str, staging: str, tables: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without the tables of the final schema that are really those of the same name in staging.
+
+    Such a table is none of the final schema's own, and staging has its name; edges from it start at the staging table, and it
+    goes if no edge ends there.
+    """
+    short = F.substring_index("table", ".", -1)
+    doubtful = nodes.where(F.col("table").startswith(f"{final}.") & ~short.isin(*tables)).select(key, F.col("table").alias("source"), F.concat(F.lit(f"{staging}."), short).alias("real"))
+    moved = doubtful.join(nodes.select(key, F.col("table").alias("real")), [key, "real"])
+    out = edges.join(moved, [key, "source"], "left").withColumn("source", F.coalesce("real", "source")).select(*edges.columns)
+    ends = out.select(key, F.col("target").alias("source")).unionByName(out.select(key, "source"))
+    gone = moved.join(ends, [key, "source"], "left_anti").select(key, F.col("source").alias("table"))
+    return nodes.join(gone, [key, "table"], "left_anti"), out

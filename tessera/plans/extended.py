@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import guards, scalars
 from tessera.operators import cohort as co
-from tessera.operators import details, mapping, stats
+from tessera.operators import details, drug_names, exports, lineage, mapping, stats
 from tessera.plans.catalog import _DATED, B1, B2, EVENTS_SQL, _all, _base, _cdm, _people, _raw, _read, _risk, _tgt, _out, brand, measure
-from tessera.sources.cdm import TABLE_SQL
+from tessera.sources.cdm import TABLE_SQL, Cdm
 
 # ---------------------------------------------------------------------------------------------
 # survival
@@ -95,8 +95,6 @@ _raw(
 
 def _sourced(spark, folder):
     """A model of one domain whose events carry source concepts."""
-    from tessera.sources.cdm import Cdm
-
     rows = _read(spark, folder, "events").where("event_type in ('error', 'signup')")
     return Cdm({"condition_occurrence": rows.select(F.col("user_id").alias("person_id"), F.lit(1).alias("condition_concept_id"), (F.col("event_id") % 9).alias("condition_source_concept_id"), F.col("event_type").alias("condition_source_value"), F.to_date("ts").alias("condition_start_date"))})
 
@@ -171,3 +169,134 @@ _raw("null_concat", lambda spark, d: _read(spark, d, "documents").select("doc_id
 def _selected(spark, folder):
     _read(spark, folder, "region").createOrReplaceTempView("region")
     return guards.read_only(spark, "SELECT r_regionkey, r_name FROM region;")
+
+
+# ---------------------------------------------------------------------------------------------
+# exports
+
+_CHOSEN = """yes AS (SELECT * FROM decision WHERE action IN ('approved', 'modified')),
+ agreed AS (SELECT source_value, target_concept_id, string_agg(DISTINCT CAST(user_id AS VARCHAR), ';' ORDER BY CAST(user_id AS VARCHAR)) AS users, max((created_on, decision_id, user_id, confidence)) AS last
+  FROM yes GROUP BY 1, 2 HAVING count(DISTINCT user_id) >= 2),
+ known AS (SELECT drug_source_value AS source_value, min(drug_concept_id) AS a, max(drug_concept_id) AS b FROM drug_exposure WHERE drug_concept_id > 0 GROUP BY 1),
+ done AS (SELECT source_value FROM (SELECT source_value, max(synced) AS s, min(target_concept_id) AS lo, max(target_concept_id) AS hi FROM yes GROUP BY 1) x LEFT JOIN known USING (source_value)
+  WHERE s = 1 OR (lo = hi AND a = b AND lo = a)),
+ f AS (SELECT drug_source_value AS source_value, count(*) AS n FROM drug_exposure GROUP BY 1)"""
+# of decisions that no sync has taken, or every term would be done
+_OPEN = TABLE_SQL["decision"].replace("CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END", "0")
+_cdm(
+    "mapping_export",
+    lambda cdm: exports.mapping_export(cdm, "Drug", cdm.table("decision").withColumn("synced", F.lit(0)), "Local"),
+    f"""WITH {_CHOSEN.replace("FROM decision WHERE", f"FROM ({_OPEN}) dd WHERE")}
+ SELECT g.source_value AS "sourceCode", g.source_value AS "sourceName", coalesce(n, 0) AS "sourceFrequency", 0 AS "sourceAutoAssignedConceptIds", '' AS "ADD_INFO:source_name_fr",
+  nullif(last[4], 0) AS "ADD_INFO:matchScore", 'APPROVED' AS "mappingStatus", 'EQUAL' AS equivalence, users AS "statusSetBy", CAST(last[1] AS VARCHAR) AS "statusSetOn", g.target_concept_id AS "conceptId",
+  coalesce(concept_name, '') AS "conceptName", 'Drug' AS "domainId", 'MAPS_TO' AS "mappingType", '' AS comment, CAST(last[3] AS VARCHAR) AS "createdBy", CAST(last[1] AS VARCHAR) AS "createdOn", '' AS "assignedReviewers",
+  'Local' AS srce_vocabulary, coalesce(concept_code, '') AS concept_code, coalesce(concept_name, '') AS concept_name, 'Drug' AS domain_id, coalesce(vocabulary_id, '') AS vocabulary_id, coalesce(concept_class_id, '') AS concept_class_id,
+  'S' AS standard_concept FROM agreed g LEFT JOIN f ON f.source_value = g.source_value LEFT JOIN concept ON concept_id = g.target_concept_id
+  WHERE g.source_value NOT IN (SELECT source_value FROM done)""",
+)
+_cdm(
+    "mapping_history",
+    lambda cdm: exports.mapping_history(cdm.table("decision"), action="modified", user=3),
+    """SELECT '' AS domain, source_value, '' AS source_name, action, target_concept_id, '' AS target_concept_name, '' AS target_vocabulary_id, CAST(NULL AS BIGINT) AS previous_concept_id, suggestion_source, confidence AS confidence_score,
+ CAST(user_id AS VARCHAR) AS "user", '' AS reason, CAST(created_on AS VARCHAR) AS created_at FROM decision WHERE action = 'modified' AND user_id = 3""",
+)
+_AUDIT = (
+    "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") AS ts", "concat('u', user_id) AS user", "array('r', concat('=', event_type)) AS roles", "concat('data.', event_type) AS action",
+    "'GET' AS method", "concat('/x/', event_id) AS path", "200 AS status", "value AS duration_ms", "'' AS ip",
+)
+_raw(
+    "audit_export",
+    lambda spark, d: exports.audit_export(_read(spark, d, "events").selectExpr(*_AUDIT), "2024-01-02", "2024-01-20", action="data.c"),
+    """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", 'u' || user_id AS "user", 'r,=' || event_type AS roles, 'data.' || event_type AS action, 'GET' AS method, '/x/' || event_id AS path, 200 AS status, value AS duration_ms, '' AS ip
+ FROM events WHERE event_type LIKE 'c%' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-02' AND DATE '2024-01-20'""",
+)
+
+
+# ---------------------------------------------------------------------------------------------
+# drug names
+
+_LABEL = "p_name || ' ' || p_size || ' MG ' || CASE p_partkey % 3 WHEN 0 THEN 'CPR' WHEN 1 THEN 'INJ' ELSE 'SIROP' END || ' (' || p_brand || ')'"
+_CALLED = "p_name || ' ' || p_size || ' MG ' || CASE WHEN p_partkey % 4 < 2 THEN 'Oral Tablet' ELSE 'Injection' END || ' [' || p_brand || ']'"
+_raw(
+    "drug_name_parts",
+    lambda spark, d: _read(spark, d, "part").select("p_partkey", drug_names.parsed(F.expr(_LABEL)).alias("p")).select("p_partkey", "p.ingredient", "p.dosage", F.array_join("p.forms", "|").alias("forms"), "p.brand"),
+    """SELECT p_partkey, upper(p_name) AS ingredient, p_size || ' MG' AS dosage, CASE p_partkey % 3 WHEN 0 THEN 'Oral Tablet' WHEN 1 THEN 'Injectable|Injection' ELSE 'Oral Solution' END AS forms, upper(p_brand) AS brand FROM part""",
+)
+_raw(
+    "suggest_by_name",
+    lambda spark, d: drug_names.suggest_by_name(_labelled(spark, d), _read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("source_value"), F.expr(_LABEL).alias("source_name")), "Drug"),
+    f"""WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS source_value, {_LABEL} AS source_name, p_name AS g, p_size || ' MG' AS dose, p_partkey % 3 AS f, p_brand AS brand FROM part),
+ n AS (SELECT DISTINCT g, dose, f, brand FROM t),
+ c AS (SELECT p_partkey AS id, {_CALLED} AS nm, p_type || ' ' || p_name || ' ' || p_size || ' MG' AS syn, p_partkey % 2 = 0 AS dom FROM part WHERE p_partkey % 7 <> 0),
+ r AS (SELECT n.*, c.*, 0 AS turn FROM n JOIN c ON f <> 1 AND strpos(substring(nm, strpos(nm, g) + length(g)), dose) > 0 AND contains(nm, g)
+  UNION ALL SELECT n.*, c.*, 1 FROM n JOIN c ON contains(nm, g)
+  UNION ALL SELECT n.*, c.*, 4 FROM n JOIN c ON strpos(substring(syn, strpos(syn, g) + length(g)), dose) > 0 AND contains(syn, g)),
+ b AS (SELECT *, turn < 4 AND contains(nm, brand) AS br, turn < 4 AND ((f = 0 AND contains(nm, 'Oral Tablet')) OR (f = 1 AND contains(nm, 'Injection'))) AS fo FROM r),
+ k AS (SELECT *, row_number() OVER (PARTITION BY g, dose, f, brand, turn ORDER BY dom DESC, br DESC, fo DESC, length(nm), id) AS k FROM b),
+ a AS (SELECT *, row_number() OVER (PARTITION BY g, dose, f, brand, id ORDER BY turn) AS again FROM k WHERE k <= 5),
+ h AS (SELECT *, count(*) OVER (PARTITION BY g, dose, f, brand ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had FROM a WHERE again = 1)
+ SELECT source_value, source_name, id AS concept_id, nm AS concept_name, CASE WHEN turn < 4 THEN 'ingredient' ELSE 'synonym' END AS strategy,
+  least(95, (CASE turn WHEN 0 THEN 85 ELSE 78 END) + (CASE WHEN br THEN 5 ELSE 0 END) + (CASE WHEN fo THEN 5 ELSE 0 END)) AS confidence FROM h JOIN t USING (g, dose, f, brand) WHERE had < 5""",
+)
+
+
+def _labelled(spark, folder):
+    """A model of drug concepts that are named with dose, form and brand."""
+    c = _read(spark, folder, "part").where("p_partkey % 7 <> 0")
+    domain = F.when(F.col("p_partkey") % 2 == 0, "Drug").otherwise("Observation")
+    concept = c.select(F.col("p_partkey").alias("concept_id"), F.expr(_CALLED).alias("concept_name"), domain.alias("domain_id"), F.lit("S").alias("standard_concept"), F.lit(None).cast("string").alias("invalid_reason"))
+    synonym = c.select(F.col("p_partkey").alias("concept_id"), F.expr("p_type || ' ' || p_name || ' ' || p_size || ' MG'").alias("concept_synonym_name"))
+    return Cdm({"concept": concept, "concept_synonym": synonym})
+
+
+# ---------------------------------------------------------------------------------------------
+# lineage documents: one for each customer, with a block for each order, and one more for each third order
+
+_LAYERS, _SYSTEMS = {"app": "source", "stage": "staging", "final": "omop"}, ["app"]
+
+
+def _documents(spark, folder):
+    """(o_custkey, html): the orders of a customer as transformations of a table each."""
+    no = F.col("o_orderkey").cast("string")
+    head = lambda source, target: F.concat(F.lit("<table><tr><th><em>Source</em><br/>"), source, F.lit("</th> <th><em>Destination</em><br>"), target, F.lit("</th></tr>"))
+    priority = F.substring("o_orderpriority", 1, 1)
+    source = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("app.<b>p"), priority, F.lit("</b>"))).otherwise("class Parent")
+    block = F.concat(
+        F.lit("<h2 id='b'>1/1) Fichier 'stage.3_s"), priority, F.lit("_to_o.java'</h2>\n<h4>Order <i>"), no, F.lit("</i></h4>"), head(source, F.concat(F.lit("stage.o"), no)),
+        F.lit("<tr><td>key</td><td>o_"), no, F.lit(" (NUMBER, 10)</td><td></td></tr></table><h4>SQL</h4><pre>select "), no, F.lit("</pre><h4>Clause WHERE</h4><pre>k = "), no, F.lit("</pre><h5>Clé primaire: 'k'</h5>"),
+    )
+    last = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<h2>1/1) Fichier 'final.x'</h2>"), head(F.concat(F.lit("final.o"), no), F.lit("final.person")), F.lit("</table>")))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", c.alias("b")))), lambda x: x.b), "")
+    rows = _read(spark, folder, "orders").groupBy("o_custkey").agg(listed(block).alias("a"), listed(last).alias("z"))
+    return rows.select("o_custkey", F.concat(F.lit("<h3>doc</h3><h1>1/2) Repertoire 'stage'</h1>"), "a", F.lit("<h1 class='x'>2/2) Repertoire 'final'</h1>"), "z").alias("html"))
+
+
+_FROM = "CASE WHEN o_orderkey % 2 = 0 THEN 'app.p' ELSE 'stage.s' END || substring(o_orderpriority, 1, 1)"
+_raw(
+    "lineage_blocks",
+    lambda spark, d: lineage.blocks(_documents(spark, d), "o_custkey", "html", ("final",)).select(
+        "o_custkey", "block_no", "repertoire", "file", "description", "source_table", "dest_table", F.expr("columns[0].destination || ' ' || columns[0].type").alias("first_column"), "sql", "where_filter", "source_primary_key"
+    ),
+    f"""SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS block_no, 'stage' AS repertoire, 'stage.3_s' || substring(o_orderpriority, 1, 1) || '_to_o.java' AS file, 'Order ' || o_orderkey AS description,
+ {_FROM} AS source_table, 'stage.o' || o_orderkey AS dest_table, 'o_' || o_orderkey || ' NUMBER, 10' AS first_column, 'select ' || o_orderkey AS sql, 'k = ' || o_orderkey AS where_filter, 'k' AS source_primary_key FROM orders""",
+)
+
+
+def _graph(spark, folder):
+    found = lineage.blocks(_documents(spark, folder), "o_custkey", "html")
+    nodes = lineage.graph_nodes(found, "o_custkey", _LAYERS, _SYSTEMS)
+    return lineage.repaired(nodes, lineage.graph_edges(found, nodes, "o_custkey"), "o_custkey", "final", "stage", ("person",))
+
+
+_raw(
+    "lineage_nodes",
+    lambda spark, d: _graph(spark, d)[0],
+    f"""SELECT DISTINCT o_custkey, {_FROM} AS "table", CASE WHEN o_orderkey % 2 = 0 THEN 'source' ELSE 'staging' END AS layer, CASE WHEN o_orderkey % 2 = 0 THEN 'app' ELSE 'unknown' END AS system FROM orders
+ UNION ALL SELECT DISTINCT o_custkey, 'stage.o' || o_orderkey, 'staging', 'stage' FROM orders UNION ALL SELECT DISTINCT o_custkey, 'final.person', 'omop', 'final' FROM orders WHERE o_orderkey % 3 = 0""",
+)
+_raw(
+    "lineage_edges",
+    lambda spark, d: _graph(spark, d)[1].select("o_custkey", "source", "target", "description", "n_columns"),
+    f"""SELECT o_custkey, {_FROM} AS source, 'stage.o' || o_orderkey AS target, 'Order ' || o_orderkey AS description, 1 AS n_columns FROM orders
+ UNION ALL SELECT o_custkey, 'stage.o' || o_orderkey, 'final.person', NULL, 0 FROM orders WHERE o_orderkey % 3 = 0""",
+)
