@@ -6,6 +6,7 @@ documents; a chunk holds about CHUNK_BYTES of text (more only if one document al
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -112,6 +113,16 @@ def byte_prefix(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its task, and what it holds counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -138,6 +149,7 @@ def chunks(column):
         hi = min(max(hi, lo + 1), lo + CHUNK_ROWS, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, materialize, ragged
+from tessera.llm.common import give_back, keyed, materialize, ragged
 from tessera.llm.tokens import encoder, slices
 
 SALTS, SALT_ROWS = 64, 100_000
@@ -32,30 +32,34 @@ SALTS, SALT_ROWS = 64, 100_000
 def pieces(path: str, end_id: int, capacity: int, with_ids: bool):
     """mapInArrow over (doc_id, text): the pieces of at most capacity ids that each document is cut into."""
 
+    def cut(coder, docs, texts):
+        ids, counts = coder.encode(texts)
+        marked = np.full(len(ids) + len(counts), end_id, "<u4")
+        own = np.ones(len(marked), bool)
+        own[np.cumsum(counts + 1) - 1] = False
+        marked[own] = ids
+        cuts = counts // capacity + 1
+        row = np.repeat(np.arange(len(counts)), cuts)
+        number = ragged(np.zeros(len(counts), np.int64), cuts)
+        start = number * capacity
+        length = np.minimum(counts[row] + 1 - start, capacity)
+        edges = np.zeros(len(row) + 1, np.int64)
+        np.cumsum(4 * length, out=edges[1:])  # the pieces stand in marked one after another
+        raw, at = memoryview(marked).cast("B"), edges.tolist()
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
+        columns = [docs.take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if with_ids:
+            columns.append(pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(marked)]))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def run(batches):
         coder = encoder(path)
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
-                ids, counts = coder.encode(batch.column(1).slice(lo, hi - lo))
-                marked = np.full(len(ids) + len(counts), end_id, "<u4")
-                own = np.ones(len(marked), bool)
-                own[np.cumsum(counts + 1) - 1] = False
-                marked[own] = ids
-                cuts = counts // capacity + 1
-                row = np.repeat(np.arange(hi - lo), cuts)
-                number = ragged(np.zeros(hi - lo, np.int64), cuts)
-                start = number * capacity
-                length = np.minimum(counts[row] + 1 - start, capacity)
-                edges = np.zeros(len(row) + 1, np.int64)
-                np.cumsum(4 * length, out=edges[1:])  # the pieces stand in marked one after another
-                raw, at = memoryview(marked).cast("B"), edges.tolist()
-                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
-                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(marked)]))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield cut(coder, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo))
+                give_back()
 
     return run
 

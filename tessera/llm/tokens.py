@@ -21,7 +21,9 @@ from tessera.llm.common import LOWER, SPACE, ragged, string_buffers, word_hashes
 #: Segments of words that a worker keeps, with about 60 bytes for each.
 CACHE_SEGMENTS = 1_000_000
 #: Bytes of text whose words are made distinct at once; a longer document is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: New segments that the tokenizer gets at once; what it returns takes some hundred bytes for each.
+LEARN = 1 << 14
 _TAIL = ".,;:!?"
 
 
@@ -145,19 +147,23 @@ class WordEncoder:
         places: list[int] = []
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        for own, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(map(pieces.__getitem__, g)) for g in groups], add_special_tokens=False)):
-            found = np.array(e.ids, np.uint32)
-            ends = np.flatnonzero(self.word_end[found]) + 1
-            if len(ends) != len(own):
-                rest += own
-                continue
-            places += own
-            ids.append(found)
-            sizes.append(np.diff(ends, prepend=0))
-        alone = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)]
-        places += rest
-        ids.append(np.fromiter(chain.from_iterable(alone), np.uint32))
-        sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+        for i in range(0, len(groups), LEARN // group):
+            some = groups[i : i + LEARN // group]
+            for own, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(map(pieces.__getitem__, g)) for g in some], add_special_tokens=False)):
+                found = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self.word_end[found]) + 1
+                if len(ends) != len(own):
+                    rest += own
+                    continue
+                places += own
+                ids.append(found)
+                sizes.append(np.diff(ends, prepend=0))
+        for i in range(0, len(rest), LEARN):
+            some = rest[i : i + LEARN]
+            alone = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)]
+            places += some
+            ids.append(np.fromiter(chain.from_iterable(alone), np.uint32))
+            sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
         flat, lengths = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
         order = np.argsort(places)  # into the order of pieces
         flat = flat[ragged((np.cumsum(lengths) - lengths)[order], lengths[order])]
