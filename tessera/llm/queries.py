@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from tessera.llm.chat import perspective_turns
 from tessera.llm.common import materialize
 from tessera.llm.decontamination import contaminated
+from tessera.llm.hard_negatives import hard_negatives
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.minhash_dedup import near_duplicates
 from tessera.llm.packing import best_fit_pack, cut_documents
 from tessera.llm.quality import quality_scores
 from tessera.llm.secrets import BASE, find_secrets, spans_text
+from tessera.llm.spelling import spelling_variants
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.token_output import pack_token_ids
+from tessera.llm.toxicity import score_toxicity, train_toxicity
 
 CAPACITY = 4096
 
@@ -98,6 +101,42 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(cut, CAPACITY)
 
 
+def spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), least_length=5, least_count=3, thin=97)
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = _table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, _table(spark, sf_dir, "labels").where(fold != 2))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 50 == 0)
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, t.vec_id AS id, a.label = t.label AS same, CAST(list_inner_product(a.e, t.e) AS BIGINT) AS score
+  FROM v a JOIN v t ON a.vec_id <> t.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same) x WHERE k <= 5),
+n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def queries():
     return {
         "op1_benchmark_decontamination": benchmark_decontamination,
@@ -110,8 +149,11 @@ def queries():
         "op8_chat_formatting": chat_formatting,
         "op9_token_id_output": token_id_output,
         "op10_best_fit_packing": best_fit_packing,
+        "op11_spelling_variants": spelling_variant_grouping,
+        "op12_toxicity": toxicity,
+        "op13_hard_negatives": hard_negative_mining,
     }
 
 
 def oracle_sql():
-    return {"op8_chat_formatting": CHAT_SQL}
+    return {"op8_chat_formatting": CHAT_SQL, "op13_hard_negatives": NEGATIVES_SQL}
