@@ -173,12 +173,32 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word."""
+    """64-bit hash of every word, by which words are looked up or made features of; where it decides, take range_hashes()."""
     _, down = powers(len(data))
     prefix = byte_prefix(data)
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of each range; another, independent one for each turn.
+
+    Every eight bytes are finalised with their number before they are summed, so unlike in a polynomial modulo 2**64 no
+    rearrangement of bytes or blocks cancels out.
+    """
+    lengths = ends - starts
+    blocks = np.maximum((lengths + 7) >> 3, 1)
+    first = np.cumsum(blocks) - blocks
+    number = np.arange(int(blocks.sum()), dtype=np.int64) - np.repeat(first, blocks)
+    at = np.repeat(starts, blocks) + 8 * number
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    value = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].view("<u8").ravel()
+    left = np.minimum(np.repeat(ends, blocks) - at, 8).astype(np.uint64)
+    value &= np.where(left == 8, ~np.uint64(0), (np.uint64(1) << (left * np.uint64(8) % np.uint64(64))) - np.uint64(1))
+    mixed = mix(value * COEF[61 - turn] + mix((number.astype(np.uint64) + np.uint64(1)) * COEF[31 + turn]))
+    total = np.add.reduceat(mixed, first) if len(first) else np.zeros(0, np.uint64)
+    return mix(total + lengths.astype(np.uint64) * COEF[47 + turn])
+
+
 def window_hashes(hashes: np.ndarray, size: int, turn: int = 0) -> np.ndarray:
     """Hash of hashes[i : i + size] for every i that has so many left; another one for each turn."""
     n = len(hashes) - size + 1

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import COEF, LOWER, chunks, keyed, materialize, mix, ragged, small, without, word_hashes, words
+from tessera.llm.common import COEF, LOWER, chunks, keyed, materialize, mix, ragged, range_hashes, small, without, words
 from tessera.llm.components import connected_components
 
 SAMPLES, ROWS = 128, 4
@@ -80,10 +80,10 @@ def fine_sketches(size: int):
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes (48 bits) of lower-cased documents, in document order, and each one's document."""
+    """Distinct shingle hashes (64 bits) of lower-cased documents, in document order, and each one's document."""
     data = LOWER[data]
     starts, ends, first = words(data, offsets)
-    hashes = word_hashes(data, starts, ends)
+    hashes = range_hashes(data, starts, ends)
     counts = np.diff(first)
     full = np.maximum(counts - size + 1, 0)
     at, n = ragged(first[:-1], full), len(hashes)
@@ -99,8 +99,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
             extra += np.where(has, hashes[np.minimum(first[short] + k, n - 1)], np.uint64(0)) * COEF[k]
         total = np.concatenate([total, extra + counts[short].astype(np.uint64) * COEF[60]])
         doc = np.concatenate([doc, short])
-    key = np.unique((doc.astype(np.uint64) << np.uint64(48)) | (mix(total) >> np.uint64(16)))
-    return key & np.uint64((1 << 48) - 1), (key >> np.uint64(48)).astype(np.int64)
+    total = mix(total)
+    order = np.argsort(total)
+    order = order[np.argsort(doc[order].astype(np.uint16), kind="stable")]  # a chunk has under 65536 documents
+    total, doc = total[order], doc[order]
+    fresh = np.ones(len(total), bool)
+    fresh[1:] = (total[1:] != total[:-1]) | (doc[1:] != doc[:-1])
+    return total[fresh], doc[fresh].astype(np.int64)
 
 
 def signatures(size: int):

@@ -14,7 +14,8 @@ No pair of documents is ever listed.  What a chunk of text repeats itself is set
 window that it has more than once, and the others go by document at once.  So groups of copies cost less than other
 text, and no bucket gets all places of one.
 
-Windows count as equal if both hashes are, 128 bits: for 1e12 of them a chance of 1e-15.
+Windows count as equal if both hashes are.  Each is made from its own, independent hashes of the words: 128 bits, for 1e12
+windows a chance of 1e-15.
 
 Rows: null and empty texts have no words and lose none.  Rows that repeat a doc_id are taken as the same document: what
 one loses at a place the others lose there too, and they do not count as earlier for one another.  A row without doc_id
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import PACKED, attach, bucket_count, by_document, chunks, covered, keyed, materialize, merged, pack, ragged, read_spans, unpack, window_hashes, word_hashes, words
+from tessera.llm.common import PACKED, attach, bucket_count, by_document, chunks, covered, keyed, materialize, merged, pack, ragged, range_hashes, read_spans, unpack, window_hashes, words
 
 
 def _documents(batch):
@@ -41,11 +42,10 @@ def _documents(batch):
 def _windows(data, offsets, size, turns=1):
     """Hashes, document row and word position of every `size`-word window of a chunk."""
     starts, ends, first = words(data, offsets)
-    own = word_hashes(data, starts, ends)
     full = np.maximum(np.diff(first) - size + 1, 0)
     at = ragged(first[:-1], full)
     row = np.repeat(np.arange(len(full)), full)
-    return *(window_hashes(own, size, turn)[at] for turn in range(turns)), row, at - first[:-1][row]
+    return *(window_hashes(range_hashes(data, starts, ends, turn), size, turn)[at] for turn in range(turns)), row, at - first[:-1][row]
 
 
 def _runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
