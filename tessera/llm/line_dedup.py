@@ -1,14 +1,16 @@
 """Line dedup by pairwise alignment.
 
-1. Lines of at least MIN_WORDS words are anchors.  An anchor line is shared if several documents have it.  A document is
-   paired with the first document (smallest doc_id) of each of its shared lines, however many documents have the line.
-   So a line that very many documents share costs at most one pair for each of them, never all pairs, and no shared line
-   is left out.
+1. Lines of at least MIN_WORDS words are anchors, and so are two lines of text that follow one another, if one of them is.  An
+   anchor is shared if several documents have it, and rare if RARE documents at most have it.  A document is paired with the
+   document before it (next smaller doc_id) that has the same rare anchor; and, so that no shared anchor is left out, with
+   the first document of each of its shared anchors, however many have it.  Either is one pair for each document and anchor,
+   never all pairs of those that share it.
 2. Each pair is aligned by patience diff: lines that occur once in both are matched along the longest increasing
-   subsequence, the stretches between are aligned likewise, and matches are extended over equal neighbours.
+   subsequence (of equally long ones, that which ends first in the earlier document), the stretches between are aligned likewise, and matches are extended over equal neighbours.
 3. From the later document of the pair every aligned block with an anchor line is deleted.
 
-Lines are split at \\n and compared without the white space around them.  Only a line's hash travels.
+Lines are split at \\n and compared without the white space around them.  Only hashes travel: 64 bits find pairs, 128 bits, two
+independent hashes, tell lines apart where something is deleted.
 
 Rows: null and empty texts have no lines and stay as they are.  Rows that repeat a doc_id are taken as one document:
 the lines of both count, and what is deleted in one is deleted in the other.  A row without doc_id is returned as it
@@ -21,19 +23,19 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import attach, byte_prefix, chunks, covered, joined_spans, keyed, materialize, mix, powers, read_spans, spread_join, words
+from tessera.llm.common import COEF, attach, chunks, covered, joined_spans, keyed, materialize, mix, range_hashes, read_spans, spread_join, words
 
 MIN_WORDS = 5
-#: Documents of a rare line; pairs don't depend on it, tests describe lines by it.
+#: Documents of a rare anchor.
 RARE = 64
 LINES = "doc_id long, n_lines int, hashes binary, anchors binary"
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
-    """Of each line of a chunk: hash (0 for white space only), number of words; and each document's first line."""
+    """Of each line of a chunk: two hashes (0 for white space only), number of words; and each document's first line."""
     breaks = np.flatnonzero(data == 10)
     docs = np.flatnonzero(np.diff(offsets) > 0)
     begin = np.sort(np.concatenate([offsets[docs], breaks + 1]))
@@ -42,12 +44,10 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
     starts, ends, _ = words(data, offsets)
     lo, hi = np.searchsorted(starts, begin), np.searchsorted(starts, end)
     count = hi - lo
-    hashes = np.zeros(len(begin), np.uint64)
+    hashes = np.zeros((len(begin), 2), np.uint64)
     some = np.flatnonzero(count > 0)
-    if len(some):
-        prefix, (_, down) = byte_prefix(data), powers(len(data))
-        a, b = starts[lo[some]], ends[hi[some] - 1]
-        hashes[some] = mix((prefix[b] - prefix[a]) * down[a]) | np.uint64(1)
+    for turn in range(2):
+        hashes[some, turn] = range_hashes(data, starts[lo[some]], ends[hi[some] - 1], turn) | np.uint64(1)
     return hashes, count, first
 
 
@@ -69,13 +69,16 @@ def line_hashes():
 
 
 def anchor_lines():
-    """mapInArrow over line_hashes(): (line, doc_id) of the distinct anchor lines of each document."""
+    """mapInArrow over line_hashes(): (line, doc_id) of the distinct anchors of each document."""
 
     def run(batches):
         for batch in batches:
             lines, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for doc, hashes, anchors in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                own = np.unique(np.frombuffer(hashes, np.int64)[np.frombuffer(anchors, np.uint8) > 0])
+                text = np.flatnonzero(np.frombuffer(hashes, np.uint64)[::2])
+                line, anchor = np.frombuffer(hashes, np.uint64)[::2][text], np.frombuffer(anchors, np.uint8)[text] > 0
+                two = mix(line[:-1] * COEF[0] + line[1:] * COEF[1])[anchor[:-1] | anchor[1:]]
+                own = np.unique(np.concatenate([line[anchor], two])).view(np.int64)
                 lines.append(own)
                 docs.append(np.full(len(own), doc))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lines)), pa.array(np.concatenate(docs))], ["line", "doc_id"])
@@ -83,8 +86,14 @@ def anchor_lines():
     return run
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Matched positions of two lists of line hashes, increasing in both; 0 never matches."""
+def line_keys(hashes: bytes) -> list:
+    """What two lines must have in common: both hashes; 0 for a line of white space."""
+    both = np.frombuffer(hashes, np.int64).reshape(-1, 2).tolist()
+    return [(x, y) if x else 0 for x, y in both]
+
+
+def patience(a: list, b: list) -> list[tuple[int, int]]:
+    """Matched positions of two lists of line keys, increasing in both; 0 never matches."""
     out: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
     while work:
@@ -135,7 +144,7 @@ def deletions():
         for batch in batches:
             docs, spans = [], []
             for doc, own, anchors, other in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                matched = patience(np.frombuffer(own, np.int64).tolist(), np.frombuffer(other, np.int64).tolist())
+                matched = patience(line_keys(own), line_keys(other))
                 flags = np.frombuffer(anchors, np.uint8)
                 found, k = [], 0
                 while k < len(matched):
@@ -177,9 +186,12 @@ def line_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the lines to delete from each document that loses any; docs are (doc_id, text); materialized."""
     hashed = materialize(docs.where("doc_id is not null").mapInArrow(line_hashes(), LINES))
     places = materialize(hashed.select("doc_id", "n_lines", "hashes", "anchors").mapInArrow(anchor_lines(), "line long, doc_id long"))
-    owners = places.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-    # every document's own line with the first document that has it; a line of very many documents is dealt over tasks
-    pairs = materialize(spread_join(places, owners.select("line", "first"), "line").where("doc_id <> first").select("doc_id", "first").distinct())
+    owners = materialize(places.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last").select("line", "first", "n"))
+    # every document's own anchor with the first document that has it; one of very many documents is dealt over tasks
+    shared = materialize(spread_join(places, owners, "line").where("doc_id <> first or n <= " + str(RARE)))
+    before = F.lag("doc_id").over(Window.partitionBy("line").orderBy("doc_id"))
+    rare = shared.where(F.col("n") <= RARE).select("doc_id", before.alias("first")).where("first is not null and first <> doc_id")
+    pairs = materialize(shared.where("doc_id <> first").select("doc_id", "first").unionByName(rare).distinct())
     own = hashed.select("doc_id", "hashes", "anchors")
     earlier = hashed.select(F.col("doc_id").alias("first"), F.col("hashes").alias("other")).dropDuplicates(["first"])
     aligned = spread_join(pairs, earlier, "first").join(own, "doc_id").select("doc_id", "hashes", "anchors", "other")
