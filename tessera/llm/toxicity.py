@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, chunks, keyed, mix, string_buffers, word_hashes, words
+from tessera.llm.common import LOWER, chunks, keyed, mix, range_hashes, string_buffers, words
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
@@ -37,8 +37,10 @@ DIMENSIONS = 8
 FIT_ROWS, FIT_CHARS = 2500, 32_768
 #: Parts that occur less often in the fitted texts keep a zero embedding.
 LEAST = 5
+WORDS_AT_ONCE = 1 << 16
 #: DAMPING is what a slope must exceed for a full step, so that parts of one or two texts hardly move.
 STEPS, RATE, DECAY, DAMPING = 150, 0.05, 1e-5, 3e-5
+FITTED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])
 
 
 @dataclass
@@ -59,7 +61,7 @@ def parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     if not len(starts):
         return
     shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
-    yield (word_hashes(data, starts, ends) >> shift).astype(np.int32), np.arange(len(starts), dtype=np.int32)
+    yield (range_hashes(data, starts, ends) >> shift).astype(np.int32), np.arange(len(starts), dtype=np.int32)
     lengths = ends - starts + 2
     first = np.cumsum(lengths) - lengths
     word = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
@@ -105,16 +107,23 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 11) -> Model:
     data, offsets = string_buffers(texts)
     data = LOWER[data[offsets[0] : offsets[-1]]]
     starts, ends, first = words(data, offsets - offsets[0])
-    _, at, token = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    made = list(parts(data, starts[at], ends[at]))
-    bucket, word = (np.concatenate([x[k] for x in made]) for k in (0, 1))
-    order = np.argsort(word, kind="stable")
-    bucket, word = bucket[order], word[order]
-    often = np.bincount(bucket, np.bincount(token, minlength=len(at))[word], BUCKETS) >= LEAST
-    bucket, word = bucket[often[bucket]], word[often[bucket]]
+    _, at, token = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    token = token.astype(np.int32)
+
+    def made():
+        """The parts of the distinct words, some words at a time."""
+        for lo in range(0, len(at), WORDS_AT_ONCE):
+            for bucket, word in parts(data, starts[at[lo : lo + WORDS_AT_ONCE]], ends[at[lo : lo + WORDS_AT_ONCE]]):
+                yield bucket, word + np.int32(lo)
+
+    uses = np.bincount(token, minlength=len(at))
+    often = sum(np.bincount(bucket, uses[word], BUCKETS) for bucket, word in made()) >= LEAST
+    kept = [(bucket[often[bucket]], word[often[bucket]]) for bucket, word in made()]
+    bucket, word = (np.concatenate([x[k] for x in kept]) for k in (0, 1))
+    del kept
     share = 1.0 / part_counts(ends[at] - starts[at])
     begin, text = segments(first)
-    segment = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(starts)]))
+    segment = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(np.r_[begin, len(starts)]))
     rows = np.flatnonzero(np.diff(first))
     edge = np.searchsorted(text, rows)
     many = np.diff(np.r_[edge, len(begin)])
@@ -151,19 +160,28 @@ def fit(texts: pa.Array, toxic: np.ndarray, seed: int = 11) -> Model:
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """What log_odds() needs of a model fitted on labelled docs: values of the buckets, and the bias.
 
-    The ids of the fitted texts, 2 * FIT_ROWS at most, and then those texts, FIT_CHARS each at most, come to the driver.
+    One task fits the model on the texts taken, 2 * FIT_ROWS of FIT_CHARS each at most; only what it returns comes to the driver.
     """
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id is not null and toxic is not null")
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     taken = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS) for k in (0, 1)]
     taken = taken[0].unionByName(taken[1])
     rows = keyed(docs, id_col, text_col).join(F.broadcast(taken), F.col("doc_id") == F.col("id")).where(F.length("text") <= FIT_CHARS)
-    found = rows.select("doc_id", "text", "toxic").limit(4 * FIT_ROWS).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    toxic = found.column("toxic").to_numpy()
-    if not len(toxic) or toxic.min() == toxic.max():
+
+    def run(batches):
+        found = pa.Table.from_batches(list(batches), FITTED).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        toxic = found.column("toxic").to_numpy()
         share = float(toxic.mean()) if len(toxic) else 0.0
-        return np.zeros(BUCKETS), float(np.log(share / (1 - share))) if 0 < share < 1 else (np.inf if share else -np.inf)
-    return fit(found.column("text"), toxic).values()
+        if 0 < share < 1:
+            values, bias = fit(found.column("text"), toxic).values()
+        else:
+            values, bias = np.zeros(BUCKETS), np.inf if share else -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([bias])], ["values", "bias"])
+
+    # rows that repeat an id can't make it more
+    rows = rows.select("doc_id", "text", "toxic").limit(4 * FIT_ROWS).repartition(1)
+    made = rows.mapInArrow(run, "values binary, bias double").first()
+    return (np.frombuffer(made["values"], np.float64), made["bias"]) if made else (np.zeros(BUCKETS), -np.inf)
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
