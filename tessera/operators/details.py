@@ -56,7 +56,7 @@ def concept_source_values(cdm: Cdm, concept_id: int, each: int = 50) -> DataFram
 def source_concept_counts(cdm: Cdm, ids: list[int], domains: list[str] | None = None) -> DataFrame:
     """Records and persons by source concept, summed over domains."""
     parts = [rows.withColumn("domain", F.lit(d)) for d in domains or cdm.domains() if (rows := _coded(cdm, d)) is not None]
-    each = reduce(DataFrame.unionByName, parts).where(F.col("source_concept_id").isin(ids[:RELATIONS])).groupBy("domain", "source_concept_id").agg(F.count("*").alias("r"), F.countDistinct("person_id").alias("p"))
+    each = reduce(DataFrame.unionByName, parts).where(F.col("source_concept_id").isin(ids)).groupBy("domain", "source_concept_id").agg(F.count("*").alias("r"), F.countDistinct("person_id").alias("p"))
     return each.groupBy(F.col("source_concept_id").alias("concept_id")).agg(F.sum("r").alias("n_source_records"), F.sum("p").alias("n_source_persons"))
 
 

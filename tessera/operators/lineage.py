@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import written
+
 
 def plain_text(html: Column) -> Column:
     """Text of HTML without tags, entities of the five basic characters resolved."""
@@ -25,21 +27,49 @@ def table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, "section", "section_no", "row", cells.alias("cells"))
 
 
-def upstream(edges: DataFrame, depth: int = 12) -> DataFrame:
-    """(target, source, hops, path) of everything upstream of each table; edges are (source, target), cycles end a path.
+def upstream(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(target, source, hops, path) of every chain that leads to a target; edges are (source, target), roots (target).
 
-    One join for each hop; a path never visits a table twice.
+    Chains are followed until none goes on, whatever their length: each hop joins the written frontier of the last one with the
+    edges.  A chain never visits a table twice, so cycles end it.  Without roots every table is a target.  Rows with a null end
+    are no edges.  There are as many rows as simple paths; where only what is reached counts, reach() is far cheaper.
     """
-    e = edges.select(F.col("source").alias("s"), F.col("target").alias("t")).distinct()
-    level = e.select(F.col("t").alias("target"), F.col("s").alias("source"), F.lit(1).alias("hops"), F.array("t", "s").alias("path")).where("target <> source")
-    out = level
-    for hop in range(2, depth + 1):
-        level = level.join(e, level.source == e.t).where(~F.array_contains("path", F.col("s"))).select("target", F.col("s").alias("source"), F.lit(hop).alias("hops"), F.concat("path", F.array("s")).alias("path"))
+    e = written(edges.select(F.col("source").alias("s"), F.col("target").alias("t")).where("s is not null and t is not null and s <> t").distinct())
+    level = e.select(F.col("t").alias("target"), F.col("s").alias("source"), F.lit(1).alias("hops"), F.array("t", "s").alias("path"))
+    if roots is not None:
+        level = level.join(roots.select("target").distinct(), "target", "left_semi")
+    out = level = written(level)
+    while level.limit(1).count():
+        level = level.join(e, level.source == e.t).where(~F.array_contains("path", F.col("s")))
+        level = written(level.select("target", F.col("s").alias("source"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("s")).alias("path")))
         out = out.unionByName(level)
     return out
 
 
+def reach(edges: DataFrame) -> DataFrame:
+    """(target, source, hops): every table upstream of each, with the length of the shortest chain; none is upstream of itself.
+
+    Squaring: after round k all pairs of at most 2**k hops are known, and `power` has the pairs with a walk of exactly 2**k; a
+    round joins the known pairs with it, so chains of n hops take log2(n) + 1 rounds.  It ends when a round finds no new pair:
+    a farther pair would have a nearer one on its way.  Cycles give nothing new and so end too.
+    """
+    e = edges.select("target", "source").where("source is not null and target is not null").distinct()
+    power = written(e)
+    known, length = written(power.where("target <> source").withColumn("hops", F.lit(1))), 1
+    while True:
+        via = power.select(F.col("target").alias("middle"), F.col("source").alias("end"))
+        one = known.join(via, known.source == via.middle).select("target", F.col("end").alias("source"), (F.col("hops") + length).alias("hops"))
+        both = known.unionByName(one).where("target <> source")
+        found = written(both.groupBy("target", "source").agg(F.min("hops").alias("hops")))
+        if found.count() == known.count():
+            return found
+        known = found
+        power = written(power.join(via, power.source == via.middle).select("target", F.col("end").alias("source")).distinct())
+        length *= 2
+
+
 def layer_counts(nodes: DataFrame) -> DataFrame:
+    """The summary of a graph: tables of each layer."""
     return nodes.groupBy("layer").agg(F.count("*").alias("n_tables"))
 
 

@@ -333,14 +333,14 @@ _raw("csv_guard", lambda spark, d: _read(spark, d, "part").select("p_partkey", s
 _raw("drug_label_clean", lambda spark, d: _read(spark, d, "part").select("p_partkey", scalars.clean_drug_label(F.concat(F.upper("p_name"), F.lit(" 500 MG CPR ("), "p_type", F.lit(")"))).alias("label")), "SELECT p_partkey, lower(p_name) || ' ' || lower(p_type) AS label FROM part")
 _raw("drug_name_parse", lambda spark, d: _read(spark, d, "part").select("p_partkey", mapping.parse_drug_name(F.concat("p_name", F.lit(" "), "p_size", F.lit(" MG TABLET ("), "p_brand", F.lit(")"))).alias("p")).select("p_partkey", "p.*"), "SELECT p_partkey, p_name AS ingredient, p_size || ' MG' AS dosage, p_brand AS brand FROM part")
 _edges = lambda spark, d: _read(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("source"), F.concat(F.lit("n"), ((F.col("n_nationkey") * 7 + 3) % 25)).alias("target"))
-_raw("lineage_chains", lambda spark, d: lineage.upstream(_edges(spark, d), 6).select("target", "source", "hops"), "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS s, 'n' || ((n_nationkey * 7 + 3) % 25) AS t FROM nation), u AS (SELECT t AS target, s AS source, 1 AS hops, [t, s] AS p FROM e WHERE s <> t UNION ALL SELECT u.target, e.s, hops + 1, list_append(p, e.s) FROM u JOIN e ON u.source = e.t WHERE NOT list_contains(p, e.s) AND hops < 6) SELECT target, source, hops FROM u")
+_raw("lineage_chains", lambda spark, d: lineage.upstream(_edges(spark, d)).select("target", "source", "hops"), "WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS s, 'n' || ((n_nationkey * 7 + 3) % 25) AS t FROM nation), u AS (SELECT t AS target, s AS source, 1 AS hops, [t, s] AS p FROM e WHERE s <> t UNION ALL SELECT u.target, e.s, hops + 1, list_append(p, e.s) FROM u JOIN e ON u.source = e.t WHERE NOT list_contains(p, e.s)) SELECT target, source, hops FROM u")
 _raw("lineage_parse", lambda spark, d: lineage.table_rows(_read(spark, d, "region").select("r_regionkey", F.concat(F.lit("<h2>S&amp;"), "r_name", F.lit("</h2><table><tr><td>a</td><td> <b>"), "r_name", F.lit("</b></td></tr></table>")).alias("html")), "r_regionkey", "html").select("r_regionkey", "section", F.array_join("cells", "|").alias("cells")), "SELECT r_regionkey, 'S&' || r_name AS section, 'a|' || r_name AS cells FROM region")
 _raw("audit_stats", lambda spark, d: _read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"), F.max("ts").alias("last")), "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, max(ts) AS last FROM events GROUP BY 1")
 _raw("sessions", lambda spark, d: sessions(_read(spark, d, "events"), "30 minutes"), "WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM m) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n_events FROM s GROUP BY user_id, k")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tessera.plans import extended  # noqa: F401  registers its queries here
+    from tessera.plans import extended, services  # noqa: F401  register their queries here
 
     return dict(_QUERIES)
 

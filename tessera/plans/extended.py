@@ -227,7 +227,7 @@ _raw(
     lambda spark, d: drug_names.suggest_by_name(_labelled(spark, d), _read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("source_value"), F.expr(_LABEL).alias("source_name")), "Drug"),
     f"""WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS source_value, {_LABEL} AS source_name, p_name AS g, p_size || ' MG' AS dose, p_partkey % 3 AS f, p_brand AS brand FROM part),
  n AS (SELECT DISTINCT g, dose, f, brand FROM t),
- c AS (SELECT p_partkey AS id, {_CALLED} AS nm, p_type || ' ' || p_name || ' ' || p_size || ' MG' AS syn, p_partkey % 2 = 0 AS dom FROM part WHERE p_partkey % 7 <> 0),
+ c AS (SELECT p_partkey AS id, {_CALLED} AS nm, p_type || ' ' || p_name || ' ' || p_size || ' MG' AS syn, p_partkey % 2 = 0 AS dom FROM part),
  r AS (SELECT n.*, c.*, 0 AS turn FROM n JOIN c ON f <> 1 AND strpos(substring(nm, strpos(nm, g) + length(g)), dose) > 0 AND contains(nm, g)
   UNION ALL SELECT n.*, c.*, 1 FROM n JOIN c ON contains(nm, g)
   UNION ALL SELECT n.*, c.*, 4 FROM n JOIN c ON strpos(substring(syn, strpos(syn, g) + length(g)), dose) > 0 AND contains(syn, g)),
@@ -242,7 +242,7 @@ _raw(
 
 def _labelled(spark, folder):
     """A model of drug concepts that are named with dose, form and brand."""
-    c = _read(spark, folder, "part").where("p_partkey % 7 <> 0")
+    c = _read(spark, folder, "part")
     domain = F.when(F.col("p_partkey") % 2 == 0, "Drug").otherwise("Observation")
     concept = c.select(F.col("p_partkey").alias("concept_id"), F.expr(_CALLED).alias("concept_name"), domain.alias("domain_id"), F.lit("S").alias("standard_concept"), F.lit(None).cast("string").alias("invalid_reason"))
     synonym = c.select(F.col("p_partkey").alias("concept_id"), F.expr("p_type || ' ' || p_name || ' ' || p_size || ' MG'").alias("concept_synonym_name"))
