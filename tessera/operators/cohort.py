@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.cdm import DOMAINS, Cdm
+from tessera.sources.scratch import written
+
+LITERALS = 2000
+BROADCAST_BYTES = 32 << 20
 
 OCCURRENCE = {"at_least": lambda c, n: c >= n, "exactly": lambda c, n: c == n, "at_most": lambda c, n: c <= n}
 COMPARE = {">": lambda c, v: c > v, "<": lambda c, v: c < v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, "=": lambda c, v: c == v}
@@ -32,6 +36,19 @@ def _ids(concepts) -> list[int]:
     return [int(c["concept_id"] if isinstance(c, dict) else c) for c in concepts]
 
 
+def descendants(cdm: Cdm, ids: list[int]) -> tuple[list[int], DataFrame | None]:
+    """Concepts with all their descendants: as a list while there are LITERALS at most, else as a table (concept_id).
+
+    A list becomes a filter of the scan.  A longer set is written and counted; it is broadcast only where its size allows.
+    """
+    below = cdm.table("concept_ancestor").where(F.col("ancestor_concept_id").isin(ids)).select(F.col("descendant_concept_id").cast("long").alias("concept_id")).distinct()
+    found = [r["concept_id"] for r in below.limit(LITERALS + 1).collect()]
+    if len(found) <= LITERALS:
+        return sorted({*ids, *found}), None
+    table = written(below)
+    return ids, F.broadcast(table) if table.count() * 16 <= BROADCAST_BYTES else table
+
+
 def concept_events(cdm: Cdm, criterion: dict) -> DataFrame:
     """The events of a criterion: concepts with their descendants, or source codes, within absolute dates and values."""
     events = cdm.events(criterion["domain"])
@@ -40,15 +57,13 @@ def concept_events(cdm: Cdm, criterion: dict) -> DataFrame:
         codes = []
     flag = None
     if ids:
-        flag = F.col("concept_id").isin(ids)
+        below = None
         if criterion.get("include_descendants", True):
-            below = cdm.table("concept_ancestor").where(F.col("ancestor_concept_id").isin(ids)).select(F.col("descendant_concept_id").alias("concept_id"), F.lit(True).alias("below")).distinct()
-            if not codes:
-                below = below.select("concept_id").unionByName(events.sparkSession.createDataFrame([(i,) for i in ids], "concept_id long")).distinct()
-                events, flag = events.join(below, "concept_id", "left_semi"), None
-            else:
-                events = events.join(below, "concept_id", "left")
-                flag = flag | F.coalesce("below", F.lit(False))
+            ids, below = descendants(cdm, ids)
+        flag = F.col("concept_id").isin(ids)
+        if below is not None:
+            events = events.join(below.withColumn("below", F.lit(True)), "concept_id", "left")
+            flag = flag | F.coalesce("below", F.lit(False))
     if codes:
         coded = F.coalesce(F.col("source_value").isin(codes), F.lit(False)) | F.coalesce(F.col("source_name").isin(codes), F.lit(False)) | F.coalesce(F.col("source_atc").isin(codes), F.lit(False))
         flag = coded if flag is None else flag | coded
@@ -68,7 +83,7 @@ def concept_events(cdm: Cdm, criterion: dict) -> DataFrame:
     for key in ("value_as_concept_id", "unit_concept_id"):
         if value.get(key) is not None:
             events = events.where(F.col(key) == int(value[key]))
-    return events
+    return events.drop("below")
 
 
 class CohortBuilder:

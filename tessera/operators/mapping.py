@@ -13,7 +13,7 @@ DECIDED = ("approved", "modified")
 
 
 def list_unmapped(cdm: Cdm, domain: str, search: str | None = None) -> DataFrame:
-    """Source terms without concept, with counts, the most frequent first."""
+    """Source terms without concept, with counts; in no order, as a rule other terms are joined."""
     rows = cdm.events(domain).where("(concept_id is null or concept_id = 0) and source_value is not null")
     if search:
         rows = rows.where(F.lower("source_value").contains(search.lower()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.cohort import concept_events
@@ -46,12 +46,12 @@ def sequences(step_rows: DataFrame) -> DataFrame:
     return step_rows.groupBy("person_id").agg(F.transform(ordered, lambda x: x["label"]).alias("path"))
 
 
-def pathway_table(paths: DataFrame, target_size: int, min_cell: int = 5) -> DataFrame:
+def pathway_table(paths: DataFrame, target_size: int | Column, min_cell: int = 5) -> DataFrame:
     counts = paths.groupBy(F.array_join("path", " > ").alias("pathway")).agg(F.count("*").alias("n_persons")).where(F.col("n_persons") >= min_cell)
     return counts.select("pathway", "n_persons", F.round(100.0 * F.col("n_persons") / target_size, 2).alias("pct"))
 
 
-def sunburst(paths: DataFrame, target_size: int, min_cell: int = 5) -> DataFrame:
+def sunburst(paths: DataFrame, target_size: int | Column, min_cell: int = 5) -> DataFrame:
     """(prefix, depth, n_persons, pct) of every prefix that enough people share; an ancestor never has fewer."""
     prefixes = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))).alias("p"))
     counts = prefixes.groupBy(F.array_join("p", " > ").alias("prefix"), F.size("p").alias("depth")).agg(F.count("*").alias("n_persons"))

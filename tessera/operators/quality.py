@@ -170,6 +170,14 @@ def conformity(cdm: Cdm) -> DataFrame:
     return _union(parts)
 
 
+def conformity_score(checks: DataFrame) -> DataFrame:
+    """(score, total_checks, passed, warnings, failures) of conformity(): the score is the share of passed checks in percent."""
+    n = lambda status: F.count(F.when(F.col("status") == status, 1))
+    sums = checks.agg(F.count("*").alias("total_checks"), n("pass").alias("passed"), n("warning").alias("warnings"), n("fail").alias("failures"))
+    score = F.when(F.col("total_checks") > 0, F.bround(100.0 * F.col("passed") / F.col("total_checks"), 1)).otherwise(F.lit(0.0))
+    return sums.select(score.alias("score"), "*")
+
+
 def compare_snapshots(a: DataFrame, b: DataFrame, key: str, threshold: float = 5.0) -> DataFrame:
     """(key, metric, value_a, value_b, pct_change, alert) between two snapshots of the same metrics."""
     metrics = [c for c in a.columns if c != key]

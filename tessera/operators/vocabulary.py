@@ -63,7 +63,7 @@ def concept_set(cdm: Cdm, items: list[dict]) -> DataFrame:
         rows = [i for i in items if bool(i.get("is_excluded")) == excluded]
         if not rows:
             return None
-        own = tree.sparkSession.createDataFrame([(int(i["concept_id"]),) for i in rows], "concept_id long")
+        own = tree.sparkSession.range(1).select(F.explode(F.array(*[F.lit(int(i["concept_id"])).cast("long") for i in rows])).alias("concept_id"))
         below = [int(i["concept_id"]) for i in rows if i.get("include_descendants", True)]
         return own.unionByName(tree.where(F.col("ancestor_concept_id").isin(below)).select(F.col("descendant_concept_id").cast("long").alias("concept_id"))).distinct()
 

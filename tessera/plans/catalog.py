@@ -229,7 +229,7 @@ _ERAS = """ev AS (SELECT x.* FROM (SELECT person_id, condition_source_value AS e
 _STEP = f"{_ERAS}, st AS (SELECT person_id, step, string_agg(DISTINCT event_name, '+' ORDER BY event_name) AS label FROM (SELECT *, dense_rank() OVER (PARTITION BY person_id ORDER BY era_start) AS step FROM era) r WHERE step <= 4 GROUP BY 1, 2)"
 _cdm("pathway_eras", _eras, f"WITH {_ERAS} SELECT * FROM era")
 _cdm("pathway_steps", lambda cdm: pathways.steps(_eras(cdm), 4), f"WITH {_STEP} SELECT person_id, CAST(step AS INT) AS step, label FROM st")
-_size = lambda cdm: _target(cdm).count()
+_size = lambda cdm: _target(cdm).agg(F.count("*")).scalar()
 _paths = lambda cdm: pathways.sequences(pathways.steps(_eras(cdm), 4))
 _PATH = f"{_STEP}, pa AS (SELECT person_id, string_agg(label, ' > ' ORDER BY step) AS pathway FROM st GROUP BY 1), sz AS (SELECT count(DISTINCT person_id) AS n FROM condition_occurrence)"
 _cdm("pathway_table", lambda cdm: pathways.pathway_table(_paths(cdm), _size(cdm), 1), f"WITH {_PATH} SELECT pathway, count(*) AS n_persons, round(100.0 * count(*) / (SELECT n FROM sz), 2) AS pct FROM pa GROUP BY 1")

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import autocomplete, lineage, mapping, schema_keys
+from tessera.operators import autocomplete, lineage, mapping, quality, schema_keys
 from tessera.plans.catalog import _LAST, _QUERIES, _SQL, _cdm, _raw, _read
 from tessera.sources import audit, codebooks
 from tessera.sources.scratch import shared_folder
@@ -71,6 +71,8 @@ def _quality_batch(spark: SparkSession, sf_dir: str) -> Batch:
 
 _raw("quality_progress", lambda spark, d: report(_quality_batch(spark, d)).drop("error"), " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS seq, '{name}' AS section, 'success' AS status, CAST({k} AS INT) AS completed, CAST({len(SECTIONS)} AS INT) AS total, (SELECT count(*) FROM ({_SQL[name]}) x) AS n_rows" for k, name in enumerate(SECTIONS, 1)))
 
+_cdm("conformity_score", lambda cdm: quality.conformity_score(quality.conformity(cdm)), f"SELECT CASE WHEN count(*) > 0 THEN round_even(100.0 * count(*) FILTER (status = 'pass') / count(*), 1) ELSE 0 END AS score, count(*) AS total_checks, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'warning') AS warnings, count(*) FILTER (status = 'fail') AS failures FROM ({_SQL['conformity']}) x")
+
 # ---------------------------------------------------------------------------------------------
 # autocomplete
 
