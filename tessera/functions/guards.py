@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_DEPTH, MAX_CONCEPTS = 10, 10_000
-READING = ("SELECT", "WITH", "EXPLAIN")
-# fixed values: keywords of statements that change something
-CHANGING = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE", "COPY")
+#: Statements that change data and are no commands for the parser; functions that run code.
+CHANGING = {"InsertIntoStatement", "UpdateTable", "DeleteFromTable", "MergeIntoTable"}
+RUNNING = {"reflect", "java_method", "try_reflect"}
 
 
 def identifier(name: str) -> str:
@@ -44,16 +45,42 @@ def checked_criteria(document: dict, depth: int = 0) -> dict:
     return document
 
 
+def _walked(plan):
+    """A parsed plan's nodes, those of its subqueries and common table expressions included."""
+    yield plan
+    more = [plan.children(), plan.subqueries(), plan.innerChildren()]
+    for nodes in more:
+        for k in range(nodes.size()):
+            if hasattr(nodes.apply(k), "subqueries"):
+                yield from _walked(nodes.apply(k))
+
+
 def read_only(spark: SparkSession, sql: str, limit: int = 1000) -> DataFrame:
-    """The rows of a statement that only reads, at most `limit` unless it has a LIMIT of its own."""
+    """The rows of a statement that only reads, at most `limit` unless its outermost part has a LIMIT of its own.
+
+    The parsed plan decides, not the text: it must have no command in it (EXPLAIN of a statement that only reads is
+    allowed), and call no function that runs code.  So a text cell may say "update", and an inner LIMIT is no outer one.
+    """
     text = sql.strip().rstrip(";")
-    words = re.findall(r"[A-Z_]+", text.upper())
-    if not words or words[0] not in READING:
-        raise ValueError("only SELECT, WITH and EXPLAIN are allowed")
-    if found := next((w for w in words if w in CHANGING), None):
-        raise ValueError(f"{found} is not allowed")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except ParseException as e:
+        raise ValueError("this is not one statement of SQL") from e
+    kind = spark._jvm.java.lang.Class.forName
+    command = kind("org.apache.spark.sql.catalyst.plans.logical.Command")
+    explain = plan.nodeName().startswith("Explain")
+    root = plan.logicalPlan() if explain else plan
+    for node in _walked(root):
+        name = node.getClass().getSimpleName()
+        if command.isInstance(node) or name in CHANGING:
+            raise ValueError(f"{name} is not allowed")
+    called = {w.lower() for w in re.findall(r"(\w+)`?\s*\(", text)}
+    if found := called & RUNNING:
+        raise ValueError(f"{sorted(found)[0]} is not allowed")
+    while root.nodeName() in ("UnresolvedWith", "WithCTE"):
+        root = root.children().apply(0)
     rows = spark.sql(text)
-    return rows if "LIMIT" in words or words[0] == "EXPLAIN" else rows.limit(limit)
+    return rows if explain or root.nodeName() in ("GlobalLimit", "LocalLimit") else rows.limit(limit)
 
 
 def schema_rows(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:

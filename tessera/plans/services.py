@@ -7,9 +7,11 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import autocomplete, lineage, mapping, quality, schema_keys
-from tessera.plans.catalog import _LAST, _QUERIES, _SQL, _cdm, _raw, _read
+from tessera.operators import autocomplete, characterize, lineage, mapping, mapping_batches, quality, schema_keys
+from tessera.operators.cohort import build_cohort
+from tessera.plans.catalog import _LAST, _QUERIES, _SQL, B1, B2, EVENTS_SQL, YEAR, _all, _cdm, _people, _raw, _read, brand
 from tessera.sources import audit, codebooks
+from tessera.sources.cdm import TABLE_SQL, Cdm, star_cdm, with_tables
 from tessera.sources.scratch import shared_folder
 from tessera.streaming.cache import cached_lookups
 from tessera.streaming.progress import Batch, report
@@ -58,7 +60,7 @@ _raw("cache_lookups", _cache_stream, f"""WITH RECURSIVE l AS (SELECT user_id, ev
   SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BOOLEAN) AS hit, CAST(NULL AS VARCHAR) AS put_out, CAST([] AS STRUCT(key VARCHAR, us BIGINT)[]) AS e FROM l
   UNION ALL
   SELECT user_id, k, event_id, hit, CASE WHEN NOT hit AND len(rest) >= {_ENTRIES} THEN rest[1].key END, CASE WHEN hit THEN e ELSE list_append(CASE WHEN len(rest) >= {_ENTRIES} THEN rest[2:] ELSE rest END, struct_pack(key := key, us := us)) END
-  FROM (SELECT l.user_id, l.k, l.event_id, l.key, l.us, st.e, len([x for x in st.e if x.key = l.key AND l.us - x.us < {_TTL} * 1000000]) > 0 AS hit, [x for x in st.e if x.key <> l.key] AS rest FROM st JOIN l ON l.user_id = st.user_id AND l.k = st.k + 1) n)
+  FROM (SELECT l.user_id, l.k, l.event_id, l.key, l.us, st.e, len([x for x in st.e if x.key = l.key AND l.us - x.us < {_TTL * 1_000_000}]) > 0 AS hit, [x for x in st.e if x.key <> l.key] AS rest FROM st JOIN l ON l.user_id = st.user_id AND l.k = st.k + 1) n)
  SELECT user_id AS owner, event_id AS id, hit, put_out FROM st WHERE k > 0""")
 
 #: The sections of a quality batch, in the order they run.
@@ -155,3 +157,77 @@ _EACH = [(t, c.rstrip("$"), c.endswith("$")) for t, cs in _COLUMNS.items() for c
 _tables = lambda spark, d: {t: _read(spark, d, t) for t in _COLUMNS}
 _raw("schema_columns", lambda spark, d: schema_keys.schema_keys(_tables(spark, d))[0], " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, count(*) = count(DISTINCT {c}) AS is_key FROM {t}" for t, c, _ in _EACH))
 _raw("schema_relations", lambda spark, d: schema_keys.schema_keys(_tables(spark, d))[1], " UNION ALL ".join(f"SELECT '{t}' AS from_table, '{c}' AS from_column, '{u}' AS to_table, '{k}' AS to_column, (SELECT count(DISTINCT {c}) FROM {t}) AS n_values WHERE (SELECT count(*) = count(DISTINCT {k}) FROM {u}) AND NOT EXISTS (SELECT 1 FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {u}))" for (t, c, x), (u, k, y) in itertools.permutations(_EACH, 2) if t != u and x == y))
+
+# ---------------------------------------------------------------------------------------------
+# cohorts described and compared
+
+
+def _described(cdm: Cdm) -> DataFrame:
+    return characterize.characterize(cdm, characterize.members({n: build_cohort(cdm, {"inclusion": _all(brand(k))}) for k, n in ((1, "a"), (2, "b"))}))
+
+
+_BRACKETS = " ".join(f"WHEN age BETWEEN {lo} AND {hi} THEN '{label}'" for lo, hi, label in quality.AGE_GROUPS)
+_MARGINS = " UNION ALL ".join(f"SELECT cohort, '{f}' AS section, coalesce(CAST({f}_concept_id AS VARCHAR), 'Unknown') AS variable, count(*) AS n, NULL::DOUBLE AS mean, NULL::DOUBLE AS sd FROM pe GROUP BY 1, 3" for f in characterize.FIELDS)
+_DESCRIBED = with_tables(f"""WITH who AS (SELECT DISTINCT 'a' AS cohort, person_id FROM ({_people(B1)}) x UNION ALL SELECT DISTINCT 'b', person_id FROM ({_people(B2)}) y),
+ sz AS (SELECT cohort, count(*) AS size FROM who GROUP BY 1), pe AS (SELECT cohort, {YEAR} - year_of_birth AS age, person.* FROM person JOIN who USING (person_id)),
+ ev AS (SELECT cohort, e.* FROM ({EVENTS_SQL}) e JOIN who USING (person_id)),
+ al AS ({_MARGINS} UNION ALL SELECT cohort, 'age_group', CASE {_BRACKETS} ELSE 'Other' END, count(*), NULL, NULL FROM pe GROUP BY 1, 3
+  UNION ALL SELECT cohort, 'size', '', count(*), NULL, NULL FROM pe GROUP BY 1 UNION ALL SELECT cohort, 'age', '', count(age), avg(age), stddev_samp(age) FROM pe GROUP BY 1
+  UNION ALL SELECT cohort, 'prevalence_' || domain, CAST(concept_id AS VARCHAR), count(DISTINCT person_id), NULL, NULL FROM ev WHERE concept_id > 0 GROUP BY 1, 2, 3
+  UNION ALL SELECT cohort, 'measurement', CAST(measurement_concept_id AS VARCHAR), count(value_as_number), avg(value_as_number), stddev_samp(value_as_number) FROM measurement JOIN who USING (person_id) GROUP BY 1, 3
+  UNION ALL SELECT cohort, 'visit_type', CAST(visit_concept_id AS VARCHAR), count(*), NULL, NULL FROM visit_occurrence JOIN who USING (person_id) GROUP BY 1, 3
+  UNION ALL SELECT cohort, 'observation', '', count(*), avg(observation_period_end_date - observation_period_start_date), stddev_samp(observation_period_end_date - observation_period_start_date) FROM observation_period JOIN who USING (person_id) GROUP BY 1),
+ de AS (SELECT cohort, section, variable, n, CASE WHEN section IN ('age_group', 'gender', 'race', 'ethnicity') OR starts_with(section, 'prevalence_') THEN round(100.0 * n / size, 4) END AS pct, round(mean, 4) AS mean, round(sd, 4) AS sd FROM al JOIN sz USING (cohort))
+ SELECT * FROM de""")
+_COMPARED = _DESCRIBED.removesuffix("SELECT * FROM de") + """SELECT section, variable, coalesce(x.n, 0) AS n_a, coalesce(y.n, 0) AS n_b, CASE WHEN s THEN pa * 100 END AS pct_a, CASE WHEN s THEN pb * 100 END AS pct_b, x.mean AS mean_a, y.mean AS mean_b,
+ round(CASE WHEN s THEN CASE WHEN pa * (1 - pa) + pb * (1 - pb) > 0 THEN (pa - pb) / sqrt((pa * (1 - pa) + pb * (1 - pb)) / 2) WHEN pa = pb THEN 0 END
+  WHEN x.mean IS NOT NULL AND y.mean IS NOT NULL THEN CASE WHEN x.sd * x.sd + y.sd * y.sd > 0 THEN (x.mean - y.mean) / sqrt((x.sd * x.sd + y.sd * y.sd) / 2) WHEN x.mean = y.mean THEN 0 END END, 4) AS smd
+ FROM (SELECT * FROM de WHERE cohort = 'a') x FULL JOIN (SELECT * FROM de WHERE cohort = 'b') y USING (section, variable), LATERAL (SELECT coalesce(x.pct, 0) / 100 AS pa, coalesce(y.pct, 0) / 100 AS pb, x.pct IS NOT NULL OR y.pct IS NOT NULL AS s) z"""
+_cdm("characterize", _described)
+_cdm("compare_cohorts", lambda cdm: characterize.compare(_described(cdm), "a", "b"))
+_SQL |= {"characterize": _DESCRIBED, "compare_cohorts": _COMPARED}
+
+# ---------------------------------------------------------------------------------------------
+# mapping batches: terms are parts, one each, so that some have no mapped row
+
+_CODE = "p_name || ' ' || CAST(p_partkey AS VARCHAR(20))"
+_BATCH_SQL = {"drug_exposure": TABLE_SQL["drug_exposure"].replace("p_name AS drug_source_value", f"{_CODE} AS drug_source_value"), "decision": TABLE_SQL["decision"].replace("p_name AS source_value", f"{_CODE} AS source_value")}
+
+
+def _parts_cdm(spark: SparkSession, sf_dir: str) -> Cdm:
+    cdm = star_cdm(spark, sf_dir)
+    return Cdm({**cdm.tables, **{name: spark.sql(sql.replace("VARCHAR(20)", "STRING")) for name, sql in _BATCH_SQL.items()}}, cdm.as_of)
+
+
+_BATCH_HEAD = "WITH " + ",\n ".join(f"{name} AS ({sql.replace('VARCHAR(20)', 'VARCHAR')})" for name, sql in _BATCH_SQL.items()) + """,
+ mapped AS (SELECT drug_source_value AS source_value, min(drug_concept_id) AS lo, max(drug_concept_id) AS hi, count(DISTINCT drug_concept_id) AS n FROM drug_exposure WHERE drug_concept_id > 0 GROUP BY 1),
+ yes AS (SELECT * FROM decision WHERE action IN ('approved', 'modified')),
+ agreed AS (SELECT * FROM yes WHERE decision_id IN (SELECT arg_max(decision_id, (created_on, decision_id)) FROM yes GROUP BY source_value, target_concept_id HAVING count(DISTINCT user_id) >= 3))"""
+
+
+def _pushable(decided: str, name: str) -> str:
+    """Tables name_x (redundant terms), name_e (effective decisions), name_w (their terms with flags) and name_p (pushed terms)."""
+    return f""",
+ {name}_x AS (SELECT d.source_value FROM (SELECT source_value, max(synced) AS s, min(target_concept_id) AS lo, max(target_concept_id) AS hi FROM {decided} GROUP BY 1) d LEFT JOIN mapped m USING (source_value) WHERE s = 1 OR (d.lo = d.hi AND m.lo = m.hi AND d.lo = m.lo)),
+ {name}_e AS (SELECT * FROM {decided} WHERE source_value NOT IN (SELECT source_value FROM {name}_x)),
+ {name}_w AS (SELECT source_value, count(DISTINCT target_concept_id) >= 2 AS several, count(m.n) > 0 AS mapped, max(coalesce(m.n, 0)) >= 2 AS concepts, max(target_concept_id) AS target FROM {name}_e LEFT JOIN mapped m USING (source_value) GROUP BY 1),
+ {name}_p AS (SELECT source_value, target FROM {name}_w WHERE NOT (several OR mapped OR concepts))"""
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, of agreed and of latest decisions, of which the first is taken back; rows of each concept then."""
+    cdm = _parts_cdm(spark, sf_dir)
+    ledger, decisions = mapping_batches.Ledger(spark, shared_folder(spark)).start(), cdm.table("decision")
+    ledger.apply(cdm, "Drug", mapping_batches.agreed(decisions, 3), "agreed")
+    ledger.apply(cdm, "Drug", mapping.latest_decisions(decisions), "latest")
+    ledger.roll_back("agreed")
+    return ledger.current(cdm, "Drug").table("drug_exposure").groupBy("drug_concept_id").agg(F.count("*").alias("n"))
+
+
+_raw("mapping_preview", lambda spark, d: mapping_batches.preview((cdm := _parts_cdm(spark, d)), "Drug", mapping_batches.agreed(cdm.table("decision"), 3)), f"""{_BATCH_HEAD}{_pushable('agreed', 'a')}
+ SELECT (SELECT count(*) FROM a_e) AS total_decisions, count(*) AS n_codes, (SELECT count(DISTINCT source_value) FROM a_x) AS n_redundant, (SELECT count(*) FROM drug_exposure WHERE drug_source_value IN (SELECT source_value FROM a_w)) AS impacted_rows,
+ (SELECT count(DISTINCT person_id) FROM drug_exposure WHERE drug_source_value IN (SELECT source_value FROM a_w)) AS impacted_persons, count(*) FILTER (several) AS n_several_targets, count(*) FILTER (mapped) AS n_already_mapped, count(*) FILTER (concepts) AS n_several_concepts,
+ count(*) FILTER (several OR mapped OR concepts) AS n_flagged, count(*) FILTER (NOT (several OR mapped OR concepts)) AS n_pushable_codes FROM a_w""")
+_raw("mapping_batches", _applied, f"""{_BATCH_HEAD}{_pushable('agreed', 'a')},
+ last AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY source_value ORDER BY created_on DESC, decision_id DESC) AS k FROM yes) x WHERE k = 1 AND source_value NOT IN (SELECT source_value FROM a_p)){_pushable('last', 'b')}
+ SELECT CASE WHEN drug_concept_id = 0 THEN coalesce(target, drug_concept_id) ELSE drug_concept_id END AS drug_concept_id, count(*) AS n FROM drug_exposure LEFT JOIN b_p ON source_value = drug_source_value GROUP BY 1""")

@@ -37,7 +37,7 @@ def test_good_criteria(document):
     assert guards.checked_criteria(document) is document
 
 
-@pytest.mark.parametrize("sql", ["", "drop table x", "insert into x values (1)", "select 1; delete from x", "with a as (select 1) update x set y = 1"])
+@pytest.mark.parametrize("sql", ["", "drop table x", "insert into x values (1)", "select 1; delete from x", "with a as (select 1) update x set y = 1", "create table x as select 1", "explain drop table x", "with a as (select 1) insert into x select * from a", "select reflect('java.lang.System', 'exit', 1)", "set x = 1", "selec 1 from x", "cache table x"])
 def test_changing_statements(spark, sql):
     with pytest.raises(ValueError):
         guards.read_only(spark, sql)
@@ -45,6 +45,11 @@ def test_changing_statements(spark, sql):
 
 def test_reading_statements(spark):
     assert guards.read_only(spark, "select id from range(50)", 7).count() == 7
+    assert guards.read_only(spark, "select id, 'update ' as t, 'drop table' as `limit` from range(50)", 7).count() == 7
+    assert guards.read_only(spark, "select a.id from (select id from range(50) limit 40) a", 7).count() == 7
+    assert guards.read_only(spark, "select id from range(50) where id in (select id from range(30) limit 20)", 7).count() == 7
+    assert guards.read_only(spark, "select id from range(50) order by id limit 20", 7).count() == 20
+    assert "Range" in guards.read_only(spark, "explain select id from range(50)").first()[0]
     assert guards.read_only(spark, "with a as (select id as created_on from range(50)) select * from a limit 20;", 7).count() == 20
 
 
