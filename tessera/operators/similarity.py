@@ -1,45 +1,115 @@
-"""Dense cosine top-K and concept sets by meaning."""
+"""Dense cosine top-K, suggestions from it, and concept sets by meaning.
+
+Vectors meet in Arrow batches: each batch of targets is packed into blocks, each block is multiplied with groups of queries in
+numpy, and only a block's best k a query leave the task.  Nothing is shuffled but these, and the groups where they are too many
+to broadcast.  Similarities are rounded to four digits before they are ranked; ties go to the smaller id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import written
+
+BLOCK_ROWS, GROUP_ROWS = 4096, 512
+BLOCKS_A_LANE = 64
+BROADCAST_BYTES = 32 << 20
+PACKED = "number long, ids binary, vectors binary, width int"
+
+
+def _unit(cells: pa.Array) -> np.ndarray:
+    """Rows of length 1 as doubles; a zero vector stays.  All vectors of a batch have one length."""
+    cells = cells.cast(pa.list_(pa.float64()))
+    x = cells.flatten().to_numpy(zero_copy_only=False).reshape(len(cells), -1)
+    norm = np.sqrt((x * x).sum(1))
+    return np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+
+
+def _packed(rows_each: int):
+    """mapInArrow over (id, vector): rows of packed ids and unit vectors, rows_each at most in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def unit(vector: Column) -> Column:
-    """The vector as doubles of length 1; a zero vector stays."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows_each):
+                part = batch.slice(lo, rows_each)
+                x = _unit(part.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], ["number", "ids", "vectors", "width"])
+                number += 1
 
+    return run
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+def _best(k: int):
+    """mapInArrow over (query ids, query vectors, ids, vectors, width): the k best of each block for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, t = (np.frombuffer(row[c], np.float64).reshape(-1, row["width"]) for c in ("q_vectors", "vectors"))
+                q_ids, t_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+                order = np.argsort(t_ids, kind="stable")
+                near = np.round(q @ t[order].T, 4)
+                near[q_ids[:, None] == t_ids[order][None, :]] = -np.inf
+                top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                value = np.take_along_axis(near, top, 1).ravel()
+                keep = np.isfinite(value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, top.shape[1])[keep]), pa.array(t_ids[order][top].ravel()[keep]), pa.array(value[keep])], ["query_id", "target_id", "similarity"])
+
+    return run
 
 
 def cosine_topk(queries: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, target_id, similarity, rank) of the k nearest targets of each stated query.
+    """(query_id, target_id, similarity, rank) of the k nearest targets of each stated query, itself left out.
 
-    queries and targets are (id, vector).  The stated queries are few and go to every block of targets; each block keeps
-    its best k before anything is shuffled.
+    queries and targets are (id, vector); rows without id or vector take no part.
     """
-    q = queries.select(F.col("id").alias("query_id"), unit(F.col("vector")).alias("q"))
-    t = targets.select(F.col("id").alias("target_id"), unit(F.col("vector")).alias("t"), F.pmod(F.hash("id"), F.lit(64)).alias("block"))
-    blocks = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    pairs = blocks.join(t, "block").where("query_id <> target_id").select("query_id", "target_id", "block", F.round(dot(F.col("q"), F.col("t")), 4).alias("similarity"))
-    order = [F.desc("similarity"), F.col("target_id")]
-    few = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy(*order))).where(F.col("rank") <= k)
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("block")
+    known = lambda df: df.select(F.col("id").cast("long").alias("id"), "vector").where("id is not null and vector is not null")
+    groups = written(known(queries).mapInArrow(_packed(GROUP_ROWS), PACKED))
+    n_bytes = groups.agg(F.sum(F.octet_length("vectors"))).first()[0] or 0
+    groups = groups.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "width")
+    blocks = known(targets).mapInArrow(_packed(BLOCK_ROWS), PACKED)
+    if n_bytes <= BROADCAST_BYTES:
+        pairs = blocks.join(F.broadcast(groups), "width")
+    else:  # every block meets every group: the groups are repeated over lanes of blocks, so that no key is hot
+        blocks = written(blocks)
+        lanes = max(1, blocks.count() // BLOCKS_A_LANE)
+        dealt = groups.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+        pairs = blocks.withColumn("lane", F.pmod(F.xxhash64("number"), F.lit(lanes)).cast("int")).join(dealt, ["width", "lane"])
+    few = pairs.select("q_ids", "q_vectors", "ids", "vectors", "width").mapInArrow(_best(k), "query_id long, target_id long, similarity double")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "target_id"))).where(F.col("rank") <= k)
+
+
+def embedding_suggestions(queries: DataFrame, targets: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:
+    """The k nearest targets as suggestions: with strategy and confidence, the whole percents of the similarity."""
+    found = cosine_topk(queries, targets, k).where(F.col("similarity") >= least)
+    return found.select("query_id", "target_id", "similarity", F.lit("sapbert").alias("strategy"), F.floor(F.round(F.col("similarity") * 100, 6)).cast("int").alias("confidence"), "rank")
+
+
+def best_of_forms(forms: DataFrame, targets: DataFrame, k: int = 100) -> DataFrame:
+    """(query_id, target_id, similarity, rank) of queries that have several forms (query_id, id, vector): a target counts by its
+    nearest form."""
+    near = cosine_topk(forms, targets, k).withColumnRenamed("query_id", "form_id")
+    each = near.join(forms.select(F.col("id").alias("form_id"), "query_id"), "form_id").groupBy("query_id", "target_id").agg(F.max("similarity").alias("similarity"))
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "target_id"))).where(F.col("rank") <= k)
 
 
-def semantic_concept_set(queries: DataFrame, targets: DataFrame, groups: DataFrame, overfetch: int = 100, gap: float = 0.08, least: float = 0.55) -> DataFrame:
+def semantic_concept_set(queries: DataFrame, targets: DataFrame, groups: DataFrame, overfetch: int = 100, gap: float | None = 0.08, least: float = 0.55) -> DataFrame:
     """(query_id, group_key, target_id): what is near the best hit of each query, widened to whole groups.
 
-    groups is (target_id, group_key); a target without key stands alone.
+    groups is (target_id, group_key); a target without key stands alone.  queries may have several forms of one query, with a
+    column query_id beside id.  A gap of None takes all hits of at least `least`: drugs are taken so, from 0.70.
     """
-    top = cosine_topk(queries, targets, overfetch)
+    top = best_of_forms(queries, targets, overfetch) if "query_id" in queries.columns else cosine_topk(queries, targets, overfetch)
     best = F.max("similarity").over(Window.partitionBy("query_id"))
-    near = top.withColumn("best", best).where((F.col("best") >= least) & (F.col("similarity") >= F.greatest(F.col("best") - gap, F.lit(least))))
+    near = top.withColumn("best", best).where((F.col("best") >= least) & (F.col("similarity") >= (F.lit(least) if gap is None else F.greatest(F.col("best") - gap, F.lit(least)))))
     keyed = near.join(groups, "target_id", "left")
     wide = keyed.where("group_key is not null").select("query_id", "group_key").distinct().join(groups, "group_key").select("query_id", "group_key", "target_id")
     alone = keyed.where("group_key is null").select("query_id", "group_key", "target_id")

@@ -7,9 +7,9 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import autocomplete, characterize, lineage, mapping, mapping_batches, quality, schema_keys
+from tessera.operators import autocomplete, characterize, lineage, mapping, mapping_batches, quality, schema_keys, similarity
 from tessera.operators.cohort import build_cohort
-from tessera.plans.catalog import _LAST, _QUERIES, _SQL, B1, B2, EVENTS_SQL, YEAR, _all, _cdm, _people, _raw, _read, brand
+from tessera.plans.catalog import _COS, _LAST, _QUERIES, _SQL, B1, B2, EVENTS_SQL, YEAR, _all, _cdm, _people, _raw, _read, _vectors, brand
 from tessera.sources import audit, codebooks
 from tessera.sources.cdm import TABLE_SQL, Cdm, star_cdm, with_tables
 from tessera.sources.scratch import shared_folder
@@ -231,3 +231,13 @@ _raw("mapping_preview", lambda spark, d: mapping_batches.preview((cdm := _parts_
 _raw("mapping_batches", _applied, f"""{_BATCH_HEAD}{_pushable('agreed', 'a')},
  last AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY source_value ORDER BY created_on DESC, decision_id DESC) AS k FROM yes) x WHERE k = 1 AND source_value NOT IN (SELECT source_value FROM a_p)){_pushable('last', 'b')}
  SELECT CASE WHEN drug_concept_id = 0 THEN coalesce(target, drug_concept_id) ELSE drug_concept_id END AS drug_concept_id, count(*) AS n FROM drug_exposure LEFT JOIN b_p ON source_value = drug_source_value GROUP BY 1""")
+
+# ---------------------------------------------------------------------------------------------
+# suggestions from embeddings, and queries of two forms each
+
+_raw("embedding_suggestions", lambda spark, d: similarity.embedding_suggestions(_vectors(spark, d).where("id % 50 = 0"), _vectors(spark, d), 10, 0.2), f"SELECT query_id, target_id, similarity, 'sapbert' AS strategy, CAST(floor(round(similarity * 100, 6)) AS INT) AS confidence, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, target_id) AS k FROM ({_COS}) x) y WHERE k <= 10 AND similarity >= 0.2")
+_forms = lambda spark, d: _vectors(spark, d).where("id % 50 = 0").withColumn("query_id", F.floor(F.col("id") / 100))
+_raw("semantic_forms", lambda spark, d: similarity.semantic_concept_set(_forms(spark, d), _vectors(spark, d), _read(spark, d, "embeddings").select(F.col("vec_id").alias("target_id"), F.when(F.col("label") > 4, F.col("label")).alias("group_key")), 50, None, 0.35), f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, target_id) AS k FROM ({_COS}) x),
+ b AS (SELECT query_id // 100 AS query_id, target_id, max(similarity) AS similarity FROM f WHERE k <= 50 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, target_id) AS k FROM b),
+ n AS (SELECT query_id, target_id, CASE WHEN label > 4 THEN label END AS label FROM r JOIN embeddings ON vec_id = target_id WHERE k <= 50 AND similarity >= 0.35)
+ SELECT DISTINCT query_id, e.label AS group_key, vec_id AS target_id FROM n JOIN embeddings e ON e.label = n.label UNION ALL SELECT query_id, NULL, target_id FROM n WHERE label IS NULL""")
