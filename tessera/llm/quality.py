@@ -118,5 +118,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, that the rules keep; a rejected row takes rows that repeat its doc_id along."""
+    """The rows of docs, all their columns, that the rules keep; a rejected row takes rows that repeat its doc_id along.
+
+    A row without doc_id can't be named and stays.
+    """
     return without(docs, quality_scores(docs, labels, id_col, text_col).where(~F.col("kept")).select("doc_id"), id_col)
