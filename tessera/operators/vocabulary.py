@@ -91,8 +91,15 @@ def codebook_labels(codebooks: DataFrame) -> DataFrame:
     return rows.groupBy("code").agg(F.min(F.struct(-F.col("size"), F.col("name"), F.col("description"))).alias("x")).select("code", F.col("x.description").alias("label"))
 
 
-def global_search(cdm: Cdm, text: str, each: int = 10) -> DataFrame:
-    """(kind, key, label) of concepts and source values that hold text."""
+def global_search(cdm: Cdm, text: str, each: int = 10, others: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(kind, key, label) of concepts and source values that hold text, case and accents aside, `each` of a kind at most.
+
+    others adds kinds, such as cohorts, saved queries or mapping decisions: tables (key, label) searched by their label, in its order.
+    """
     concepts = concept_search(cdm, text, limit=each).select(F.lit("concept").alias("kind"), F.col("concept_id").cast("string").alias("key"), F.col("concept_name").alias("label"))
     values = source_value_search(cdm, text, each).select(F.lit("source value").alias("kind"), F.col("source_value").alias("key"), F.col("domain").alias("label"))
-    return concepts.unionByName(values)
+    found = concepts.unionByName(values)
+    for kind, rows in (others or {}).items():
+        hits = rows.where(folded(F.col("label")).contains(folded(F.lit(text)))).select(F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"), "label")
+        found = found.unionByName(hits.orderBy("label", "key").limit(each))
+    return found

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import autocomplete, characterize, lineage, mapping, mapping_batches, quality, schema_keys, similarity
+from tessera.operators import autocomplete, characterize, lineage, mapping, mapping_batches, quality, schema_keys, similarity, vocabulary
 from tessera.operators.cohort import build_cohort
 from tessera.plans.catalog import _COS, _LAST, _QUERIES, _SQL, B1, B2, EVENTS_SQL, YEAR, _all, _cdm, _people, _raw, _read, _vectors, brand
 from tessera.sources import audit, codebooks
@@ -96,6 +96,12 @@ _cdm("autocomplete_pending", lambda cdm: autocomplete.with_pending(autocomplete.
  CASE WHEN coalesce(y.concept_id, 0) = 0 AND c.concept_id IS NOT NULL THEN c.vocabulary_id ELSE y.vocabulary_id END AS vocabulary_id, CASE WHEN coalesce(y.concept_id, 0) = 0 AND c.concept_id IS NOT NULL THEN c.standard_concept ELSE y.standard_concept END AS standard_concept
  FROM ({_begins('hot', " AND domain = 'Drug'")} {_ORDER} LIMIT 100) y LEFT JOIN {_LAST} d ON d.source_value = y.source_value LEFT JOIN concept c ON c.concept_id = d.target_concept_id""")
 
+_kinds = lambda cdm: {"mapping": cdm.table("decision").select(F.col("decision_id").alias("key"), F.col("source_value").alias("label")), "set": cdm.table("concept").where("vocabulary_id = 'Type'").select(F.col("concept_code").alias("key"), F.lower("concept_name").alias("label"))}
+_cdm("global_search_kinds", lambda cdm: vocabulary.global_search(cdm, "LAR", 8, _kinds(cdm)), f"""SELECT * FROM (SELECT 'concept' AS kind, CAST(concept_id AS VARCHAR) AS key, concept_name AS label FROM concept WHERE (lower(concept_name) LIKE '%lar%' OR lower(concept_code) LIKE '%lar%') AND invalid_reason IS NULL ORDER BY CASE WHEN standard_concept = 'S' THEN 0 ELSE 1 END, length(concept_name), concept_name, concept_id LIMIT 8) a
+ UNION ALL SELECT 'source value', source_value, domain FROM (SELECT domain, source_value, count(*) AS n FROM ({EVENTS_SQL}) x WHERE lower(source_value) LIKE '%lar%' GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 8) b
+ UNION ALL SELECT * FROM (SELECT 'mapping', CAST(decision_id AS VARCHAR) AS key, source_value FROM decision WHERE lower(source_value) LIKE '%lar%' ORDER BY source_value, key LIMIT 8) c
+ UNION ALL SELECT * FROM (SELECT DISTINCT 'set', concept_code AS key, lower(concept_name) AS label FROM concept WHERE vocabulary_id = 'Type' AND lower(concept_name) LIKE '%lar%' ORDER BY label, key LIMIT 8) d""")
+
 # ---------------------------------------------------------------------------------------------
 # audit logs: a line for each event, one in a hundred cut short
 
