@@ -149,3 +149,29 @@ def pipeline_kpis(decisions: DataFrame) -> DataFrame:
     rows = decisions.withColumn("k", F.row_number().over(last)).where("k = 1")
     yes = F.col("action").isin(*DECIDED)
     return rows.agg(F.count(F.when(yes & (F.col("synced") == 1), 1)).alias("validated"), F.count(F.when(yes & (F.col("synced") == 0), 1)).alias("to_push"), F.count(F.when(F.col("action") == "rejected", 1)).alias("rejected"), F.count("*").alias("n_terms"))
+
+
+def domain_kpis(decisions: DataFrame, snapshots: DataFrame, pushes: DataFrame, domains: list[str], users: int = 2) -> DataFrame:
+    """One row for each domain: its last snapshot's mapping rates, and where its decisions stand.
+
+    decisions have a domain; snapshots are (domain, version, created_on, n_terms, n_mapped_terms, n_rows, n_mapped_rows), pushes
+    (domain, applied_on).  A term and target that `users` approved is validated, to be pushed while it isn't synced, and pending
+    with fewer; rejected counts terms.  A snapshot is stale if something was pushed after it; a domain without any was
+    never analyzed.
+    """
+    pairs = decisions.where(F.col("action").isin(*DECIDED) & F.col("target_concept_id").isNotNull()).groupBy("domain", "source_value", "target_concept_id").agg(F.countDistinct("user_id").alias("n"), F.max("synced").alias("synced"))
+    done = F.col("n") >= users
+    stand = pairs.groupBy("domain").agg(F.count(F.when(done, 1)).alias("validated"), F.count(F.when(~done, 1)).alias("pending"), F.count(F.when(done & (F.col("synced") == 0), 1)).alias("to_push"))
+    rejected = decisions.where("action = 'rejected'").groupBy("domain").agg(F.countDistinct("source_value").alias("rejected"))
+    last = snapshots.groupBy("domain").agg(F.max_by(F.struct(*[c for c in snapshots.columns if c != "domain"]), "version").alias("x")).select("domain", "x.*")
+    pushed = pushes.groupBy("domain").agg(F.max("applied_on").alias("last_push"))
+    every = decisions.sparkSession.createDataFrame([(d,) for d in domains], "domain string")
+    rows = every
+    for part in (last, stand, rejected, pushed):
+        rows = rows.join(part, "domain", "left")
+    pct = lambda part, whole: F.round(100.0 * F.col(part) / F.col(whole), 2)
+    return rows.select(
+        "domain", "version", F.col("created_on").alias("snapshot_date"), "n_terms", "n_mapped_terms", pct("n_mapped_terms", "n_terms").alias("pct_terms"), "n_rows", "n_mapped_rows", pct("n_mapped_rows", "n_rows").alias("pct_rows"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("validated", "pending", "rejected", "to_push")],
+        F.coalesce(F.col("last_push") > F.col("created_on"), F.lit(False)).alias("stale"), F.col("version").isNull().alias("never_analyzed"),
+    )

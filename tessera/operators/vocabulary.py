@@ -79,6 +79,13 @@ def source_values(cdm: Cdm) -> DataFrame:
     return counts.join(names, "concept_id", "left")
 
 
+def labelled_source_values(cdm: Cdm, codebooks: DataFrame) -> DataFrame:
+    """source_values() named by the codebooks (name, domain, code, description) of their domain; other names are kept."""
+    parts = [codebook_labels(codebooks.where(F.col("domain") == d)).select(F.lit(d).alias("domain"), F.col("code").alias("source_value"), "label") for d in cdm.domains()]
+    rows = source_values(cdm)
+    return rows.join(reduce(DataFrame.unionByName, parts), ["domain", "source_value"], "left").withColumn("source_name", F.coalesce("label", "source_name")).select(*rows.columns)
+
+
 def source_value_search(cdm: Cdm, text: str, limit: int = 50) -> DataFrame:
     rows = _events(cdm).where(folded(F.col("source_value")).contains(folded(F.lit(text))))
     return rows.groupBy("domain", "source_value").agg(F.count("*").alias("n_records"), F.countDistinct("person_id").alias("n_persons")).orderBy(F.desc("n_records"), "domain", "source_value").limit(limit)

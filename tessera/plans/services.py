@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import autocomplete, characterize, lineage, mapping, mapping_batches, quality, schema_keys, similarity, vocabulary
 from tessera.operators.cohort import build_cohort
+from tessera.plans import extended  # noqa: F401  its queries are used below
 from tessera.plans.catalog import _COS, _LAST, _QUERIES, _SQL, B1, B2, EVENTS_SQL, YEAR, _all, _cdm, _people, _raw, _read, _vectors, brand
 from tessera.sources import audit, codebooks
 from tessera.sources.cdm import TABLE_SQL, Cdm, star_cdm, with_tables
@@ -247,3 +248,44 @@ _raw("semantic_forms", lambda spark, d: similarity.semantic_concept_set(_forms(s
  b AS (SELECT query_id // 100 AS query_id, target_id, max(similarity) AS similarity FROM f WHERE k <= 50 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, target_id) AS k FROM b),
  n AS (SELECT query_id, target_id, CASE WHEN label > 4 THEN label END AS label FROM r JOIN embeddings ON vec_id = target_id WHERE k <= 50 AND similarity >= 0.35)
  SELECT DISTINCT query_id, e.label AS group_key, vec_id AS target_id FROM n JOIN embeddings e ON e.label = n.label UNION ALL SELECT query_id, NULL, target_id FROM n WHERE label IS NULL""")
+
+# ---------------------------------------------------------------------------------------------
+# domains of the mapping pipeline, names by codebook, summaries
+
+_DOMAIN = "CASE suggestion_source WHEN 'exact' THEN 'Drug' WHEN 'ingredient' THEN 'Condition' ELSE 'Measurement' END"
+_SNAPSHOTS = (("Drug", 1, "2024-01-01"), ("Drug", 2, "2030-01-01"), ("Condition", 1, "1990-01-01"))
+
+
+def _domain_kpis(cdm: Cdm) -> DataFrame:
+    """Two snapshots of drugs, an old one of conditions, and none of measurements and visits."""
+    decisions = cdm.table("decision").withColumn("domain", F.expr(_DOMAIN))
+    rates = [quality.mapping_rates(cdm, d).select(F.lit(d).alias("domain"), F.lit(v).alias("version"), F.to_date(F.lit(day)).alias("created_on"), "n_terms", "n_mapped_terms", "n_rows", "n_mapped_rows") for d, v, day in _SNAPSHOTS]
+    pushes = decisions.where("synced = 1").select("domain", F.col("created_on").alias("applied_on"))
+    return mapping.domain_kpis(decisions, rates[0].unionByName(rates[1]).unionByName(rates[2]), pushes, ["Condition", "Drug", "Measurement", "Visit"])
+
+
+def _rates(domain: str, table: str, concept: str, value: str, version: int, day: str) -> str:
+    return f"SELECT '{domain}' AS domain, {version} AS version, DATE '{day}' AS created_on, count(DISTINCT {value}) AS n_terms, count(DISTINCT CASE WHEN {concept} > 0 THEN {value} END) AS n_mapped_terms, count(*) AS n_rows, count(*) FILTER ({concept} > 0) AS n_mapped_rows FROM {table}"
+
+
+_cdm("mapping_domain_kpis", _domain_kpis, f"""WITH de AS (SELECT *, {_DOMAIN} AS domain FROM decision),
+ sn AS ({_rates('Drug', 'drug_exposure', 'drug_concept_id', 'drug_source_value', 2, '2030-01-01')} UNION ALL {_rates('Condition', 'condition_occurrence', 'condition_concept_id', 'condition_source_value', 1, '1990-01-01')}),
+ pa AS (SELECT domain, count(DISTINCT user_id) AS n, max(synced) AS s FROM de WHERE action IN ('approved', 'modified') GROUP BY domain, source_value, target_concept_id),
+ st AS (SELECT domain, count(*) FILTER (n >= 2) AS validated, count(*) FILTER (n < 2) AS pending, count(*) FILTER (n >= 2 AND s = 0) AS to_push FROM pa GROUP BY 1),
+ re AS (SELECT domain, count(DISTINCT source_value) AS rejected FROM de WHERE action = 'rejected' GROUP BY 1), pu AS (SELECT domain, max(created_on) AS last_push FROM de WHERE synced = 1 GROUP BY 1)
+ SELECT d.domain, CAST(version AS INT) AS version, created_on AS snapshot_date, n_terms, n_mapped_terms, round(100.0 * n_mapped_terms / n_terms, 2) AS pct_terms, n_rows, n_mapped_rows, round(100.0 * n_mapped_rows / n_rows, 2) AS pct_rows,
+  coalesce(validated, 0) AS validated, coalesce(pending, 0) AS pending, coalesce(rejected, 0) AS rejected, coalesce(to_push, 0) AS to_push, coalesce(last_push > created_on, false) AS stale, version IS NULL AS never_analyzed
+ FROM (VALUES ('Condition'), ('Drug'), ('Measurement'), ('Visit')) d(domain) LEFT JOIN sn USING (domain) LEFT JOIN st USING (domain) LEFT JOIN re USING (domain) LEFT JOIN pu USING (domain)""")
+
+_BOOK = "SELECT p_type AS name, 'Drug' AS domain, p_name AS code, CASE WHEN p_size > 25 THEN p_brand || ' label' ELSE '' END AS description FROM part"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cdm = star_cdm(spark, sf_dir)
+    return vocabulary.labelled_source_values(cdm, spark.sql(_BOOK)).groupBy("domain", "source_value", "source_name").agg(F.sum("n_records").alias("n_records"))
+
+
+_raw("source_values_labelled", _labelled, f"""WITH b AS ({_BOOK}), z AS (SELECT name, count(*) AS n FROM b GROUP BY 1), l AS (SELECT code, description FROM (SELECT b.*, row_number() OVER (PARTITION BY code ORDER BY n DESC, b.name, description) AS k FROM b JOIN z ON z.name = b.name WHERE trim(description) <> '') x WHERE k = 1)
+ SELECT domain, source_value, CASE WHEN domain = 'Drug' AND description IS NOT NULL THEN description ELSE source_name END AS source_name, CAST(sum(n_records) AS BIGINT) AS n_records FROM ({_CACHE}) c LEFT JOIN l ON domain = 'Drug' AND code = source_value GROUP BY 1, 2, 3""")
+_raw("lineage_summary", lambda spark, d: lineage.layer_counts(_QUERIES["lineage_nodes"](spark, d)), f"SELECT layer, count(*) AS n_tables FROM ({_SQL['lineage_nodes']}) x GROUP BY 1")
+_raw("bulk_rejections", lambda spark, d: mapping.bulk_decisions(mapping.list_unmapped((cdm := _parts_cdm(spark, d)), "Drug"), cdm.table("decision").where("action = 'rejected'"), 3).select("source_value", "n_records"), f"{_BATCH_HEAD} SELECT drug_source_value AS source_value, count(*) AS n_records FROM drug_exposure WHERE drug_concept_id = 0 AND drug_source_value NOT IN (SELECT source_value FROM decision WHERE user_id = 3 AND action = 'rejected') GROUP BY 1")
