@@ -26,8 +26,12 @@ def _names(cdm: Cdm) -> DataFrame:
 def dashboard(cdm: Cdm) -> DataFrame:
     """Records, persons, source terms and mapped terms of each domain."""
     parts = [cdm.events(d).select(F.lit(d).alias("domain"), "person_id", "source_value", "concept_id") for d in cdm.domains()]
-    mapped = F.when(F.col("concept_id") > 0, F.col("source_value"))
-    out = _union(parts).groupBy("domain").agg(F.count("*").alias("n_records"), F.countDistinct("person_id").alias("n_persons"), F.countDistinct("source_value").alias("n_terms"), F.countDistinct(mapped).alias("n_mapped_terms"))
+    rows = _union(parts)
+    # terms and persons are counted from groups of their own: distinct counts side by side would expand every event
+    terms = rows.groupBy("domain", "source_value").agg(F.count("*").alias("n"), F.max(F.col("concept_id") > 0).alias("mapped"))
+    terms = terms.groupBy("domain").agg(F.sum("n").alias("n_records"), F.count("source_value").alias("n_terms"), F.count(F.when(F.col("mapped"), F.col("source_value"))).alias("n_mapped_terms"))
+    persons = rows.select("domain", "person_id").distinct().groupBy("domain").agg(F.count("person_id").alias("n_persons"))
+    out = terms.join(persons, "domain").select("domain", "n_records", "n_persons", "n_terms", "n_mapped_terms")
     return out.withColumn("pct_mapped", F.when(F.col("n_terms") > 0, F.round(100.0 * F.col("n_mapped_terms") / F.col("n_terms"), 2)).otherwise(F.lit(0.0)))
 
 
@@ -109,9 +113,11 @@ def records_per_person(cdm: Cdm, domain: str, most: int = 100) -> DataFrame:
 
 def top_concepts(cdm: Cdm, domain: str, n: int = 50, values: int = 10) -> DataFrame:
     """The n most frequent mapped concepts with at most `values` of their source values."""
-    rows = cdm.events(domain).where("concept_id > 0").join(_names(cdm), "concept_id")
-    top = rows.groupBy("concept_id", "concept_name").agg(F.count("*").alias("n_records"), F.countDistinct("person_id").alias("n_persons")).orderBy(F.desc("n_records"), "concept_id").limit(n)
-    pairs = rows.where("source_value is not null").select("concept_id", "source_value").distinct()
+    rows = cdm.events(domain).where("concept_id > 0").select("concept_id", "person_id", "source_value")
+    top = rows.groupBy("concept_id").agg(F.count("*").alias("n_records"), F.countDistinct("person_id").alias("n_persons")).join(_names(cdm), "concept_id")
+    top = top.select("concept_id", "concept_name", "n_records", "n_persons").orderBy(F.desc("n_records"), "concept_id").limit(n)
+    # values only of these n concepts
+    pairs = rows.where("source_value is not null").join(F.broadcast(top.select("concept_id")), "concept_id", "left_semi").select("concept_id", "source_value").distinct()
     few = pairs.withColumn("k", F.row_number().over(Window.partitionBy("concept_id").orderBy("source_value"))).where(F.col("k") <= values)
     return top.join(few.groupBy("concept_id").agg(F.array_join(F.sort_array(F.collect_list("source_value")), ", ").alias("source_values")), "concept_id", "left")
 

@@ -16,14 +16,15 @@ def _events(cdm: Cdm) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def concept_search(cdm: Cdm, text: str, domain: str | None = None, vocabulary: str | None = None, standard_only: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Valid concepts whose name or code holds text, accents and case aside; digits search the id.
+def concept_search(cdm: Cdm, text: str, domain: str | None = None, vocabulary: str | None = None, standard_only: bool = False, limit: int = 50, offset: int = 0, codes: bool = False) -> DataFrame:
+    """Valid concepts whose name or code holds text, accents and case aside; digits search the id, with codes also the codes.
 
     Standard concepts first, then short names, then by name.
     """
     rows = cdm.table("concept").where("invalid_reason is null")
     if text.isdigit():
-        rows = rows.where(F.col("concept_id") == int(text))
+        by_id = F.col("concept_id") == int(text)
+        rows = rows.where(by_id | F.col("concept_code").contains(text) if codes else by_id)
     else:
         rows = rows.where(folded(F.col("concept_name")).contains(folded(F.lit(text))) | folded(F.col("concept_code")).contains(folded(F.lit(text))))
     for column, wanted in (("domain_id", domain), ("vocabulary_id", vocabulary)):

@@ -103,6 +103,8 @@ _cdm("global_search_kinds", lambda cdm: vocabulary.global_search(cdm, "LAR", 8,
  UNION ALL SELECT * FROM (SELECT 'mapping', CAST(decision_id AS VARCHAR) AS key, source_value FROM decision WHERE lower(source_value) LIKE '%lar%' ORDER BY source_value, key LIMIT 8) c
  UNION ALL SELECT * FROM (SELECT DISTINCT 'set', concept_code AS key, lower(concept_name) AS label FROM concept WHERE vocabulary_id = 'Type' AND lower(concept_name) LIKE '%lar%' ORDER BY label, key LIMIT 8) d""")
 
+_cdm("concept_search_codes", lambda cdm: vocabulary.concept_search(cdm, "12", limit=30, codes=True).select("concept_id", "concept_name", "concept_code"), "SELECT concept_id, concept_name, concept_code FROM concept WHERE (concept_id = 12 OR contains(concept_code, '12')) AND invalid_reason IS NULL ORDER BY CASE WHEN standard_concept = 'S' THEN 0 ELSE 1 END, length(concept_name), concept_name, concept_id LIMIT 30")
+
 # ---------------------------------------------------------------------------------------------
 # audit logs: a line for each event, one in a hundred cut short
 
