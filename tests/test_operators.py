@@ -107,7 +107,7 @@ def test_sunburst_prunes_from_the_root(spark):
 
 def test_upstream_stops_at_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, target string")
-    out = {(r.target, r.source, r.hops) for r in lineage.upstream(edges, 5).collect()}
+    out = {(r.target, r.source, r.hops) for r in lineage.upstream(edges).collect()}
     assert out == {("b", "a", 1), ("c", "b", 1), ("a", "c", 1), ("c", "a", 2), ("a", "b", 2), ("b", "c", 2)}
 
 
