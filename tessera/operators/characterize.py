@@ -91,4 +91,4 @@ def compare(described: DataFrame, one: str, two: str) -> DataFrame:
         return F.coalesce(F.col(f"n_{s}"), F.lit(0)).cast("long").alias(f"n_{s}")
 
     smd = F.when(has("pct"), smd_binary(share("a"), share("b"))).when(F.col("mean_a").isNotNull() & F.col("mean_b").isNotNull(), smd_continuous(F.col("mean_a"), F.col("sd_a"), F.col("mean_b"), F.col("sd_b")))
-    return both.select("section", "variable", size("a"), size("b"), F.when(has("pct"), 100 * share("a")).alias("pct_a"), F.when(has("pct"), 100 * share("b")).alias("pct_b"), "mean_a", "mean_b", F.round(smd, 4).alias("smd"))
+    return both.select("section", "variable", size("a"), size("b"), F.when(has("pct"), 100 * share("a")).alias("pct_a"), F.when(has("pct"), 100 * share("b")).alias("pct_b"), "mean_a", "mean_b", (F.round(smd, 4) + 0.0).alias("smd"))

@@ -190,7 +190,7 @@ _DESCRIBED = with_tables(f"""WITH who AS (SELECT DISTINCT 'a' AS cohort, person_
  SELECT * FROM de""")
 _COMPARED = _DESCRIBED.removesuffix("SELECT * FROM de") + """SELECT section, variable, coalesce(x.n, 0) AS n_a, coalesce(y.n, 0) AS n_b, CASE WHEN s THEN pa * 100 END AS pct_a, CASE WHEN s THEN pb * 100 END AS pct_b, x.mean AS mean_a, y.mean AS mean_b,
  round(CASE WHEN s THEN CASE WHEN pa * (1 - pa) + pb * (1 - pb) > 0 THEN (pa - pb) / sqrt((pa * (1 - pa) + pb * (1 - pb)) / 2) WHEN pa = pb THEN 0 END
-  WHEN x.mean IS NOT NULL AND y.mean IS NOT NULL THEN CASE WHEN x.sd * x.sd + y.sd * y.sd > 0 THEN (x.mean - y.mean) / sqrt((x.sd * x.sd + y.sd * y.sd) / 2) WHEN x.mean = y.mean THEN 0 END END, 4) AS smd
+  WHEN x.mean IS NOT NULL AND y.mean IS NOT NULL THEN CASE WHEN x.sd * x.sd + y.sd * y.sd > 0 THEN (x.mean - y.mean) / sqrt((x.sd * x.sd + y.sd * y.sd) / 2) WHEN x.mean = y.mean THEN 0 END END, 4) + 0 AS smd
  FROM (SELECT * FROM de WHERE cohort = 'a') x FULL JOIN (SELECT * FROM de WHERE cohort = 'b') y USING (section, variable), LATERAL (SELECT coalesce(x.pct, 0) / 100 AS pa, coalesce(y.pct, 0) / 100 AS pb, x.pct IS NOT NULL OR y.pct IS NOT NULL AS s) z"""
 _cdm("characterize", _described)
 _cdm("compare_cohorts", lambda cdm: characterize.compare(_described(cdm), "a", "b"))
