@@ -93,7 +93,7 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_token_ids(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=CAPACITY, digest=True)
+    return pack_token_ids(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=CAPACITY)
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@
 Each task packs the pieces of its own partition, a block of about BLOCK_TOKENS ids at a time, so nothing is shuffled
 and memory is bounded.  Within a block the pieces go longest first into the open sequence they leave least room in; a
 segment tree over the room left finds that sequence.  Documents longer than a sequence are split losslessly: the
-pieces, by their number, are the document again.
+pieces, by their number, are the document again.  Which pieces share a sequence so depends on how the input is split into
+partitions; the pieces and their ids don't.
+
+write_packed() writes the sequences as flat binary files, which a reader can map into memory, with an index of them.
 
 Rows: null texts count as empty; every document has at least its end mark.  Rows that repeat a doc_id and rows
 without one are packed like any other; ties go by doc_id and piece.  An empty table gives an empty result.
@@ -11,12 +14,17 @@ without one are packed like any other; ties go by doc_id and piece.  An empty ta
 
 from __future__ import annotations
 
+import json
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from tessera.llm.common import keyed
 from tessera.llm.packing import pieces
@@ -90,14 +98,13 @@ def _rows(rows: list[tuple], capacity: int, pad_id: int, first: int):
         yield first + n, total, [r[0] for r in own], [r[1] for r in own], edges, matrix_row.tobytes(), positions.tobytes()
 
 
-def _batch(rows: list[tuple], digest: bool) -> pa.RecordBatch:
-    last = [(pa.int64(), "ids_crc32"), (pa.int64(), "position_ids_crc32")] if digest else [(pa.binary(), "ids"), (pa.binary(), "position_ids")]
-    fields = [(pa.int64(), "sequence_id"), (pa.int32(), "n_tokens"), (pa.list_(pa.int64()), "doc_ids"), (pa.list_(pa.int32()), "pieces"), (pa.list_(pa.int32()), "cu_seqlens"), *last]
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    fields = [(pa.int64(), "sequence_id"), (pa.int32(), "n_tokens"), (pa.list_(pa.int64()), "doc_ids"), (pa.list_(pa.int32()), "pieces"), (pa.list_(pa.int32()), "cu_seqlens"), (pa.binary(), "ids"), (pa.binary(), "position_ids")]
     return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (kind, _) in zip(zip(*rows), fields)], [name for _, name in fields])
 
 
-def packed_rows(path: str, end_id: int, capacity: int, pad_id: int, digest: bool):
-    """mapInArrow over (doc_id, text): packed sequences; with digest, the checksums of the two matrix rows in their place.
+def packed_rows(path: str, end_id: int, capacity: int, pad_id: int):
+    """mapInArrow over (doc_id, text): packed sequences.
 
     Documents are cut and packed in one worker, so that no id travels to another, and rows go out a few at a time.
     """
@@ -120,27 +127,126 @@ def packed_rows(path: str, end_id: int, capacity: int, pad_id: int, digest: bool
         for block in blocks(batches):
             for row in _rows(block, capacity, pad_id, first):
                 first = row[0] + 1
-                ready.append((*row[:5], zlib.crc32(row[5]), zlib.crc32(row[6])) if digest else row)
-                if len(ready) == (ROWS_OUT * 64 if digest else ROWS_OUT):
-                    yield _batch(ready, digest)
+                ready.append(row)
+                if len(ready) == ROWS_OUT:
+                    yield _batch(ready)
                     ready = []
         if ready:
-            yield _batch(ready, digest)
+            yield _batch(ready)
 
     return run
 
 
-def pack_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def pack_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, pad_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each packed sequence of `capacity` ids.
 
     ids is a row of the id matrix (little-endian unsigned 32-bit, padded with pad_id); cu_seqlens are the cumulative
     lengths of its segments from 0; position_ids start from 0 again in each segment; doc_ids and pieces name them.
-    digest gives the checksums ids_crc32 and position_ids_crc32 in place of the two matrix rows.
     """
-    schema = PACKED_ROWS + (", ids_crc32 long, position_ids_crc32 long" if digest else ", ids binary, position_ids binary")
-    return keyed(docs, id_col, text_col).mapInArrow(packed_rows(tokenizer_path, end_id, capacity, pad_id, digest), schema)
-
-
-def write_packed(packed: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet: fixed-width matrix rows, so a reader can memory-map a column into a matrix."""
-    packed.write.parquet(path)
+    return keyed(docs, id_col, text_col).mapInArrow(packed_rows(tokenizer_path, end_id, capacity, pad_id), PACKED_ROWS + ", ids binary, position_ids binary")
+
+
+# ---------------------------------------------------------------------------------------------
+# binary files
+
+FORMAT, MANIFEST = "tessera_token_files", "manifest.json"
+MATRICES = {"ids": "ids", "position_ids": "positions", "cu_seqlens": "segments"}
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task has written: its files' names, sequences, and the CRC-32 of each file of MATRICES."""
+
+    name: str
+    sequences: int
+    crc32: dict[str, int]
+
+
+class TokenFilesWriter(DataSourceArrowWriter):
+    """Each attempt of a task writes files of its own name; only those of the manifest, written at the end, count."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, iterator):
+        context = TaskContext.get()
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
+        system, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        sums, first, segments, index = dict.fromkeys(MATRICES.values(), 0), 0, 0, None
+        files = {}
+        try:
+            for batch in iterator:
+                if not files:
+                    files = {suffix: system.open_output_stream(f"{root}/{name}.{suffix}.bin") for suffix in sums}
+                own = batch.column("cu_seqlens")
+                cells = {"ids": batch.column("ids"), "position_ids": batch.column("position_ids"), "cu_seqlens": [np.asarray(x.values, "<i4").tobytes() for x in own]}
+                for column, suffix in MATRICES.items():
+                    data = b"".join(x if isinstance(x, bytes) else x.as_py() for x in cells[column])
+                    files[suffix].write(data)
+                    sums[suffix] = zlib.crc32(data, sums[suffix])
+                sizes = np.array([len(x.values) for x in own], np.int64)
+                n, begins = batch.num_rows, segments + np.cumsum(sizes) - sizes
+                columns = {"file": pa.array([name] * n), "row": pa.array(np.arange(first, first + n)), "segments_start": pa.array(begins), "n_segments": pa.array((sizes - 1).astype(np.int32))}
+                table = pa.table({**columns, **{c: batch.column(c) for c in ("sequence_id", "n_tokens", "doc_ids", "pieces")}})
+                if index is None:
+                    index = pyarrow.parquet.ParquetWriter(f"{root}/{name}.index.parquet", table.schema, filesystem=system)
+                index.write_table(table)
+                first, segments = first + n, segments + int(sizes.sum())
+        finally:
+            for stream in files.values():
+                stream.close()
+            if index is not None:
+                index.close()
+        return Written(name, first, sums)
+
+    def commit(self, messages) -> None:
+        system, root = pyarrow.fs.FileSystem.from_uri(self.folder)
+        parts = [{"name": m.name, "sequences": m.sequences, "crc32": m.crc32} for m in messages if m is not None and m.sequences]
+        with system.open_output_stream(f"{root}/{MANIFEST}") as out:
+            out.write(json.dumps({"parts": parts}).encode())
+
+
+class TokenFiles(DataSource):
+    """The sink of write_packed()."""
+
+    @classmethod
+    def name(cls) -> str:
+        return FORMAT
+
+    def writer(self, schema, overwrite):
+        return TokenFilesWriter(self.options["path"])
+
+
+def write_packed(packed: DataFrame, folder: str) -> DataFrame:
+    """Write packed sequences as binary files to a new folder; returns their index (see read_index()).
+
+    Each task writes <part>.ids.bin and <part>.positions.bin, matrices of little-endian unsigned 32-bit integers with a row for
+    each sequence, and <part>.segments.bin, the cumulative lengths of its segments (signed 32-bit) one sequence after another.
+    A task that is run again writes another part; manifest.json names the parts that count, a few bytes for each task, with
+    their checksums.  The folder is resolved by Spark's default file system, and must be one that pyarrow can write.  No
+    sequences give a manifest without parts.
+    """
+    spark = packed.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if system.exists(path):
+        raise ValueError(f"{folder} exists")
+    system.mkdirs(path)
+    uri = system.makeQualified(path).toString().replace("file:/", "file:///", 1) if system.getScheme() == "file" else system.makeQualified(path).toString()
+    spark.dataSource.register(TokenFiles)
+    packed.write.format(FORMAT).mode("append").save(uri)
+    return read_index(packed, uri)
+
+
+def read_index(packed: DataFrame, uri: str) -> DataFrame:
+    """(file, row, segments_start, n_segments, sequence_id, n_tokens, doc_ids, pieces): where each written sequence is.
+
+    It is the row-th of <file>.ids.bin and <file>.positions.bin; its n_segments + 1 cumulative lengths begin with number
+    segments_start of <file>.segments.bin.
+    """
+    spark = packed.sparkSession
+    system, root = pyarrow.fs.FileSystem.from_uri(uri)
+    with system.open_input_stream(f"{root}/{MANIFEST}") as manifest:
+        parts = [p["name"] for p in json.loads(manifest.read())["parts"]]
+    schema = "file string, row long, segments_start long, n_segments int, sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>"
+    return spark.read.schema(schema).parquet(*(f"{uri}/{p}.index.parquet" for p in parts)) if parts else spark.createDataFrame([], schema)

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -66,19 +67,51 @@ def test_best_fit_packing(spark):
 
 
 def test_token_output_round_trip(spark, tmp_path):
-    df = cases.documents(spark, LONG[:2])
-    path = str(tmp_path / "packed")
-    write_packed(pack_token_ids(df, tokenizer_path(), capacity=512), path)
-    found = defaultdict(dict)
-    for r in spark.read.parquet(path).collect():
-        ids, at = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.position_ids, "<u4")
-        assert len(ids) == len(at) == 512 and r.cu_seqlens[-1] == r.n_tokens and not ids[r.n_tokens :].any()
-        for doc, piece, a, b in zip(r.doc_ids, r.pieces, r.cu_seqlens, r.cu_seqlens[1:]):
-            found[doc][piece] = ids[a:b].tolist()
-            assert at[a:b].tolist() == list(range(b - a))
+    df = cases.documents(spark, LONG[:2] + [LONG[0]]).repartition(3, "doc_id")  # one row twice
+    packed = pack_token_ids(df, tokenizer_path(), capacity=512)
+    folder = tmp_path / "packed"
+    index = write_packed(packed, str(folder)).collect()
+    manifest = json.loads((folder / "manifest.json").read_text())["parts"]
+    assert 1 < len(manifest) <= 3 and sum(p["sequences"] for p in manifest) == len(index) == len({r.sequence_id for r in index})
+    ids, at, segments = {}, {}, {}
+    for part in manifest:
+        for kind, into, suffix in (("<u4", ids, "ids"), ("<u4", at, "positions"), ("<i4", segments, "segments")):
+            into[part["name"]] = np.memmap(folder / f"{part['name']}.{suffix}.bin", kind, "r")
+            assert zlib.crc32(into[part["name"]]) == part["crc32"][suffix]
+    found, sequences = defaultdict(list), []
+    for r in index:
+        row, places = (x[r.file].reshape(-1, 512)[r.row] for x in (ids, at))
+        cuts = segments[r.file][r.segments_start : r.segments_start + r.n_segments + 1].tolist()
+        assert cuts[0] == 0 and cuts[-1] == r.n_tokens <= 512 and not row[r.n_tokens :].any() and not places[r.n_tokens :].any()
+        assert len(r.doc_ids) == len(r.pieces) == r.n_segments
+        sequences.append((r.file, r.row, [b - a for a, b in zip(cuts, cuts[1:])]))
+        for doc, piece, a, b in zip(r.doc_ids, r.pieces, cuts, cuts[1:]):
+            found[doc, piece].append(row[a:b].tolist())
+            assert places[a:b].tolist() == list(range(b - a))
+    want = defaultdict(list)
     rows = df.select("doc_id", "text").collect()
-    assert {d: [x for k in sorted(v) for x in v[k]] for d, v in found.items()} == {r.doc_id: x for r, x in zip(rows, ids_of(r.text for r in rows))}
-    assert pack_token_ids(cases.empty(spark), tokenizer_path()).count() == 0
+    for r, x in zip(rows, ids_of(r.text for r in rows)):
+        for piece, a in enumerate(range(0, len(x), 512)):
+            want[r.doc_id, piece].append(x[a : a + 512])
+    assert found == want and max(map(len, want.values())) == 2
+    # placement: longest first, each into the sequence that it leaves the least room in
+    for part in manifest:
+        own = [sizes for _, _, sizes in sorted(s for s in sequences if s[0] == part["name"])]
+        opened = []
+        for size in sorted((x for s in own for x in s), reverse=True):
+            fits = [s for s in opened if sum(s) + size <= 512]
+            if fits:
+                max(fits, key=sum).append(size)
+            else:
+                opened.append([size])
+        assert Counter(map(sum, opened)) == Counter(map(sum, own))  # whichever of equal room is taken
+
+
+def test_token_output_empty(spark, tmp_path):
+    none = pack_token_ids(cases.empty(spark), tokenizer_path())
+    assert none.count() == 0 and write_packed(none, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        write_packed(none, str(tmp_path / "none"))
 
 
 def test_room_tree_takes_the_tightest():
