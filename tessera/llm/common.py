@@ -38,9 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession) -> str | None:
-    """The shared folder as a path that Python can open; None where it isn't one."""
-    folder = shared_dir(spark)
-    return re.sub("^file:/*", "/", folder) if re.match("/|file:", folder) else None
+    """The shared folder, as Spark's default file system resolves it, as a path that Python can open; None where it isn't one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return re.sub("^file:/*", "/", folder) if folder.startswith("file:") else None
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ the construction runs on aligned pieces instead, and only where text can repeat:
 
 Suffixes of one round are equally long, as equal windows start in one column; no order over all lengths is needed.
 Equal contexts of an anchor are inserted once, so copies cost no rounds.  Files stay in memory up to SPOOL_BYTES, then
-go to the shared folder; only about fifty bytes for each distinct context of an anchor are held besides.
+go to the shared folder, or, where that is none that Python can open, to where Spark itself spills; they are a task's own and
+end with it.  Only about fifty bytes for each distinct context of an anchor are held besides.
 
 Two different anchors or contexts count as equal only if two 64-bit hashes of them are: for a billion of them a chance
 of 1e-20.  Windows are told apart by their bytes.
@@ -31,6 +32,7 @@ result.  Columns other than the two named are not read.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
 
@@ -221,12 +223,17 @@ def contexts(window: int, grain: int):
     return run
 
 
+def spill_dir() -> str | None:
+    """Where Spark itself spills on this executor: for a task's own files if the shared folder is none that Python can open."""
+    return os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+
+
 class Collection:
     """The documents of a construction: contexts of whole anchors, added in the order of anchor and key."""
 
     def __init__(self, window: int, grain: int, folder: str | None):
         self.window, self.reach, self.width = window, window - grain, 2 * window - grain
-        spool = lambda: tempfile.SpooledTemporaryFile(SPOOL_BYTES if folder else 0, dir=folder)
+        spool = lambda: tempfile.SpooledTemporaryFile(SPOOL_BYTES, dir=folder or spill_dir())
         self.columns, self.places, self.transform, self.prefixes = spool(), spool(), spool(), spool()
         self.blocks: list[int] = []
         self.last: tuple[int, int] | None = None

@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 
 from tests.llm import cases
+from tessera.llm import suffix_dedup as construction
+from tessera.llm.common import shared_dir, shared_path
 from tessera.llm.components import connected_components
 from tessera.llm.line_dedup import MIN_WORDS, RARE, line_dedup, patience, without_repeated_lines
 from tessera.llm.minhash_dedup import drop_near_duplicates, near_duplicates
@@ -227,3 +229,14 @@ def test_lines_of_very_many_documents(spark):
         seen.update(lines)
         want[i] = (len(lines) - len(kept), "\n".join(kept))
     assert got == want and want[1001] == (4, "own words of the document numbered 1")
+
+
+def test_construction_files_are_bounded_in_memory(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    monkeypatch.setattr(construction, "SPOOL_BYTES", 1000)
+    for folder in (None, str(tmp_path)):
+        held = construction.Collection(200, 50, folder)
+        held.columns.write(b"x" * 1001)
+        held.places.write(b"x" * 1000)
+        assert held.columns._rolled and not held.places._rolled
+    assert shared_path(spark) == "/" + shared_dir(spark).removeprefix("file:").lstrip("/")
