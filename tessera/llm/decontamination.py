@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, materialize, small, without
+from tessera.llm.common import BROADCAST_BYTES, keyed, materialize, small, without
 from tessera.llm.quality import let
 
 SHINGLE = 5
@@ -125,6 +125,13 @@ def marked_places(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "n", "size").agg(F.max("total").alias("total"), F.sort_array(F.collect_set("place")).alias("places"))
 
 
+def _measured(at: DataFrame) -> DataFrame:
+    """at, a materialized (doc_id, at), with a broadcast hint if the starts that it holds, all counted, allow it."""
+    held = F.aggregate("at", F.lit(0).cast("long"), lambda acc, x: acc + 64 + 4 * F.size(x["starts"]).cast("long"))
+    rows, total = at.agg(F.count("*"), F.sum(held)).first()
+    return F.broadcast(at) if 64 * rows + (total or 0) <= BROADCAST_BYTES else at
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity) for each document and item that it contains; materialized.
 
@@ -141,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         starts = F.when(F.col("size") == size, _starts(F.col("places"), n, _needed(n, F.col("total"), size), F.col("total"), size)).otherwise(starts)
     at = places.select("doc_id", F.struct("n", "size", starts.alias("starts")).alias("x")).where(F.size("x.starts") > 0).groupBy("doc_id").agg(F.collect_list("x").alias("at"))
     at = materialize(at)
-    here = docs.join(small(at, 256), "doc_id").select("doc_id", word_hashes(F.col("text")).alias("words"), F.explode("at").alias("x"))
+    here = docs.join(_measured(at), "doc_id").select("doc_id", word_hashes(F.col("text")).alias("words"), F.explode("at").alias("x"))
     here = here.select("doc_id", "words", "x.n", "x.size", F.explode("x.starts").alias("start")).select("doc_id", "n", "size", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("words"))
     shingles = F.array().cast("array<bigint>")
     for size in range(1, SHINGLE + 1):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tests.oracle import SMALL, connect, same
-from tessera.llm import quality
+from tessera.llm import decontamination, quality
 from tessera.llm.chat import dialogues, perspective_turns
 from tessera.llm.decontamination import RADIUS, contaminated, decontaminate
 from tessera.llm.queries import oracle_sql, queries
@@ -46,6 +46,14 @@ def test_decontamination(spark):
     assert contaminated(cases.empty(spark), items).count() == 0 and contaminated(df, items.limit(0)).count() == 0
 
 
+def test_windows_are_broadcast_by_their_size(spark, monkeypatch):
+    at = spark.range(10).selectExpr("id AS doc_id", "array(named_struct('n', 8, 'size', 5, 'starts', sequence(0, 9999))) AS at")
+    plan = lambda: spark.range(10).withColumnRenamed("id", "doc_id").join(decontamination._measured(at), "doc_id")._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan()
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 400_000)  # ten rows, but 10,000 starts in each
+    assert "broadcast" not in plan()
+
+
 def test_trigram_queries():
     assert trigram_query("abcd") == ("and", "abc", "bcd") and trigram_query("[0-9a-f]+") is None and trigram_query("(abc|xyz)?") is None
     assert trigram_query("(abc|xyz)[0-9]+") == ("or", "abc", "xyz") and trigram_query("a[0-9]+bcd") == "bcd" and trigram_query("(?i:KEY)") == "key"
