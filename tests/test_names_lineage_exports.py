@@ -75,6 +75,29 @@ def test_lineage_of_documents(spark):
     assert lineage.blocks(pages, "id", "html", ("stage",)).count() == 1
 
 
+def test_documents_of_a_graph_are_read_once(spark):
+    """However often nodes and edges name the blocks of documents."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(html):
+        read.add(1)
+        return html
+
+    pages = spark.createDataFrame([(k, PAGE) for k in range(20)], "id int, html string").withColumn("html", F.udf(counted, "string").asNondeterministic()("html"))
+    nodes, edges = lineage.graph(lineage.blocks(pages, "id", "html"), "id", {"app": "source", "stage": "staging", "final": "omop"}, ["app"], "final", "stage", ("person",))
+    assert (nodes.count(), edges.count()) == (100, 60) and read.value == 20
+
+
+def test_parts_of_odd_elements(spark):
+    """Rows of three cells alone are columns; cells without a break, empty texts and what stands in a text make no block."""
+    html = """<h1>1/1) Repertoire 'stage'</h1><td>a</td><h2>1/1) Fichier 'stage.x'</h2><H4> SQL </H4><PRE class='q'>
+<h2>2/2) Fichier 'in'</h2></PRE><h4>Clause WHERE</h4><pre></pre><tr class='r'><td>a</td><td> b </td><td><i>c</i></td><td>d</td><tr><td>e</td><td></td><td>f</td>
+<tr><td>g</td><td>h</td></tr><th>Source</th><th>Destination<BR />stage.t</th>"""
+    (only,) = lineage.blocks(spark.createDataFrame([(1, html)], "id int, html string"), "id", "html").collect()
+    assert (only.sql, only.where_filter, only.description, only.source_table, only.dest_table) == ("2/2) Fichier 'in'", None, None, None, "stage.t")
+    assert [tuple(c) for c in only.columns] == [("e", "", None, "f")]
+
+
 def test_history_and_audit_cells(spark):
     day = datetime.datetime(2024, 1, 2, 3, 4, 5)
     rows = spark.createDataFrame([(1, "=a", "approved", 5, "u1", day, "exact", 0.0), (2, None, None, None, None, None, None, None)], "decision_id int, source_value string, action string, target_concept_id int, user_id string, created_on timestamp, suggestion_source string, confidence double")
