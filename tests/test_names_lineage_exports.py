@@ -47,6 +47,23 @@ def test_suggestions_by_name(spark):
     assert drug_names.suggest_by_name(cdm, terms.limit(0), "Drug").count() == 0
 
 
+def test_no_name_meets_all_concepts_of_its_words(spark):
+    """Distinct searches get their best five rows, with a brand or without, before they meet names; they are those of all rows."""
+    concepts = [(k, f"acetaminophen {'x' * (k % 40)} [{'Doliprane' if k % 7 == 0 else 'Other'}]", "Drug", "S", None) for k in range(400)]
+    cdm = Cdm({"concept": spark.createDataFrame(concepts, CONCEPT), "concept_synonym": spark.createDataFrame([], "concept_id int, concept_synonym_name string")})
+    terms = spark.createDataFrame([(str(k), f"PARACETAMOL {k} MG (DOLIPRANE)") for k in range(1, 201)] + [("q", "PARACETAMOL (QQ)"), ("z", "PARACETAMOL")], "source_value string, source_name string")
+    found = drug_names.suggest_by_name(cdm, terms, "Drug")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.source_value, set()).add((r.concept_id, r.confidence))
+    best = lambda rows: {k for k, name, *_ in sorted(rows, key=lambda c: (len(c[1]), c[0]))[:5]}
+    own, every = best(c for c in concepts if "Doliprane" in c[1]), best(concepts)
+    assert got["z"] == got["q"] == {(k, 78) for k in every}
+    assert all({k for k, _ in got[str(k)]} == own for k in range(1, 201))
+    hits = drug_names._best_by_name(spark.createDataFrame([(f"p{k}", 1, "acetaminophen", None, [], f"B{k}") for k in range(300)], "ingredient string, turn int, first string, second string, forms array<string>, brand string"), cdm.table("concept").select("concept_id", "concept_name", (F.col("domain_id") == "Drug").alias("inside")))
+    assert hits.count() == 1500
+
+
 def test_turns_end_at_five(spark):
     concepts = [(k, f"acetaminophen 500 MG {'x' * k}", "Drug", "S", None) for k in range(7)] + [(9, "acetaminophen", "Drug", "S", None)]
     cdm = Cdm({"concept": spark.createDataFrame(concepts, CONCEPT), "concept_synonym": spark.createDataFrame([], "concept_id int, concept_synonym_name string")})
