@@ -37,6 +37,23 @@ def test_shortest_of_several_chains(spark):
     assert lineage.reach(none).count() == 0 and lineage.upstream(none).count() == 0
 
 
+def test_reach_writes_each_pair_once(spark, monkeypatch):
+    """Rounds write only what they find, and none follows the one that found the last pair."""
+    pairs, plain = [], lineage.written
+
+    def counted(df):
+        out = plain(df)
+        if "hops" in out.columns:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "written", counted)
+    cycle = [(f"a{k}", f"a{(k + 1) % 8}") for k in range(8)] + [("c", "a0"), ("a0", "a0"), (None, "a0")]
+    found = lineage.reach(spark.createDataFrame(cycle, EDGES))
+    assert found.count() == 64 and found.agg(F.max("hops")).first()[0] == 8
+    assert pairs == [9, 9, 18, 28]
+
+
 def test_audit_days_are_pruned(spark):
     rows = services._audit(spark, SMALL, "2024-01-10", "2024-01-12")
     assert "PartitionFilters: [isnotnull(day" in plan(rows)
