@@ -1,6 +1,8 @@
 """Queries take whole tables."""
 
-from tessera.operators import mapping
+import numpy as np
+
+from tessera.operators import mapping, similarity
 from tessera.sources.cdm import Cdm, star_cdm
 from tests.oracle import SMALL
 
@@ -17,3 +19,29 @@ def test_ingredient_of_terms_with_several_names(spark):
     got = {(r.source_value, r.concept_id, r.confidence) for r in mapping.suggest_ingredient(cdm, terms, "Drug", 2).collect()}
     red = {(0, 90), (1, 83)}
     assert got == {("t1", *x) for x in red} | {("t2", *x) for x in red} | {("t3", 2, 85), ("t3", 0, 85), ("nut", 4, 85)}
+
+
+def _near(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, (300, 4)).astype(float)
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)] + [(300, None), (None, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    norm = np.sqrt((vectors**2).sum(1))
+    unit = np.divide(vectors, norm[:, None], out=np.zeros_like(vectors), where=norm[:, None] > 0)
+    want = {}
+    for q in range(0, 300, 50):
+        value = np.round(unit @ unit[q], 4)
+        want[q] = sorted((-value[t], t) for t in range(300) if t != q)[:7]
+    return df, {(q, t, -v, k + 1) for q, found in want.items() for k, (v, t) in enumerate(found)}
+
+
+def test_nearest_of_each_task_without_joined_pairs(spark, monkeypatch):
+    """Ties go to smaller ids across blocks; no row of the plan holds vectors of both sides; the joined way gives the same."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(similarity, "GROUP_ROWS", 4)
+    df, want = _near(spark)
+    rows = lambda found: {(r.query_id, r.target_id, r.similarity + 0.0, r["rank"]) for r in found.collect()}
+    found = similarity.cosine_topk(df.where("id % 50 = 0"), df, 7)
+    assert rows(found) == want and "Join" not in found._jdf.queryExecution().toString()
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 0)
+    assert rows(similarity.cosine_topk(df.where("id % 50 = 0"), df, 7)) == want
