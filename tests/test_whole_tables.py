@@ -45,3 +45,16 @@ def test_nearest_of_each_task_without_joined_pairs(spark, monkeypatch):
     assert rows(found) == want and "Join" not in found._jdf.queryExecution().toString()
     monkeypatch.setattr(similarity, "BROADCAST_BYTES", 0)
     assert rows(similarity.cosine_topk(df.where("id % 50 = 0"), df, 7)) == want
+
+
+def test_frequent_groups_are_widened_in_place(spark, monkeypatch):
+    """What a query is widened to is not shuffled by its group, nor made distinct row by row; many keys give the same."""
+    df, _ = _near(spark)
+    groups = spark.range(300).selectExpr("id as target_id", "if(id % 3 = 0, null, id % 3) as group_key")
+    groups = groups.unionByName(groups.limit(20))
+    wide = lambda: similarity.semantic_concept_set(df.where("id % 50 = 0"), df, groups, 7, 0.5, 0.1)
+    found = wide()
+    text, rows = found._jdf.queryExecution().optimizedPlan().toString(), sorted(map(tuple, found.collect()), key=str)
+    assert len(rows) == len(set(rows)) > 1000 and text.count("Aggregate") == 1  # of the few rows without a group
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, wide().collect()), key=str) == rows
