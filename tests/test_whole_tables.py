@@ -1,6 +1,7 @@
 """Queries take whole tables."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.operators import mapping, similarity
 from tessera.sources.cdm import Cdm, star_cdm
@@ -21,6 +22,23 @@ def test_ingredient_of_terms_with_several_names(spark):
     assert got == {("t1", *x) for x in red} | {("t2", *x) for x in red} | {("t3", 2, 85), ("t3", 0, 85), ("nut", 4, 85)}
 
 
+def test_ingredient_meets_few_concepts_of_one_name(spark, monkeypatch):
+    """However many concepts have a name, only those of the least ids are compared with ingredients."""
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(word):
+        met.add(1)
+        return word
+
+    concepts = [(k, "red bolt", "c", "Drug", "S", None) for k in range(500, 0, -1)] + [(0, "red bolt b", "c", "Drug", "S", None)]
+    cdm = Cdm({"concept": spark.createDataFrame(concepts, "concept_id int, concept_name string, concept_code string, domain_id string, standard_concept string, invalid_reason string")})
+    terms = spark.createDataFrame([("t1", "RED BOLT 5 MG (B)"), ("t2", "RED BOLT")], "source_value string, source_name string")
+    plain, slow = F.array_distinct, F.udf(counted, "array<string>").asNondeterministic()
+    monkeypatch.setattr(mapping.F, "array_distinct", lambda c: slow(plain(c)))
+    got = {(r.source_value, r.concept_id, r.confidence) for r in mapping.suggest_ingredient(cdm, terms, "Drug").collect()}
+    assert got == {("t1", k, 90) for k in range(1, 6)} | {("t2", k, 85) for k in range(1, 6)} and met.value <= 6
+
+
 def _near(spark):
     rng = np.random.default_rng(5)
     vectors = rng.integers(-2, 3, (300, 4)).astype(float)
