@@ -1,9 +1,13 @@
 """What a task holds and what is shuffled don't grow with more than the input."""
 
+import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import details
-from tessera.sources.cdm import Cdm
+from tessera.operators import cohort, details, stats
+from tessera.sources.cdm import Cdm, star_cdm
+from tests.oracle import SMALL
 
 
 def plan(df):
@@ -18,3 +22,48 @@ def test_persons_of_a_domain_meet_the_cohort_once(spark):
     assert [tuple(r) for r in out.collect()] == [("Visit", 5, 100.0)]
     text = plan(out)
     assert "LeftSemi" not in text and "Aggregate" in text[text.index("Join Inner") : text.index("visit") if "visit" in text else None]
+
+
+def test_long_concept_sets_keep_their_own_concepts(spark, monkeypatch):
+    """A set that is no literal list has its concepts and their descendants, and is met by one semi join."""
+    monkeypatch.setattr(cohort, "LITERALS", 3)
+    cdm, want = star_cdm(spark, SMALL), {"domain": "Drug", "concepts": [500001, 1000003]}
+    found = cohort.concept_events(cdm, want)
+    assert "LeftSemi" in plan(found) and "LeftOuter" not in plan(found)
+    monkeypatch.undo()
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(found) == rows(cohort.concept_events(cdm, want)) != []
+
+
+@pytest.mark.parametrize("more", [{}, {"demographics": {"gender": [8507]}}])
+def test_members_of_a_plain_criterion_are_not_looked_up(spark, more):
+    """Its events say who they are; with anything else in the document the members are built."""
+    criteria = {"inclusion": {"criteria": [{"domain": "Drug", "concepts": [500001]}]}} | more
+    cdm = star_cdm(spark, SMALL)
+    found = cohort.dated_cohort(cdm, criteria, "Drug", "matching")
+    assert ("LeftSemi" in plan(found)) == bool(more)
+    assert found.select("person_id").distinct().count() == cohort.build_cohort(cdm, criteria).distinct().count()
+
+
+def _people(spark, outcomes, entries=((1, 100), (2, 100), (3, 100), (4, 100))):
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    dated = lambda rows: spark.createDataFrame([(p, day(n)) for p, n in rows], "person_id long, cohort_start_date date")
+    cdm = Cdm({
+        "observation_period": spark.createDataFrame([(p, day(0), day(400)) for p in range(1, 6)], "person_id long, observation_period_start_date date, observation_period_end_date date"),
+        "person": spark.createDataFrame([(p, 1980, 8507) for p in range(1, 6)], "person_id long, year_of_birth int, gender_concept_id int"),
+        "concept": spark.createDataFrame([(8507, "MALE")], "concept_id int, concept_name string"),
+    })
+    return cdm, dated(entries), dated(outcomes)
+
+
+def test_first_dates_take_both_cohorts_in_one_grouping(spark):
+    """Repeated entries and outcomes, people without outcome and outcomes without entry; cohorts are read once each."""
+    cdm, target, outcome = _people(spark, [(1, 90), (1, 150), (2, 150), (2, 160), (3, 50), (5, 120)], [(1, 100), (1, 120), (2, 100), (3, 100), (4, 100)])
+    got = lambda clean: {r.person_id: (r.had_outcome, r.time_days) for r in stats.risk_rows(cdm, target, outcome, 0, 200, clean).collect()}
+    assert got(0) == {1: (0, 200.0), 2: (1, 50.0), 3: (0, 200.0), 4: (0, 200.0)}
+    assert got(10) == {2: (1, 50.0), 3: (0, 200.0), 4: (0, 200.0)}
+    assert got(50) == {2: (1, 50.0), 4: (0, 200.0)}
+    for clean in (0, 10):
+        text = plan(stats.risk_rows(cdm, target, outcome, 0, 200, clean))
+        assert "LeftAnti" not in text and text.count("Join") == 3
+    assert plan(stats.survival_rows(cdm, target, outcome)).count("Join") == 3
