@@ -5,7 +5,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import cohort, details, stats
+from tessera.operators import cohort, details, mapping_batches, stats
+from tessera.plans import services
 from tessera.sources.cdm import Cdm, star_cdm
 from tests.oracle import SMALL
 
@@ -67,3 +68,19 @@ def test_first_dates_take_both_cohorts_in_one_grouping(spark):
         text = plan(stats.risk_rows(cdm, target, outcome, 0, 200, clean))
         assert "LeftAnti" not in text and text.count("Join") == 3
     assert plan(stats.survival_rows(cdm, target, outcome)).count("Join") == 3
+
+
+def test_preview_joins_the_data_once(spark):
+    """Decisions and the terms that they decide are worked out before; only impacted rows are counted over the data."""
+    cdm = services._parts_cdm(spark, SMALL)
+    text = plan(mapping_batches.preview(cdm, "Drug", mapping_batches.agreed(cdm.table("decision"), 3)))
+    assert text.count("Relation [l_orderkey") == 1
+
+
+def test_agreed_decisions_of_shared_ids(spark):
+    """Every decision with the id of an agreed one is taken; pairs of too few decisions or users are not."""
+    rows = [(1, "a", "approved", 7, 1), (2, "a", "modified", 7, 2), (3, "b", "approved", 7, 1), (4, "b", "approved", 7, 1), (2, "c", "rejected", 9, 5), (5, "a", "approved", 8, 1), (6, "a", "rejected", 8, 2)]
+    decisions = spark.createDataFrame([(*r, datetime.date(2020, 1, r[0])) for r in rows], "decision_id long, source_value string, action string, target_concept_id long, user_id int, created_on date")
+    found = mapping_batches.agreed(decisions, 2)
+    assert sorted((r.decision_id, r.source_value) for r in found.collect()) == [(2, "a"), (2, "c")]
+    assert plan(found).count("Relation") == 1 and "Aggregate" not in plan(found)
