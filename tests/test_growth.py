@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import cohort, details, mapping_batches, stats
+from tessera.operators import autocomplete, cohort, details, mapping_batches, stats, vocabulary
 from tessera.plans import services
 from tessera.sources.cdm import Cdm, star_cdm
 from tests.oracle import SMALL
@@ -84,3 +84,25 @@ def test_agreed_decisions_of_shared_ids(spark):
     found = mapping_batches.agreed(decisions, 2)
     assert sorted((r.decision_id, r.source_value) for r in found.collect()) == [(2, "a"), (2, "c")]
     assert plan(found).count("Relation") == 1 and "Aggregate" not in plan(found)
+
+
+def test_completion_index_groups_the_data_once(spark):
+    """Counting, ranging and writing read the grouped values."""
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        met.add(1)
+        return k
+
+    rows = spark.range(0, 40, 1, 2).select((F.col("id") % 7).alias("person_id"), F.lit(1).alias("condition_concept_id"), F.lit(None).cast("date").alias("condition_start_date"), F.udf(counted, "long")("id").alias("k"))
+    rows = rows.withColumn("condition_source_value", F.concat(F.lit("v"), F.col("k") % 5)).drop("k")
+    cdm = Cdm({"condition_occurrence": rows, "concept": spark.createDataFrame([(1, "c", "v", "S")], "concept_id int, concept_name string, vocabulary_id string, standard_concept string")})
+    assert vocabulary.source_values(cdm).count() == 5
+    once, met.value = met.value, 0
+    assert autocomplete.completion_index(cdm).where("kind = 'value'").count() == 5 and met.value == once
+
+
+def test_pending_ranks_decisions_of_found_values_only(spark):
+    cdm = star_cdm(spark, SMALL)
+    text = plan(services._pending(cdm))
+    assert text.index("Window") < text.index("LeftSemi")
