@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import autocomplete, cohort, details, mapping_batches, stats, vocabulary
+from tessera.operators import autocomplete, cohort, details, mapping_batches, quality, stats, vocabulary
 from tessera.plans import services
 from tessera.sources.cdm import Cdm, star_cdm
 from tests.oracle import SMALL
@@ -106,3 +106,11 @@ def test_pending_ranks_decisions_of_found_values_only(spark):
     cdm = star_cdm(spark, SMALL)
     text = plan(services._pending(cdm))
     assert text.index("Window") < text.index("LeftSemi")
+
+
+def test_sections_of_a_batch_share_joined_tables(spark):
+    shared, own = services._shared_cdm(spark, SMALL), star_cdm(spark, SMALL)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for make in (lambda c: quality.monthly(c, "Drug"), lambda c: quality.mapping_rates(c, "Drug"), lambda c: quality.obs_length(c)):
+        text = plan(make(shared))
+        assert "l_orderkey" not in text and "event_type" not in text and rows(make(shared)) == rows(make(own))
