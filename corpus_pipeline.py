@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import materialize
+from tessera.llm.common import BATCH_BYTES, materialize
 from tessera.llm.decontamination import decontaminate
 from tessera.llm.line_dedup import without_repeated_lines
 from tessera.llm.minhash_dedup import drop_near_duplicates
@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its place in a packed sequence."""
-    return best_fit_pack(materialize(cut_documents(docs, tokenizer_path(), capacity=CAPACITY)), CAPACITY)
+    return best_fit_pack(materialize(cut_documents(docs, tokenizer_path(), capacity=CAPACITY), BATCH_BYTES), CAPACITY)
 
 
 STAGES = [

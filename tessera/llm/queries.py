@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import perspective_turns
-from tessera.llm.common import materialize
+from tessera.llm.common import BATCH_BYTES, materialize
 from tessera.llm.decontamination import contaminated
 from tessera.llm.hard_negatives import hard_negatives
 from tessera.llm.line_dedup import line_dedup
@@ -97,7 +97,7 @@ def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = materialize(cut_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=CAPACITY))
+    cut = materialize(cut_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=CAPACITY), BATCH_BYTES)
     return best_fit_pack(cut, CAPACITY)
 
 

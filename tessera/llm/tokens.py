@@ -2,7 +2,8 @@
 
 For a tokenizer whose pre-tokenizer never lets a piece span white space, the ids of a text are those of its white-space
 separated words in a row.  Arrow finds the distinct words of a slice, and only those are looked at in Python; what was
-encoded before is kept in a cache of bounded size.
+encoded before is kept in a cache of bounded size: two generations, of which the older is dropped when the younger is
+full, so words that keep coming stay.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import pyarrow.compute as pc
 
 from tessera.llm.common import LOWER, SPACE, ragged, string_buffers, word_hashes, words
 
-#: Segments of words that a worker keeps, with about 60 bytes for each.
-CACHE_SEGMENTS = 1_000_000
-#: Bytes of text whose words are made distinct at once; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+#: Segments of words in one of a worker's two generations, with about 100 bytes for each.
+CACHE_SEGMENTS = 1 << 17
+#: Bytes of text whose words are made distinct at once, in some 40 times as much memory; a longer document is a slice of its own.
+SLICE_BYTES = 1 << 20
 #: New segments that the tokenizer gets at once; what it returns takes some hundred bytes for each.
 LEARN = 1 << 14
 _TAIL = ".,;:!?"
@@ -44,6 +45,42 @@ def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+class Generation:
+    """Segments with their ids: found by hash, held against the text."""
+
+    def __init__(self):
+        self.segments = pa.array([], pa.large_string())
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the segments, by hash
+        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def find(self, distinct: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The number of each of some segments, -1 where it isn't here."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            likely = np.flatnonzero(self.hashes[at] == hashes)
+            number = self.numbers[at[likely]]
+            equal = pc.equal(distinct.take(pa.array(likely)), self.segments.take(pa.array(number))).to_numpy(zero_copy_only=False)
+            out[likely[equal]] = number[equal]
+        return out
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered segments in a row, and how many each has."""
+        lengths = self.begin[numbers + 1] - self.begin[numbers]
+        return self.flat[ragged(self.begin[numbers], lengths)], lengths
+
+    def add(self, unseen: pa.Array, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers for segments that aren't here, with their ids."""
+        out = np.arange(len(unseen)) + len(self.segments)
+        self.segments = pa.concat_arrays([self.segments, unseen])
+        both, number = np.concatenate([self.hashes, hashes]), np.concatenate([self.numbers, out])
+        order = np.argsort(both, kind="stable")
+        self.hashes, self.numbers = both[order], number[order]
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
+        self.flat = np.concatenate([self.flat, flat])
+        return out
+
+
 class WordEncoder:
     """encode(column of texts) -> (ids of all texts in a row, number of ids of each text)."""
 
@@ -70,13 +107,8 @@ class WordEncoder:
             vocab = self.tokenizer.get_vocab(with_added_tokens=True)
             self.word_end = np.zeros(max(vocab.values()) + 1, bool)
             self.word_end[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-        self._clear()
-
-    def _clear(self) -> None:
-        """Forget all segments.  A word is two of them: its letters, and the marks at its end or nothing."""
-        self.segments = pa.array([], pa.large_string())
-        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the segments, by hash
-        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        # a word is two segments: its letters, and the marks at its end or nothing
+        self.young, self.old = Generation(), Generation()
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
@@ -88,11 +120,9 @@ class WordEncoder:
         starts, ends, first = words(data, offsets)
         spelled = _strings(data[~SPACE[data]], ends - starts).dictionary_encode()
         segment = self._segments(spelled.dictionary)
-        begin = self.begin[segment]
-        lengths = self.begin[segment + 1] - begin
         # what the distinct words are in ids, one after another, then each word of the text by its number
-        total = lengths.sum(axis=1)
-        own = self.flat[ragged(begin.ravel(), lengths.ravel())]
+        own, lengths = self.young.ids(segment.ravel())
+        total = lengths.reshape(-1, 2).sum(axis=1)
         which = spelled.indices.to_numpy()
         sizes = total[which]
         ids = own[ragged((np.cumsum(total) - total)[which], sizes)]
@@ -102,8 +132,8 @@ class WordEncoder:
 
     def _segments(self, distinct: pa.Array) -> np.ndarray:
         """The two segments of each of some distinct words, learned where they are new."""
-        if len(self.segments) > CACHE_SEGMENTS:
-            self._clear()
+        if len(self.young.segments) > CACHE_SEGMENTS:
+            self.young, self.old = Generation(), self.young
         data, offsets = string_buffers(distinct)
         sizes = np.diff(offsets)
         core = pc.utf8_rtrim(distinct, characters=_TAIL)
@@ -117,29 +147,22 @@ class WordEncoder:
         return self._numbers(both.dictionary)[both.indices.to_numpy()].reshape(2, -1).T
 
     def _numbers(self, distinct: pa.Array) -> np.ndarray:
-        """The number of each of some distinct segments: found by hash, held against the text, learned where new."""
+        """The number of each of some distinct segments in the young generation, which gets what it lacks from the old one or learns it."""
         data, offsets = string_buffers(distinct)
         hashes = word_hashes(data, offsets[:-1], offsets[1:])
-        out = np.full(len(hashes), -1, np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            likely = np.flatnonzero(self.hashes[at] == hashes)
-            number = self.numbers[at[likely]]
-            equal = pc.equal(distinct.take(pa.array(likely)), self.segments.take(pa.array(number))).to_numpy(zero_copy_only=False)
-            out[likely[equal]] = number[equal]
-        new = np.flatnonzero(out < 0)
+        out = self.young.find(distinct, hashes)
+        lacking = np.flatnonzero(out < 0)
+        older = self.old.find(distinct.take(pa.array(lacking)), hashes[lacking])
+        again, new = lacking[older >= 0], lacking[older < 0]
+        if len(again):
+            out[again] = self.young.add(distinct.take(pa.array(again)), hashes[again], *self.old.ids(older[older >= 0]))
         if len(new):
-            out[new] = np.arange(len(new)) + len(self.segments)
             unseen = distinct.take(pa.array(new))
-            self._learn(unseen.to_pylist())
-            self.segments = pa.concat_arrays([self.segments, unseen])
-            both, number = np.concatenate([self.hashes, hashes[new]]), np.concatenate([self.numbers, out[new]])
-            order = np.argsort(both, kind="stable")
-            self.hashes, self.numbers = both[order], number[order]
+            out[new] = self.young.add(unseen, hashes[new], *self._learn(unseen.to_pylist()))
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Add the ids of segments; words of letters are one piece each, so many go in one text and are cut at word ends."""
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of segments in a row, and how many each has; words of letters are one piece each, so many go in one text and are cut at word ends."""
         group = 256 if self.word_end is not None else 1
         letters = [k for k, x in enumerate(pieces) if group > 1 and x.isalpha()]
         groups = [letters[i : i + group] for i in range(0, len(letters), group)]
@@ -166,9 +189,7 @@ class WordEncoder:
             sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
         flat, lengths = np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
         order = np.argsort(places)  # into the order of pieces
-        flat = flat[ragged((np.cumsum(lengths) - lengths)[order], lengths[order])]
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths[order])])
-        self.flat = np.concatenate([self.flat, flat])
+        return flat[ragged((np.cumsum(lengths) - lengths)[order], lengths[order])], lengths[order]
 
 
 @functools.lru_cache(maxsize=1)

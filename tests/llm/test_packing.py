@@ -1,14 +1,18 @@
 import json
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tests.llm import cases
-from tessera.llm.packing import best_fit_pack, cut_documents, plan
+from tessera.llm import tokens
+from tessera.llm.common import materialize
+from tessera.llm.packing import best_fit_pack, cut_documents, pieces, plan
 from tessera.llm.queries import tokenizer_path
 from tessera.llm.token_output import RoomTree, best_fit_decreasing, pack_token_ids, write_packed
 from tessera.llm.tokens import encoder
@@ -28,6 +32,49 @@ def test_encoder_equals_tokenizer():
     assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [x[:-1] for x in ids_of(texts)]
 
 
+def test_encoder_keeps_common_words_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_SEGMENTS", 50)
+    coder, learned = tokens.WordEncoder(tokenizer_path()), []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda found: learned.extend(found) or learn(found))
+    texts = [f"common words stay, r{k}x{k} rare{k}. " + " ".join(f"q{k}z{j}" for j in range(20)) for k in range(30)]
+    for text, want in zip(texts, ids_of(texts)):
+        assert coder.encode([text])[0].tolist() == want[:-1]
+        assert max(len(coder.young.segments), len(coder.old.segments)) < 50 + 40
+    assert learned.count("common") == learned.count("stay") == 1 and learned.count("q0z0") == 1
+    assert coder.encode(texts[:1])[0].tolist() == ids_of(texts[:1])[0][:-1] and learned.count("q0z0") == 2  # long forgotten
+
+
+def test_cutting_needs_little_memory_beside_its_batch():
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(4000), "text": [" ".join(f"word{(k * j) % 997} is" for j in range(1, 200)) for k in range(4000)]})
+    assert batch.nbytes > 8 << 20
+    cut = pieces(tokenizer_path(), 1, 4096, False)
+    list(cut([batch.slice(0, 10)]))  # makes the encoder
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in cut([batch])) == 4000
+        assert tracemalloc.get_traced_memory()[1] < 48 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_batches_are_bounded_only_where_asked(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    texts = spark.range(3000).selectExpr("id", "repeat('x', 1000) AS text").coalesce(1).mapInArrow(sizes, "n long, size long")
+    few = materialize(texts, 1 << 18).collect()
+    assert sum(r.n for r in few) == 3000 and len(few) > 8 and max(r.size for r in few) < 1 << 19
+    assert [r.n for r in materialize(texts).collect()] == [3000]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 30)  # the session's own bound holds
+    try:
+        assert [r.n for r in materialize(texts, 1 << 18).collect()] == [3000]
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == 1 << 30
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece(seed):
     r = random.Random(seed)
