@@ -1,10 +1,13 @@
 """Lineage of any length, audit logs, CSV files of unknown form, autocomplete ranges and schema keys."""
 
+import collections
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import autocomplete, lineage, schema_keys
-from tessera.plans import services
+from tessera.plans import catalog, services
 from tessera.sources import audit, codebooks
 from tessera.sources.cdm import star_cdm
 from tests.oracle import SMALL
@@ -54,6 +57,74 @@ def test_reach_writes_each_pair_once(spark, monkeypatch):
     assert pairs == [9, 9, 18, 28]
 
 
+def _walked(edges):
+    """(target, source): hops by a plain walk from each target."""
+    before, found = collections.defaultdict(set), {}
+    for s, t in edges:
+        before[t].add(s)
+    for target in list(before):
+        level, hops = {target}, 0
+        while level:
+            hops += 1
+            level = {s for t in level for s in before.get(t, ()) if s != target and (target, s) not in found}
+            found |= {(target, s): hops for s in level}
+    return found
+
+
+@pytest.mark.parametrize("bound", [8192, 12])
+def test_reach_in_parts_has_the_rows_of_reach(spark, monkeypatch, bound):
+    """Parts that go over several batches, a table of many parts, repeated edges, and parts over the bound."""
+    edges = [(f"t{k}", f"t{k + 1}") for k in range(20)] + [("t20", "t0"), ("x", "t5"), ("x", "x"), (None, "t1"), ("t1", None)]
+    edges += [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("a", "d"), ("d", "e"), ("e", "c")] + [("hub", f"h{k % 7}") for k in range(14)]
+    edges = [edges[k * 7 % len(edges)] for k in range(len(edges))]
+    assert len(edges) % 7
+    monkeypatch.setattr(lineage, "PART_EDGES", bound)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = lineage.reach_in_parts(spark.createDataFrame(edges, EDGES)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = _walked([e for e in edges if None not in e and e[0] != e[1]])
+    assert {(r.target, r.source): r.hops for r in rows} == want and len(rows) == len(want)
+    assert spark.conf.get(lineage._CLEANUP) == "false"
+    assert lineage.reach_in_parts(spark.createDataFrame([], EDGES)).count() == 0
+
+
+def test_pairs_of_a_task_are_listed_in_blocks(monkeypatch):
+    """Whatever the bounds on cells and pairs, each pair comes once with its shortest chain."""
+    rng = np.random.default_rng(5)
+    parts = np.repeat(np.arange(30), rng.integers(1, 40, 30))
+    ends = rng.integers(0, 12, (2, len(parts))) + parts * 12
+    ends, parts = ends[:, ends[0] != ends[1]], parts[ends[0] != ends[1]]
+    source, target = np.unique(ends, return_inverse=True)[1].reshape(ends.shape)
+    parts = np.unique(parts, return_inverse=True)[1]
+    want = _walked(zip(source.tolist(), target.tolist()))
+    for cells, pairs in ((lineage.CELLS, lineage.PAIRS), (1, 1), (50, 7)):
+        monkeypatch.setattr(lineage, "CELLS", cells)
+        monkeypatch.setattr(lineage, "PAIRS", pairs)
+        got = list(lineage._pairs_within(target, source, parts))
+        assert all(len(b[0]) <= pairs for b in got)
+        rows = [(t, s, h) for b in got for t, s, h in zip(*(c.tolist() for c in b))]
+        assert {(t, s): h for t, s, h in rows} == want and len(rows) == len(want)
+
+
+def test_what_reach_writes_grows_with_the_edges(spark, monkeypatch):
+    """The query gives 24 rows for each order; it writes and shuffles no more rows than there are edges."""
+    rows, plain = [], lineage.written
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "written", counted)
+    edges = services._order_edges(spark, SMALL).count()
+    found = catalog.queries()["lineage_reach"](spark, SMALL)
+    assert max(rows) == edges and found.count() > 20 * edges
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.startswith("MapInArrow") and text.count("Repartition") == 1 and "Aggregate" not in text and "Join" not in text
+
+
 def test_audit_days_are_pruned(spark):
     rows = services._audit(spark, SMALL, "2024-01-10", "2024-01-12")
     assert "PartitionFilters: [isnotnull(day" in plan(rows)
